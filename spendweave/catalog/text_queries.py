@@ -206,12 +206,12 @@ def confidence_band(t: Tables) -> DataFrame:
 
 @query(
     "route_tier",
-    with_views("""SELECT CASE WHEN is_parent OR coalesce(total_amount, 0) >= 25000000 OR NOT (parent_id IS NOT NULL OR coalesce(parent_name, '') <> '') THEN 'accurate' ELSE 'bulk' END AS tier,
+    with_views("""SELECT CASE WHEN is_parent OR coalesce(total_amount, 0) >= 33000000 OR NOT (parent_id IS NOT NULL OR coalesce(parent_name, '') <> '') THEN 'accurate' ELSE 'bulk' END AS tier,
 count(*) AS suppliers, CAST(sum(total_amount) AS DOUBLE) AS spend FROM v_suppliers GROUP BY 1"""),
 )
 def route_tier(t: Tables) -> DataFrame:
     has_parent = F.col("parent_id").isNotNull() | (F.coalesce("parent_name", F.lit("")) != "")
-    return _buckets(t.suppliers, values.route_tier(F.col("is_parent"), F.col("total_amount"), has_parent, Params(high_value_spend=25_000_000)), "tier")
+    return _buckets(t.suppliers, values.route_tier(F.col("is_parent"), F.col("total_amount"), has_parent, Params(high_value_spend=33_000_000)), "tier")
 
 
 @query(

@@ -107,13 +107,16 @@ def name_order(prefix: str = "") -> Column:
 
 def family_members(rows: DataFrame) -> DataFrame:
     """Every row with its cluster. Rows that only name a parent meet in a virtual cluster of that name,
-    even when a supplier of that name exists; all others go to the topmost row their links reach."""
+    even when a supplier of that name exists; all others go to the topmost row their links reach.
+
+    The result is written once: every family operator below reads it, none recomputes the links.
+    """
     parent_key = entity_key(F.col("parent_name"))
     named = F.col("parent_id").isNull() & (F.coalesce(F.col("parent_name"), F.lit("")) != "") & (parent_key != "") & (parent_key != entity_key(F.col("name")))
     roots = resolve_roots(rows)
     joined = rows.join(roots, "id").withColumn("_key", F.when(named, parent_key))
     virtual = F.col("_key").isNotNull()
-    return (
+    placed = (
         joined.withColumn("is_virtual", virtual)
         .withColumn("cluster_key", F.when(virtual, F.concat(F.lit("v:"), F.col("_key"))).otherwise(F.concat(F.lit("s:"), F.col("root_id").cast("string"))))
         .withColumn("root_id", F.when(~virtual, F.col("root_id")))
@@ -121,6 +124,7 @@ def family_members(rows: DataFrame) -> DataFrame:
         .withColumn("depth", F.when(F.col("is_root"), 0).otherwise(F.greatest(F.lit(1), F.least(F.when(virtual, 1).otherwise(F.col("depth")), F.lit(MAX_DEPTH)))).cast("int"))
         .drop("_key")
     )
+    return cut(placed)[0]
 
 
 def _optional(rows: DataFrame, name: str, kind: str = "string") -> DataFrame:
@@ -131,7 +135,7 @@ def _filled(column: str) -> Column:
     return F.nullif(F.col(column), F.lit(""))
 
 
-def clusters(members: DataFrame, rows: DataFrame) -> DataFrame:
+def clusters(members: DataFrame) -> DataFrame:
     """One row per cluster: root, name, domain, spend and sizes."""
     members = _optional(members, "parent_domain")
     grouped = members.groupBy("cluster_key", "root_id", "is_virtual").agg(
@@ -141,12 +145,11 @@ def clusters(members: DataFrame, rows: DataFrame) -> DataFrame:
         F.min_by(F.when(F.col("is_virtual"), F.col("parent_name")), F.when(F.col("is_virtual"), name_order())).alias("_vname"),
         F.min_by(_filled("parent_domain"), F.when(F.col("is_virtual") & _filled("parent_domain").isNotNull(), name_order())).alias("_vdomain"),
     )
-    return _named(grouped, rows)
+    return _named(grouped, members)
 
 
-def _named(grouped: DataFrame, rows: DataFrame) -> DataFrame:
-    rows = _optional(rows, "parent_domain")
-    heads = rows.select(F.col("id").alias("root_id"), F.col("name").alias("_name"), F.coalesce(_filled("domain"), _filled("parent_domain")).alias("_domain"))
+def _named(grouped: DataFrame, members: DataFrame) -> DataFrame:
+    heads = _optional(members, "parent_domain").where("is_root").select(F.col("id").alias("root_id"), F.col("name").alias("_name"), F.coalesce(_filled("domain"), _filled("parent_domain")).alias("_domain"))
     return (
         grouped.join(heads, "root_id", "left")
         .withColumn("root_name", F.coalesce("_name", "_vname"))
@@ -155,11 +158,11 @@ def _named(grouped: DataFrame, rows: DataFrame) -> DataFrame:
     )
 
 
-def parent_rollup(rows: DataFrame, params: Params, members: DataFrame | None = None) -> DataFrame:
+def parent_rollup(members: DataFrame, params: Params) -> DataFrame:
     """Families with spend, counts, mean confidence and code: the root's own code, else the most frequent
     member code (first member in family order on ties). Rows are combined per (family, code) first, so a
     family holding a third of all suppliers is aggregated map-side."""
-    members = _optional(members if members is not None else family_members(rows), "parent_domain")
+    members = _optional(members, "parent_domain")
     rank = F.struct((~F.col("is_root")).alias("later"), name_order().alias("by_name"))
     per_code = members.groupBy("cluster_key", "root_id", "is_virtual", "effective_code").agg(
         F.count(F.lit(1)).alias("n"),
@@ -187,7 +190,7 @@ def parent_rollup(rows: DataFrame, params: Params, members: DataFrame | None = N
         F.min_by("vname", F.when(F.col("is_virtual"), F.col("first"))).alias("_vname"),
         F.min_by("vdomain", "vorder").alias("_vdomain"),
     )
-    return _named(grouped, rows)
+    return _named(grouped, members)
 
 
 def top_parents(rollup: DataFrame, limit: int = 10) -> DataFrame:
@@ -204,15 +207,14 @@ def representatives(members: DataFrame) -> DataFrame:
     ).select("cluster_key", F.col("r.id").alias("representative_id"), F.col("r.name").alias("representative_name"), F.col("r.score").alias("representative_score"))
 
 
-def plan_families(members: DataFrame, rows: DataFrame) -> DataFrame:
-    return clusters(members, rows).join(representatives(members), "cluster_key").withColumn("is_family", (F.col("supplier_count") > 1) | F.col("is_virtual"))
+def plan_families(members: DataFrame) -> DataFrame:
+    return clusters(members).join(representatives(members), "cluster_key").withColumn("is_family", (F.col("supplier_count") > 1) | F.col("is_virtual"))
 
 
-def classification_plan(rows: DataFrame, members: DataFrame | None = None) -> DataFrame:
+def classification_plan(members: DataFrame) -> DataFrame:
     """Exactly one assignment per supplier: ``parent`` for a family's representative, ``inherit`` for its
     other members, ``direct`` for the rest. The family row is joined back with hot families spread out."""
-    members = members if members is not None else family_members(rows)
-    families = plan_families(members, rows).select("cluster_key", "representative_id", "is_family", "root_name", F.col("is_virtual").alias("_virtual"))
+    families = plan_families(members).select("cluster_key", "representative_id", "is_family", "root_name", F.col("is_virtual").alias("_virtual"))
     joined = spread_join(members.select("id", "name", "cluster_key"), families, "cluster_key", spread_by="id")
     is_rep = F.col("id") == F.col("representative_id")
     return joined.select(
@@ -226,10 +228,9 @@ def classification_plan(rows: DataFrame, members: DataFrame | None = None) -> Da
     )
 
 
-def plan_preview(rows: DataFrame, params: Params, members: DataFrame | None = None) -> DataFrame:
+def plan_preview(members: DataFrame, params: Params) -> DataFrame:
     """Work per kind and tier, with the request estimate of each kind."""
-    members = members if members is not None else family_members(rows)
-    plan = plan_families(members, rows)
+    plan = plan_families(members)
     families = plan.where("is_family").select(F.lit("family").alias("kind"), F.lit(params.accurate_model).alias("model"), "supplier_count", "total_amount")
     singles = members.join(plan.where(~F.col("is_family")).select("cluster_key"), "cluster_key", "left_semi").select(
         F.lit("single").alias("kind"),

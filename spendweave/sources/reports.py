@@ -70,13 +70,13 @@ def review_section(review: DataFrame) -> DataFrame:
     )
 
 
-def family_edges(rows: DataFrame, members: DataFrame, cluster_rows: DataFrame) -> DataFrame:
+def family_edges(members: DataFrame, cluster_rows: DataFrame) -> DataFrame:
     """Parent line and subsidiary lines per cluster. The parent's amount is blank when it has subsidiaries.
 
     One line per edge, so the size of a family never becomes the size of a row.
     """
     lines = display_rows(members, cluster_rows)
-    own = rows.select(
+    own = members.select(
         F.col("id").alias("supplier_id"), F.col("effective_code").alias("_code"), F.col("confidence").alias("_conf"), F.coalesce("total_amount", F.lit(0)).alias("_amount")
     )
     root_code = cluster_rows.select("cluster_key", F.col("root_id").alias("supplier_id")).join(own.select("supplier_id", "_code"), "supplier_id", "left")
@@ -100,8 +100,8 @@ def family_edges(rows: DataFrame, members: DataFrame, cluster_rows: DataFrame) -
     )
 
 
-def hierarchy_export(rows: DataFrame, members: DataFrame, cluster_rows: DataFrame) -> DataFrame:
-    return family_edges(rows, members, cluster_rows).orderBy(*display_order()).drop("root_name", "subsidiary_count", "cluster_key", "indent", "supplier_id")
+def hierarchy_export(members: DataFrame, cluster_rows: DataFrame) -> DataFrame:
+    return family_edges(members, cluster_rows).orderBy(*display_order()).drop("root_name", "subsidiary_count", "cluster_key", "indent", "supplier_id")
 
 
 def report_metadata(summary: DataFrame, name: str, made_at: datetime, made_by: str, taxonomy_version: str, rollup: str, filters: list[str]) -> DataFrame:
