@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
@@ -145,17 +146,19 @@ class Tables:
 
     def __init__(self, spark: SparkSession, folder: str):
         self.spark, self.folder = prepare(spark), folder.rstrip("/")
+        self._read: dict[str, DataFrame] = {}
 
     def base(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
+        if name not in self._read:
+            self._read[name] = self.spark.read.parquet(f"{self.folder}/{name}.parquet")
+        return self._read[name]
 
     def sql(self, text: str) -> DataFrame:
-        for name in BASE_TABLES:
-            if f" {name}" in text or f"\n{name}" in text:
-                self.base(name).createOrReplaceTempView(name)
-        for name in PROJECTIONS:
-            if name in text:
-                getattr(self, name[2:]).createOrReplaceTempView(name)
+        used = set(re.findall(r"\b(?:FROM|JOIN) (\w+)", text))
+        for name in used & set(BASE_TABLES):
+            self.base(name).createOrReplaceTempView(name)
+        for name in used & set(PROJECTIONS):
+            getattr(self, name[2:]).createOrReplaceTempView(name)
         return self.spark.sql(text)
 
     @cached_property

@@ -80,8 +80,11 @@ def resolve_roots(nodes: DataFrame) -> DataFrame:
     A missing parent makes a row an orphan and its own root. A cycle, and everything hanging from it, is
     rooted at the cycle's smallest id; depth there counts the distinct rows on the way up, less one.
     """
-    links = nodes.select("id", F.col("parent_id").alias("parent"))
-    state, looping = _climb(links)
+    return _resolve(cut(nodes.select("id", "parent_id"))[0])
+
+
+def _resolve(nodes: DataFrame) -> DataFrame:
+    state, looping = _climb(nodes.select("id", F.col("parent_id").alias("parent")))
     flat = state.where("done").select("id", F.col("anc").alias("root_id"), F.col("hops").alias("depth"), F.col("orphan").alias("is_orphan"), F.lit(False).alias("in_cycle"))
     if not looping:
         return flat
@@ -113,8 +116,8 @@ def family_members(rows: DataFrame) -> DataFrame:
     """
     parent_key = entity_key(F.col("parent_name"))
     named = F.col("parent_id").isNull() & (F.coalesce(F.col("parent_name"), F.lit("")) != "") & (parent_key != "") & (parent_key != entity_key(F.col("name")))
-    roots = resolve_roots(rows)
-    joined = rows.join(roots, "id").withColumn("_key", F.when(named, parent_key))
+    rows, _ = cut(rows)
+    joined = rows.join(_resolve(rows), "id").withColumn("_key", F.when(named, parent_key))
     virtual = F.col("_key").isNotNull()
     placed = (
         joined.withColumn("is_virtual", virtual)
