@@ -82,7 +82,7 @@ PLAN = """plan AS (SELECT m.id AS supplier_id, m.name, m.cluster_key, CASE WHEN
 
 @query("classification_plan", with_views("SELECT * FROM plan", ROOTS, MEMBERS, SCORED, PLAN))
 def classification_plan(t: Tables) -> DataFrame:
-    return fam.classification_plan(fam.family_members(t.suppliers))
+    return fam.classification_plan(fam.family_members(t.suppliers)).drop("cluster_total")
 
 
 @query(

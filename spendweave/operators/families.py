@@ -217,7 +217,7 @@ def plan_families(members: DataFrame) -> DataFrame:
 def classification_plan(members: DataFrame) -> DataFrame:
     """Exactly one assignment per supplier: ``parent`` for a family's representative, ``inherit`` for its
     other members, ``direct`` for the rest. The family row is joined back with hot families spread out."""
-    families = plan_families(members).select("cluster_key", "representative_id", "is_family", "root_name", F.col("is_virtual").alias("_virtual"))
+    families = plan_families(members).select("cluster_key", "representative_id", "is_family", "root_name", F.col("is_virtual").alias("_virtual"), F.col("total_amount").alias("cluster_total"))
     joined = spread_join(members.select("id", "name", "cluster_key"), families, "cluster_key", spread_by="id")
     is_rep = F.col("id") == F.col("representative_id")
     return joined.select(
@@ -228,6 +228,7 @@ def classification_plan(members: DataFrame) -> DataFrame:
         F.when(F.col("is_family") & ~is_rep, F.col("representative_id")).alias("inherit_from"),
         F.when(F.col("is_family") & is_rep & F.col("_virtual"), F.col("root_name")).alias("parent_name"),
         "root_name",
+        "cluster_total",
     )
 
 

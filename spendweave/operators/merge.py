@@ -14,7 +14,7 @@ from spendweave.operators.aggregates import fold_lines
 from spendweave.operators.current import conform
 from spendweave.params import Params
 from spendweave.schemas import SUPPLIERS
-from spendweave.session import ranked
+from spendweave.session import cut, ranked
 
 TEXT = ["domain", "industry", "naics", "sic", "description", "country", "parent_name", "parent_domain"]
 RECLASSIFY = ["industry", "naics", "sic", "description", "domain", "parent_name"]
@@ -88,7 +88,8 @@ def upsert_suppliers(existing: DataFrame, folded: DataFrame, params: Params, amo
     by_key = existing.groupBy(F.col("normalized_name").alias("key")).agg(F.min("id").alias("_by_key"))
     by_name = existing.groupBy("name").agg(F.min("id").alias("_by_name"))
     matched = folded.join(by_key, "key", "left").join(by_name, "name", "left").withColumn("id", F.coalesce("_by_key", "_by_name"))
-    incoming = matched.select("id", "name", "key", "row_no", "transaction_count", F.col("amount").cast("decimal(18,2)").alias("total_amount"), *[c for c in TEXT + ["currency"] if c in folded.columns])
+    # read by the merge, the inserts and the actions: written once
+    incoming, _ = cut(matched.select("id", "name", "key", "row_no", "transaction_count", F.col("amount").cast("decimal(18,2)").alias("total_amount"), *[c for c in TEXT + ["currency"] if c in folded.columns]))
     hits = incoming.where(F.col("id").isNotNull())
     # two keys can meet in one supplier (one by key, one by name): fold them as lines of that supplier
     merged_in = fold_lines(hits.withColumnRenamed("total_amount", "amount"), key="id").withColumn("id", F.col("key")).withColumnRenamed("amount", "total_amount")

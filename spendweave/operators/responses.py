@@ -13,31 +13,36 @@ PARENT_WRAPPERS = ["results", "parents", "data", "items"]
 NO_PARENT_WORDS = ["null", "none", "n/a", "na", "unknown", "independent"]
 
 
-def _balanced(text: str | None) -> str | None:
-    """First balanced object or array in a text, minding strings."""
-    starts = [i for i in (text.find("{"), text.find("[")) if i >= 0] if text else []
-    if not starts:
+def _from_prose(text: Column) -> Column:
+    """First balanced object or array of each text, minding strings.
+
+    The helpers are local, so they travel with the job and the workers need not have this package.
+    """
+
+    def balanced(value):
+        starts = [i for i in (value.find("{"), value.find("[")) if i >= 0] if value else []
+        if not starts:
+            return None
+        begin = min(starts)
+        opening = value[begin]
+        closing = "}" if opening == "{" else "]"
+        depth, quoted, escaped = 0, False, False
+        for at in range(begin, len(value)):
+            ch = value[at]
+            if quoted:
+                quoted, escaped = (ch != '"' or escaped), (ch == "\\" and not escaped)
+            elif ch == '"':
+                quoted = True
+            elif ch in (opening, closing):
+                depth += 1 if ch == opening else -1
+                if depth == 0:
+                    return value[begin : at + 1]
         return None
-    begin = min(starts)
-    opening = text[begin]
-    closing = "}" if opening == "{" else "]"
-    depth, quoted, escaped = 0, False, False
-    for at in range(begin, len(text)):
-        ch = text[at]
-        if quoted:
-            quoted, escaped = (ch != '"' or escaped), (ch == "\\" and not escaped)
-        elif ch == '"':
-            quoted = True
-        elif ch in (opening, closing):
-            depth += 1 if ch == opening else -1
-            if depth == 0:
-                return text[begin : at + 1]
-    return None
-
-
-@F.pandas_udf("string")
-def _from_prose(texts: pd.Series) -> pd.Series:
-    return texts.map(_balanced)
+
+    def scan(texts: pd.Series) -> pd.Series:
+        return texts.map(balanced)
+
+    return F.pandas_udf(scan, "string")(text)
 
 
 def json_text(responses: DataFrame, column: str = "response") -> DataFrame:
