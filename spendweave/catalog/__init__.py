@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ["text_queries", "list_queries", "report_queries", "family_queries", "merge_queries", "io_queries"]
+MODULES = ["text_queries", "list_queries", "report_queries", "family_queries", "merge_queries", "io_queries", "payload_queries", "classify_queries"]
 
 
 def _load() -> None:

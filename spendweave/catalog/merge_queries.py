@@ -13,9 +13,9 @@ from spendweave.catalog.views import Tables, with_views
 from spendweave.operators import families as fam
 from spendweave.operators import history as h
 from spendweave.operators import merge
-from spendweave.operators.aggregates import fold_lines
 from spendweave.operators.audit import audit_rows
 from spendweave.params import Params
+from spendweave.plans.resolve import resolve_entities
 
 P = Params()
 AS_OF = "TIMESTAMP '2001-11-15 00:00:00'"
@@ -75,9 +75,8 @@ UPSERT = f"""known AS (SELECT f.*, s.id AS old_id, s.domain AS old_domain, s.tra
 upserted AS (SELECT *, CASE WHEN old_id IS NULL THEN (SELECT max(id) FROM v_suppliers) + row_number() OVER (PARTITION BY old_id IS NULL ORDER BY entity) ELSE old_id END AS id FROM known)"""
 
 
-def _upsert(t: Tables) -> tuple[dict[str, DataFrame], DataFrame]:
-    folded = fold_lines(t.lines)
-    return merge.upsert_suppliers(t.suppliers, folded, P), folded
+def _upsert(t: Tables) -> dict[str, DataFrame]:
+    return resolve_entities(t.lines, t.suppliers, P)
 
 
 @query(
@@ -86,7 +85,7 @@ def _upsert(t: Tables) -> tuple[dict[str, DataFrame], DataFrame]:
 CASE WHEN old_id IS NULL OR new_domain IS NOT NULL THEN new_domain ELSE old_domain END AS domain FROM (SELECT * REPLACE (CASE WHEN old_id IS NULL THEN name ELSE (SELECT s.name FROM v_suppliers s WHERE s.id = old_id) END AS name) FROM upserted) u""", LINES, UPSERT),
 )
 def upsert_suppliers(t: Tables) -> DataFrame:
-    return _upsert(t)[0]["suppliers"].select("id", "name", "total_amount", "transaction_count", "domain")
+    return _upsert(t)["suppliers"].select("id", "name", "total_amount", "transaction_count", "domain")
 
 
 @query(
@@ -95,8 +94,7 @@ def upsert_suppliers(t: Tables) -> DataFrame:
 count(CASE WHEN old_id IS NOT NULL AND new_domain IS NOT NULL AND new_domain <> coalesce(old_domain, '') THEN 1 END) AS needs_reclassification, CAST(sum(line_count) AS BIGINT) AS total_rows, CAST(sum(duplicates) AS BIGINT) AS duplicate_rows FROM upserted""", LINES, UPSERT),
 )
 def upsert_summary(t: Tables) -> DataFrame:
-    out, folded = _upsert(t)
-    return merge.upsert_summary(out["actions"], folded)
+    return _upsert(t)["summary"]
 
 
 RESULTS = """SELECT id, CASE WHEN id % 3 = 0 THEN 'HTTP 500' END AS error, CASE WHEN id % 2 = 0 THEN 'example.org' END AS domain, CASE WHEN id % 4 = 1 THEN concat(industry, ' long name') END AS industry,
@@ -213,7 +211,7 @@ def cache_upsert(t: Tables) -> DataFrame:
 
 @query("audit_emit", with_views("SELECT action, count(*) AS events, count(DISTINCT entity_id) AS suppliers, min(details) AS first_details FROM (SELECT CASE WHEN old_id IS NULL THEN 'created' ELSE 'updated' END AS action, id AS entity_id, concat('{\"name\":\"', CASE WHEN old_id IS NULL THEN name ELSE (SELECT s.name FROM v_suppliers s WHERE s.id = old_id) END, '\"}') AS details FROM upserted) a GROUP BY 1", LINES, UPSERT))
 def audit_emit(t: Tables) -> DataFrame:
-    actions = _upsert(t)[0]["actions"].where("action <> 'unchanged'")
+    actions = _upsert(t)["actions"].where("action <> 'unchanged'")
     events = audit_rows(actions, "supplier", "id", F.col("action"), ["name"], "job", P)
     return events.groupBy("action").agg(F.count(F.lit(1)).alias("events"), F.count_distinct("entity_id").alias("suppliers"), F.min("details").alias("first_details"))
 
