@@ -82,8 +82,8 @@ def stub_lookup():
 
 @query(
     "enrich_run",
-    with_views(f"""SELECT status, count(*) AS suppliers, count(CASE WHEN status = 'enriched' THEN 1 END) AS needs_reclassification FROM (
-SELECT CASE WHEN l.cache_key IS NOT NULL THEN 'cached' WHEN s.id % 3 = 0 THEN 'failed' ELSE 'enriched' END AS status FROM v_suppliers s
+    with_views(f"""SELECT status, count(*) AS suppliers, count(CASE WHEN status = 'enriched' AND length(industry) < length('Sector 1') THEN 1 END) AS needs_reclassification FROM (
+SELECT s.industry, CASE WHEN l.cache_key IS NOT NULL THEN 'cached' WHEN s.id % 3 = 0 THEN 'failed' ELSE 'enriched' END AS status FROM v_suppliers s
 LEFT JOIN (SELECT * FROM v_cache WHERE expires_at IS NULL OR expires_at >= TIMESTAMP '2001-11-15 00:00:00') l ON l.cache_key = concat('generic:', {q.key('s.name')})
 WHERE s.enriched_at IS NULL OR s.enriched_at < TIMESTAMP '2001-11-15 00:00:00') x GROUP BY 1"""),
 )

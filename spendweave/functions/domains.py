@@ -21,6 +21,12 @@ DIRECTORY_HOSTS = [
 ]
 
 
+# Labels, then either a name under a two-label suffix or a name under a top-level domain.
+REGISTRABLE = (
+    r"^(?:[a-z0-9-]+\.)*?([a-z0-9-]+\.(?:" + "|".join(s.replace(".", r"\.") for s in TWO_LABEL_SUFFIXES) + r")|[a-z0-9-]+\.[a-z]{2,})$"
+)
+
+
 def registrable_domain(value: Column) -> Column:
     """Registrable domain of a URL, host or email address, else null."""
     host = F.lower(F.trim(value))
@@ -29,9 +35,7 @@ def registrable_domain(value: Column) -> Column:
     host = F.regexp_replace(host, r"(?s)[/?#:].*$", "")
     host = F.regexp_replace(host, r"\.+$", "")
     host = F.regexp_replace(host, r"^www\d?\.", "")
-    valid = host.rlike(r"^[a-z0-9.-]+\.[a-z]{2,}$") & ~host.startswith(".") & ~host.contains("..")
-    two = F.substring_index(host, ".", -2)
-    return F.when(valid, F.when(two.isin(TWO_LABEL_SUFFIXES), F.substring_index(host, ".", -3)).otherwise(two))
+    return F.nullif(F.regexp_extract(host, REGISTRABLE, 1), F.lit(""))
 
 
 def guessed_domain(name: Column) -> Column:
@@ -48,9 +52,8 @@ def single_word_domain(name: Column) -> Column:
 
 def company_domain(value: Column) -> Column:
     """Registrable domain unless it belongs to a directory site."""
-    domain = registrable_domain(value)
     listed = "|".join(host.replace(".", r"\.") for host in DIRECTORY_HOSTS)
-    return F.when(~domain.rlike(rf"(?:^|\.)(?:{listed})$"), domain)
+    return F.nullif(F.regexp_replace(registrable_domain(value), rf"^(?:.*\.)?(?:{listed})$", ""), F.lit(""))
 
 
 def lookup_url(name: Column, domain: Column, template: str | None) -> Column:

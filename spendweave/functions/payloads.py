@@ -36,63 +36,69 @@ PARENT_NAME = ["name", "company_name", "legal_name"]
 PARENT_DOMAIN = ["domain", "website", "url"]
 
 
-def _member(path: str, kind: str) -> Column:
-    return F.expr(f"try_variant_get(company, '$.{path}', '{kind}')")
-
-
-def _kind(path: str) -> Column:
-    return F.expr(f"schema_of_variant(try_variant_get(company, '$.{path}', 'variant'))")
+class _Opened:
+    """Rows with the members needed read out of the payload's company object, stage by stage.
+
+    Each member is read once into its own column, so later expressions are small column references.
+    """
+
+    def __init__(self, rows: DataFrame, column: str, wrappers: list[str], paths: list[str], lists: bool):
+        kept = [c for c in rows.columns if c not in FIELDS]
+        names = dict.fromkeys(paths)
+        self.at = {path: n for n, path in enumerate(names)}
+        parsed = rows.select(*kept, F.try_parse_json(F.col(column)).alias("_parsed"))
+        parsed = parsed.select("*", *[F.expr(f"try_variant_get(_parsed, '$.{w}', 'variant')").alias(f"_w{w}") for w in wrappers])
+        opened = parsed.select(*kept, _first_object([f"_w{w}" for w in wrappers]).alias("_company"))
+        members = opened.select(*kept, *[F.expr(f"try_variant_get(_company, '$.{p}', 'variant')").alias(f"_v{n}") for p, n in self.at.items()])
+        kinds = members.select("*", *[F.schema_of_variant(f"_v{n}").alias(f"_k{n}") for n in self.at.values()])
+        texts = [F.when(F.col(f"_k{n}").rlike("^(STRING|BIGINT|DOUBLE|FLOAT|DECIMAL)"), F.trim(F.expr(f"try_variant_get(_v{n}, '$', 'string')"))).alias(f"_t{n}") for n in self.at.values()]
+        joined = [_joined(n).alias(f"_l{n}") for p, n in self.at.items() if lists and "." not in p]
+        self.rows, self.kept, self.lists = kinds.select("*", *texts, *joined), kept, lists
+
+    def kind(self, path: str) -> Column:
+        return F.coalesce(F.col(f"_k{self.at[path]}"), F.lit("VOID"))
+
+    def text(self, path: str) -> Column:
+        return F.nullif(F.col(f"_t{self.at[path]}"), F.lit(""))
+
+    def pick(self, paths: list[str]) -> Column:
+        tries = []
+        for path in paths:
+            tries.append(self.text(path))
+            if self.lists and "." not in path:
+                tries.append(F.nullif(F.col(f"_l{self.at[path]}"), F.lit("")))
+        return F.coalesce(*tries)
+
+    def nested_parent(self, names: list[str]) -> Column:
+        """Member of the first of the parent values that is an object."""
+        return _cases([(self.kind(h).startswith("OBJECT"), F.coalesce(*[self.text(f"{h}.{n}") for n in names])) for h in PARENT_OBJECTS])
+
+    def string_parent(self, holders: list[str]) -> Column:
+        """First parent value that is present, when it is a text."""
+        return _cases([(self.kind(h) != "VOID", F.when(self.kind(h) == "STRING", self.text(h))) for h in holders])
+
+
+def _cases(pairs: list[tuple[Column, Column]]) -> Column:
+    chain = None
+    for test, value in pairs:
+        chain = F.when(test, value) if chain is None else chain.when(test, value)
+    return chain
 
 
-def _scalar(path: str) -> Column:
-    """Non-blank text or a number as text; null for other kinds."""
-    plain = (_kind(path) == "STRING") | _kind(path).isin("BIGINT", "DOUBLE", "FLOAT") | _kind(path).startswith("DECIMAL")
-    return F.when(plain, F.nullif(F.trim(_member(path, "string")), F.lit("")))
+def _first_object(names: list[str]) -> Column:
+    return _cases([(F.coalesce(F.schema_of_variant(n).startswith("OBJECT"), F.lit(False)), F.col(n)) for n in names]).otherwise(F.col("_parsed"))
 
 
-def _list(path: str) -> Column:
+def _joined(n: int) -> Column:
     """Texts of a list value joined by commas; list objects give their name, label or value."""
-    items = _member(path, "array<variant>")
 
     def text(i: Column) -> Column:
-        return F.coalesce(
-            F.when(F.schema_of_variant(i) == "STRING", F.nullif(F.trim(F.try_variant_get(i, "$", "string")), F.lit(""))),
-            F.nullif(F.trim(F.try_variant_get(i, "$.name", "string")), F.lit("")),
-            F.nullif(F.trim(F.try_variant_get(i, "$.label", "string")), F.lit("")),
-            F.nullif(F.trim(F.try_variant_get(i, "$.value", "string")), F.lit("")),
-        )
-
-    joined = F.array_join(F.array_compact(F.transform(items, text)), ", ")
-    return F.when(_kind(path).startswith("ARRAY"), F.nullif(joined, F.lit("")))
-
+        members = [F.nullif(F.trim(F.try_variant_get(i, f"$.{m}", "string")), F.lit("")) for m in ("name", "label", "value")]
+        own = F.when(F.schema_of_variant(i) == "STRING", F.nullif(F.trim(F.try_variant_get(i, "$", "string")), F.lit("")))
+        return F.coalesce(own, *members)
 
-def _pick(paths: list[str], lists: bool = False) -> Column:
-    tries: list[Column] = []
-    for path in paths:
-        tries.append(_scalar(path))
-        if lists and "." not in path:
-            tries.append(_list(path))
-    return F.coalesce(*tries)
-
-
-def _nested_parent(names: list[str], lists: bool) -> Column:
-    """Member of the first of the parent objects that is an object."""
-    chain = None
-    for holder in PARENT_OBJECTS:
-        is_object = F.coalesce(_kind(holder).startswith("OBJECT"), F.lit(False))
-        value = _pick([f"{holder}.{n}" for n in names], lists)
-        chain = F.when(is_object, value) if chain is None else chain.when(is_object, value)
-    return chain
-
-
-def _string_parent(holders: list[str]) -> Column:
-    """First parent value that is present, when it is a text."""
-    chain = None
-    for holder in holders:
-        present = F.coalesce(_kind(holder) != "VOID", F.lit(False))
-        value = F.when(_kind(holder) == "STRING", F.nullif(F.trim(_member(holder, "string")), F.lit("")))
-        chain = F.when(present, value) if chain is None else chain.when(present, value)
-    return chain
+    items = F.expr(f"try_variant_get(_v{n}, '$', 'array<variant>')")
+    return F.when(F.col(f"_k{n}").startswith("ARRAY"), F.array_join(F.array_compact(F.transform(items, text)), ", "))
 
 
 def _country(c: Column) -> Column:
@@ -107,73 +113,62 @@ def _digits(c: Column, most: int) -> Column:
     return F.nullif(F.substring(F.regexp_replace(c, r"\D", ""), 1, most), F.lit(""))
 
 
-def _company(wrappers: list[str]) -> Column:
-    chain = None
-    for name in wrappers:
-        member = F.expr(f"try_variant_get(parsed, '$.{name}', 'variant')")
-        is_object = F.coalesce(F.schema_of_variant(member).startswith("OBJECT"), F.lit(False))
-        chain = F.when(is_object, member) if chain is None else chain.when(is_object, member)
-    return chain.otherwise(F.col("parsed"))
-
-
-def _opened(rows: DataFrame, wrappers: list[str], column: str) -> DataFrame:
-    parsed = rows.withColumn("parsed", F.try_parse_json(F.col(column)))
-    return parsed.withColumn("company", _company(wrappers)).drop("parsed")
+def _paths(table: dict[str, list[str]], more: list[str]) -> list[str]:
+    nested = [f"{h}.{n}" for h in PARENT_OBJECTS for n in PARENT_NAME + PARENT_DOMAIN]
+    return [p for paths in table.values() for p in paths] + PARENT_OBJECTS + nested + more
 
 
-def _finish(rows: DataFrame, raw: dict[str, Column], country=lambda c: c, domain=registrable_domain) -> DataFrame:
+def _finish(o: _Opened, table: dict[str, list[str]], country=lambda c: c, domain=registrable_domain, parent: list[Column] = (), description: list[Column] = ()) -> DataFrame:
+    raw = {name: o.pick(paths) for name, paths in table.items()}
+    raw["parent_name"] = F.coalesce(raw["parent_name"], *(parent or [o.nested_parent(PARENT_NAME)]))
+    raw["parent_domain"] = F.coalesce(raw["parent_domain"], o.nested_parent(PARENT_DOMAIN))
+    picked = o.rows.select(*o.kept, *[c.alias(f"_{f}") for f, c in raw.items()], *[c.alias(f"_more{i}") for i, c in enumerate(description)])
     shaped = {
-        "domain": domain(raw["domain"]),
-        "industry": truncate(raw["industry"], 200),
-        "naics": _digits(raw["naics"], 8),
-        "sic": _digits(raw["sic"], 6),
-        "description": raw["description"],
-        "country": truncate(country(raw["country"]), 100),
-        "parent_name": F.nullif(F.trim(raw["parent_name"]), F.lit("")),
-        "parent_domain": registrable_domain(raw["parent_domain"]),
+        "domain": domain(F.col("_domain")),
+        "industry": truncate(F.col("_industry"), 200),
+        "naics": _digits(F.col("_naics"), 8),
+        "sic": _digits(F.col("_sic"), 6),
+        "description": F.coalesce(truncate(F.col("_description"), 1200), *[truncate(F.col(f"_more{i}"), 600) for i in range(len(description))]),
+        "country": truncate(country(F.col("_country")), 100),
+        "parent_name": F.nullif(F.trim("_parent_name"), F.lit("")),
+        "parent_domain": registrable_domain(F.col("_parent_domain")),
     }
-    return rows.select(*[c for c in rows.columns if c != "company" and c not in FIELDS], *[shaped[f].alias(f) for f in FIELDS])
-
-
-def _generic_raw(lists: bool = False, table=GENERIC) -> dict[str, Column]:
-    raw = {name: _pick(paths, lists) for name, paths in table.items()}
-    raw["parent_name"] = F.coalesce(raw["parent_name"], _nested_parent(PARENT_NAME, lists))
-    raw["parent_domain"] = F.coalesce(raw["parent_domain"], _nested_parent(PARENT_DOMAIN, lists))
-    raw["description"] = truncate(raw["description"], 1200)
-    return raw
+    return picked.select(*o.kept, *[shaped[f].alias(f) for f in FIELDS])
 
 
 def normalize_generic(rows: DataFrame, column: str = "payload") -> DataFrame:
-    return _finish(_opened(rows, ["company", "data", "result"], column), _generic_raw())
+    return _finish(_Opened(rows, column, ["company", "data", "result"], _paths(GENERIC, []), lists=False), GENERIC)
 
 
 def normalize_tech(rows: DataFrame, column: str = "payload") -> DataFrame:
     """As generic, with a text parent accepted and a description made of the technologies list."""
-    opened = _opened(rows, ["company", "data"], column)
-    raw = _generic_raw()
-    raw["parent_name"] = F.coalesce(raw["parent_name"], _string_parent(["parent", "parentCompany", "ultimate_parent"]))
-    tools = F.slice(_member("technologies", "array<string>"), 1, 12)
-    raw["description"] = F.coalesce(raw["description"], truncate(F.concat(F.lit("Technologies: "), F.array_join(tools, ", ")), 600))
-    return _finish(opened, raw)
+    o = _Opened(rows, column, ["company", "data"], _paths(GENERIC, ["parentCompany", "technologies"]), lists=False)
+    tools = F.slice(F.expr(f"try_variant_get(_v{o.at['technologies']}, '$', 'array<string>')"), 1, 12)
+    tools = F.concat(F.lit("Technologies: "), F.array_join(tools, ", "))
+    return _finish(o, GENERIC, parent=[o.nested_parent(PARENT_NAME), o.string_parent(["parent", "parentCompany", "ultimate_parent"])], description=[tools])
 
 
 def normalize_directory(rows: DataFrame, column: str = "payload") -> DataFrame:
     """Flat dataset records: list values, directory hosts refused as domains, one country of many."""
-    opened = _opened(rows, ["company", "data"], column)
-    raw = _generic_raw(lists=True, table=DIRECTORY)
-    named = _pick(DIRECTORY["parent_name"], lists=True)
-    raw["parent_name"] = F.coalesce(named, _string_parent(PARENT_OBJECTS), _nested_parent(PARENT_NAME, lists=True))
-    return _finish(opened, raw, country=_country, domain=company_domain)
+    o = _Opened(rows, column, ["company", "data"], _paths(DIRECTORY, []), lists=True)
+    return _finish(o, DIRECTORY, country=_country, domain=company_domain, parent=[o.string_parent(PARENT_OBJECTS), o.nested_parent(PARENT_NAME)])
+
+
+PROVIDERS = {"tech": normalize_tech, "directory": normalize_directory}
+
+
+def normalize_provider(rows: DataFrame, provider: str, column: str = "payload") -> DataFrame:
+    """Mapping of one provider; unknown ones are read as generic."""
+    return PROVIDERS.get(provider, normalize_generic)(rows, column)
 
 
 def normalize_payloads(rows: DataFrame, column: str = "payload") -> DataFrame:
-    """Dispatch on ``provider``: tech and directory have their own mappings, anything else is generic."""
+    """Dispatch on the ``provider`` column."""
     provider = F.coalesce("provider", F.lit("generic"))
-    return (
-        normalize_generic(rows.where(~provider.isin("tech", "directory")), column)
-        .unionByName(normalize_tech(rows.where(provider == "tech"), column))
-        .unionByName(normalize_directory(rows.where(provider == "directory"), column))
-    )
+    out = normalize_generic(rows.where(~provider.isin(*PROVIDERS)), column)
+    for name, normalize in PROVIDERS.items():
+        out = out.unionByName(normalize(rows.where(provider == name), column))
+    return out
 
 
 def mapping_coverage(normalized: DataFrame) -> DataFrame:

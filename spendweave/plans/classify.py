@@ -22,7 +22,7 @@ UNKNOWN_NOTE = " not found in the local UNSPSC taxonomy; confidence reduced)"
 
 def work_items(members: DataFrame, plan: DataFrame, params: Params, only_missing: bool = True, preserve_reviewed: bool = True, strategy: str = "tiered") -> DataFrame:
     """Suppliers to score: family representatives and singles, with their tier."""
-    own = members.drop("name", "cluster_key", "parent_name").withColumn("_named", F.coalesce(members["parent_name"], F.lit("")) != "")
+    own = members.withColumn("_named", F.coalesce("parent_name", F.lit("")) != "").drop("name", "cluster_key", "parent_name")
     todo = plan.where(F.col("mode") != "inherit").join(own, plan["supplier_id"] == own["id"])
     if preserve_reviewed:
         todo = todo.where(~F.coalesce("reviewed", F.lit(False)))

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from spendweave.functions.domains import single_word_domain
-from spendweave.functions.payloads import FIELDS, normalize_payloads
+from spendweave.functions.payloads import FIELDS, normalize_provider
 from spendweave.functions.text import enrichment_fingerprint, parent_in_name
 from spendweave.functions.values import as_of
 from spendweave.operators import batches as b
@@ -71,8 +71,8 @@ def enrich_run(
     answers, _ = cut(answers)
     good = answers.where(F.col("error").isNull() & F.col("payload").isNotNull())
     rest = answers.where(F.col("error").isNotNull() | F.col("payload").isNull())
-    restored = normalize_payloads(hits.select("id", F.lit(provider).alias("provider"), "payload")).withColumn("status", F.lit("cached"))
-    looked = normalize_payloads(good.select("id", F.lit(provider).alias("provider"), "payload")).withColumn("status", F.lit("enriched"))
+    restored = normalize_provider(hits.select("id", "payload"), provider).withColumn("status", F.lit("cached"))
+    looked = normalize_provider(good.select("id", "payload"), provider).withColumn("status", F.lit("enriched"))
     offline = _heuristic(wanted.join(rest.select("id"), "id", "left_semi")).join(rest.select("id", "error"), "id")
     missing = F.lit(None if lookup is None else "no data").cast("string")
     offline = offline.withColumn("error", F.coalesce("error", missing)).withColumn("status", F.when(F.col("error").isNull(), "enriched").otherwise("failed"))
