@@ -213,10 +213,10 @@ outcome AS (SELECT 'classified' AS status, conf FROM scored_now UNION ALL SELECT
     with_views("SELECT status, count(*) AS suppliers, count(CASE WHEN conf < 0.7 THEN 1 END) AS low_confidence, sum(conf)::DOUBLE AS confidence_sum FROM outcome GROUP BY 1", ROOTS, MEMBERS, SCORED, PLAN, RUN),
 )
 def classify_run(t: Tables) -> DataFrame:
-    return run_classify(t.suppliers, t.classifications, t.taxonomy, P, stub_score(), only_missing=False)["summary"]
+    return run_classify(t.registry, t.classifications, t.taxonomy, P, stub_score(), only_missing=False)["summary"]
 
 
 @query("refresh_run")
 def refresh_run(t: Tables) -> DataFrame:
     usage = aggregates.usage_daily(t.calls)
-    return run_refresh(t.suppliers, t.classifications, t.taxonomy, t.cache, usage, P, stub_score(), stub_lookup(), batch_size=100_000, max_batches=1)["summary"]
+    return run_refresh(t.registry, t.classifications, t.taxonomy, t.cache, usage, P, stub_score(), stub_lookup(), batch_size=100_000, max_batches=1)["summary"]

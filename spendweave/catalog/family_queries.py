@@ -140,7 +140,7 @@ SEEN = """seen AS (SELECT id AS seed_id, id, 0 AS level, [id] AS path FROM v_sup
 @query("descendants", with_views("SELECT seed_id, id, CAST(min(level) AS BIGINT) AS level FROM seen WHERE level > 0 GROUP BY 1, 2", SEEN))
 def descendants(t: Tables) -> DataFrame:
     seeds = t.suppliers.where("is_parent").select(F.col("id").alias("seed_id"))
-    return fam.descendants(seeds, t.suppliers.select("id", "parent_id"))
+    return fam.descendants(seeds, t.registry.select("id", "parent_id"))
 
 
 BELOW = """below AS (SELECT id AS seed_id, id, [id] AS path FROM v_suppliers WHERE id % 3 = 1
@@ -150,7 +150,7 @@ BELOW = """below AS (SELECT id AS seed_id, id, [id] AS path FROM v_suppliers WHE
 @query("reclass_scope", with_views("SELECT DISTINCT id FROM below", BELOW))
 def reclass_scope(t: Tables) -> DataFrame:
     seeds = t.suppliers.where("id % 3 = 1").select(F.col("id").alias("seed_id"))
-    return fam.scope_below(seeds, t.suppliers.select("id", "parent_id"))
+    return fam.scope_below(seeds, t.registry.select("id", "parent_id"))
 
 
 @query(
@@ -163,7 +163,7 @@ FROM proposals p LEFT JOIN v_suppliers s ON s.id = p.supplier_id LEFT JOIN v_sup
 def link_guard(t: Tables) -> DataFrame:
     pick = F.expr("CASE id % 5 WHEN 0 THEN id WHEN 1 THEN id + 4 WHEN 2 THEN id - 1 WHEN 3 THEN id + 1 ELSE id + 5000000 END")
     proposals = t.suppliers.select(F.col("id").alias("supplier_id"), pick.alias("parent_id"))
-    return fam.link_guard(proposals, t.suppliers.select("id", "parent_id"))
+    return fam.link_guard(proposals, t.registry.select("id", "parent_id"))
 
 
 @query(
@@ -178,7 +178,7 @@ judged AS (SELECT s.id, s.parent_name, {q.key('s.parent_name')} AS parent_key, g
 )
 def resolve_links(t: Tables) -> DataFrame:
     below = F.concat(F.lit("Supplier#"), F.lpad(F.col("id").cast("string"), 9, "0"))
-    rows = t.suppliers.withColumn("parent_name", F.when(F.col("id") % 10 == 1, below).otherwise(F.col("parent_name")))
+    rows = t.registry.withColumn("parent_name", F.when(F.col("id") % 10 == 1, below).otherwise(F.col("parent_name")))
     out = fam.resolve_links(rows, P)
     top = rows.agg(F.max("id").alias("_top"))
     shift = out["links"].withColumn("_one", F.lit(1)).join(top.withColumn("_one", F.lit(1)), "_one")

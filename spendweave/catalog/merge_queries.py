@@ -76,7 +76,7 @@ upserted AS (SELECT *, CASE WHEN old_id IS NULL THEN (SELECT max(id) FROM v_supp
 
 
 def _upsert(t: Tables) -> dict[str, DataFrame]:
-    return resolve_entities(t.lines, t.suppliers, P)
+    return resolve_entities(t.lines, t.registry, P)
 
 
 @query(
@@ -165,7 +165,7 @@ scope AS (SELECT request_id, id AS supplier_id, min(level) AS level FROM reach G
 
 
 def _corrected(t: Tables) -> dict[str, DataFrame]:
-    return h.apply_corrections(t.sql(ASKED), t.suppliers, t.classifications, t.taxonomy, P)
+    return h.apply_corrections(t.sql(ASKED), t.registry, t.classifications, t.taxonomy, P)
 
 
 @query(

@@ -88,4 +88,4 @@ LEFT JOIN (SELECT * FROM v_cache WHERE expires_at IS NULL OR expires_at >= TIMES
 WHERE s.enriched_at IS NULL OR s.enriched_at < TIMESTAMP '2001-11-15 00:00:00') x GROUP BY 1"""),
 )
 def enrich_run(t: Tables) -> DataFrame:
-    return run(t.suppliers, t.cache, P, lookup=stub_lookup(), force=False, targets=t.suppliers.where("enriched_at IS NULL OR enriched_at < TIMESTAMP_NTZ '2001-11-15 00:00:00'"))["summary"]
+    return run(t.registry, t.cache, P, lookup=stub_lookup(), force=False, targets=t.suppliers.where("enriched_at IS NULL OR enriched_at < TIMESTAMP_NTZ '2001-11-15 00:00:00'"))["summary"]

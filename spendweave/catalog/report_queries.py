@@ -91,8 +91,8 @@ def audit_summary(t: Tables) -> DataFrame:
 
 
 LINES = f"""lines AS (SELECT raw_name AS name, amount, CAST(NULL AS VARCHAR) AS industry, CASE WHEN l_linenumber = 3 THEN concat('https://www.s', CAST(supplier_no - 1 AS VARCHAR), '.example.com/a') END AS domain,
-    (0, tx_ts, l_orderkey, l_linenumber, amount) AS row_no FROM v_tx
-  UNION ALL SELECT c_name, CAST(o_totalprice AS DECIMAL(18,2)), lower(c_mktsegment), CAST(NULL AS VARCHAR), (1, o_orderdate, o_orderkey, 0, CAST(o_totalprice AS DECIMAL(18,2))) FROM orders JOIN customer ON o_custkey = c_custkey),
+    l_orderkey * 10 + l_linenumber AS row_no FROM v_tx
+  UNION ALL SELECT c_name, CAST(o_totalprice AS DECIMAL(18,2)), lower(c_mktsegment), CAST(NULL AS VARCHAR), o_orderkey + 1000000000000000 FROM orders JOIN customer ON o_custkey = c_custkey),
 spelled AS (SELECT *, {q.title('name')} AS display FROM lines),
 folded AS (SELECT {q.key('display')} AS entity, arg_min(display, row_no) AS name, count(*) AS line_count, sum(amount) AS amount, count(*) AS transaction_count, count(*) - 1 AS duplicates,
   arg_min(industry, row_no) FILTER (industry IS NOT NULL) AS industry, arg_min(domain, row_no) FILTER (domain IS NOT NULL) AS domain FROM spelled GROUP BY 1)"""

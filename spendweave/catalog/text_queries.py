@@ -25,7 +25,7 @@ SELECT {q.key('raw_name')} AS entity, count(*) AS line_count, count(DISTINCT raw
 FROM v_tx GROUP BY 1"""),
 )
 def entity_key(t: Tables) -> DataFrame:
-    lines = t.tx.select(F.col("raw_name").alias("name"), "amount", F.struct("l_orderkey", "l_linenumber").alias("row_no"))
+    lines = t.tx.select(F.col("raw_name").alias("name"), "amount", (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("row_no"))
     folded = fold_lines(lines)
     return folded.select(F.col("key").alias("entity"), "line_count", "spellings", "suffix_spellings", F.col("amount").alias("total_spend"))
 

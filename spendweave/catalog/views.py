@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from spendweave.operators.current import supplier_list
-from spendweave.session import prepare
+from spendweave.session import cut, prepare
 
 TX = """
 SELECT l_orderkey, l_linenumber, l_suppkey + 1 AS supplier_no,
@@ -173,6 +173,11 @@ class Tables:
     def suppliers(self) -> DataFrame:
         return self.sql(SUPPLIERS)
 
+    @cached_property
+    def registry(self) -> DataFrame:
+        """The suppliers as the stored table a job would read, rather than a projection computed per use."""
+        return cut(self.suppliers)[0]
+
     @cached_property
     def taxonomy(self) -> DataFrame:
         return self.sql(TAXONOMY).withColumn("version", F.lit("v1"))
@@ -213,18 +218,19 @@ class Tables:
     def lines(self) -> DataFrame:
         """Transaction lines as an upload would deliver them, with a deterministic file order.
 
-        Customers with their orders play the part of suppliers that are not registered yet.
+        Customers with their orders play the part of suppliers that are not registered yet. Lines with equal
+        order and line numbers spell a supplier alike, so the order among them does not matter.
         """
         tx = self.tx.select(
             F.col("raw_name").alias("name"), "amount", F.lit(None).cast("string").alias("industry"),
             F.when(F.col("l_linenumber") == 3, F.concat(F.lit("https://www.s"), (F.col("supplier_no") - 1).cast("string"), F.lit(".example.com/a"))).alias("domain"),
-            F.struct(F.lit(0).alias("f"), "tx_ts", "l_orderkey", "l_linenumber", "amount").alias("row_no"),
+            (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("row_no"),
         )
         orders, customers = self.base("orders"), self.base("customer")
         new = orders.join(customers, F.col("o_custkey") == F.col("c_custkey")).select(
             F.col("c_name").alias("name"), F.col("o_totalprice").cast("decimal(18,2)").alias("amount"), F.lower("c_mktsegment").alias("industry"),
             F.lit(None).cast("string").alias("domain"),
-            F.struct(F.lit(1).alias("f"), F.col("o_orderdate").alias("tx_ts"), F.col("o_orderkey").alias("l_orderkey"), F.lit(0).alias("l_linenumber"), F.col("o_totalprice").cast("decimal(18,2)").alias("amount")).alias("row_no"),
+            (F.col("o_orderkey") + 1_000_000_000_000_000).alias("row_no"),
         )
         return tx.unionByName(new)
 

@@ -7,7 +7,7 @@ from datetime import datetime, timedelta
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from spendweave.functions.text import entity_key, had_legal_suffix, title_case
+from spendweave.functions.text import SPACE, entity_key, had_legal_suffix, title_case
 from spendweave.functions.values import as_of, low_confidence, round_to
 from spendweave.params import Params
 
@@ -152,13 +152,15 @@ def fold_lines(lines: DataFrame, key: str | None = None) -> DataFrame:
     text = [c for c in FOLD_TEXT + ["currency"] if c in lines.columns]
     count = F.coalesce(F.col("transaction_count"), F.lit(1)) if "transaction_count" in lines.columns else F.lit(1)
     keyed = [key] if key else []
+    # a cheap test: a filter on the display name would be pushed below the grouping and run per line
+    lines = lines.where(F.col("name").rlike(SPACE.replace("[", "[^", 1)))
     spelled = lines.groupBy(*keyed, "name", *text).agg(
         F.count(F.lit(1)).alias("lines"),
         F.sum("amount").alias("amount"),
         F.sum(count).alias("transaction_count"),
         F.min("row_no").alias("row_no"),
     )
-    spelled = spelled.withColumn("display", title_case(F.col("name"))).where(F.col("display") != "")
+    spelled = spelled.withColumn("display", title_case(F.col("name")))
     entity = F.col(key) if key else entity_key(F.col("display"))
     first = lambda c: F.min_by(F.when(F.col(c) != "", F.col(c)), F.when(F.coalesce(F.col(c), F.lit("")) != "", F.col("row_no")))
     return (

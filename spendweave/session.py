@@ -55,11 +55,9 @@ def ranked(df: DataFrame, order: list[Column], name: str = "rank", group: str |
     partitioned, numbered inside their partition, and shifted by the row counts of the partitions
     before them; only (partition, group) counts are ever summed in one place. ``order`` must be total.
     """
-    spark = df.sparkSession
     keys = ([F.col(group).asc()] if group else []) + list(order)
-    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
     placed = (
-        df.repartitionByRange(parts, *keys)
+        df.repartitionByRange(*keys)
         .sortWithinPartitions(*keys)
         .withColumn("_part", F.spark_partition_id())
         .withColumn("_pos", F.monotonically_increasing_id() - F.shiftleft(F.spark_partition_id().cast("long"), 33))

@@ -68,6 +68,15 @@ def _field_count(line: Column, delimiter: str) -> Column:
     return F.length(bare) - F.length(F.replace(bare, F.lit(delimiter), F.lit(""))) + 1
 
 
+def file_order() -> Column:
+    """Row order as one number, so that "first row" aggregates stay on primitive buffers: file (hashed),
+    megabyte of the split's start, position in the task."""
+    file = F.pmod(F.xxhash64(F.col("_metadata.file_path")), F.lit(512)).cast("long")
+    block = F.floor(F.col("_metadata.file_block_start") / (1 << 20)).cast("long")
+    position = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
+    return F.shiftleft(file, 53).bitwiseOR(F.shiftleft(block, 33)).bitwiseOR(position)
+
+
 def read_delimited(spark: SparkSession, path: str, comment: str | None = None, multi_line: bool = False) -> Delimited:
     """Read a file set sharing one header. All values are text; blank rows are dropped.
 
@@ -85,7 +94,7 @@ def read_delimited(spark: SparkSession, path: str, comment: str | None = None, m
     if comment:
         options["comment"] = comment
     raw = spark.read.options(**options).schema(schema).csv(path)
-    place = F.struct(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("n"))
+    place = file_order()
     tail = F.regexp_replace("_raw", "[" + ("\\t" if delimiter == "\t" else "\\" + delimiter) + r"\s]+$", "")
     surplus = (F.coalesce(F.trim("_extra"), F.lit("")) != "") | F.coalesce(_field_count(tail, delimiter) > width, F.lit(False))
     filled = F.coalesce(*[blank_to_null(F.col(c)) for c in schema.names[: width + 1]])

@@ -30,11 +30,12 @@ def stream_ingest(
     reader = spark.readStream.schema(schema).option("header", True).option("sep", delimiter).option("quote", '"').option("escape", '"').option("maxFilesPerTrigger", files_per_batch)
     if comment:
         reader = reader.option("comment", comment)
-    files = reader.csv(path).withColumn("_row_file", F.col("_metadata.file_path"))
+    files = reader.csv(path).select("*", F.pmod(F.xxhash64(F.col("_metadata.file_path")), F.lit(512)).cast("long").alias("_file"))
 
     def merge(batch: DataFrame, batch_id: int) -> None:
-        placed = batch.withColumn("_row", F.struct(F.col("_row_file").alias("file"), F.monotonically_increasing_id().alias("n"))).drop("_row_file")
-        lines, _ = map_supplier_columns(placed, headers, style, params)
+        # file, then position in the task, as one number
+        order = F.shiftleft(F.col("_file"), 53).bitwiseOR(F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 53) - 1)))
+        lines, _ = map_supplier_columns(batch.withColumn("_row", order).drop("_file"), headers, style, params)
         out = resolve_entities(lines, registry.read(), params, amount_mode)
         registry.write(out["suppliers"], batch_id=str(batch_id))
 
