@@ -6,15 +6,26 @@ MONEY = T.DecimalType(18, 2)
 CONFIDENCE = T.DecimalType(3, 2)
 
 
+ALTERNATIVES = T.ArrayType(
+    T.StructType([T.StructField("code", T.StringType()), T.StructField("confidence", T.DoubleType()), T.StructField("description", T.StringType())])
+)
+KINDS = {
+    "bigint": T.LongType(), "int": T.IntegerType(), "string": T.StringType(), "boolean": T.BooleanType(), "timestamp": T.TimestampType(),
+    "date": T.DateType(), "money": MONEY, "confidence": CONFIDENCE, "alternatives": ALTERNATIVES,
+}
+
+
 def _struct(spec: str) -> T.StructType:
-    return T.StructType.fromDDL(spec)
+    """Columns written as ``name kind [not null]``; built without a running session."""
+    fields = [part.split() for part in spec.split(", ")]
+    return T.StructType([T.StructField(f[0], KINDS[f[1]], len(f) == 2) for f in fields])
 
 
 SUPPLIERS = _struct(
     "id bigint not null, name string not null, normalized_name string not null, domain string, industry string, "
-    "naics string, sic string, description string, country string, total_amount decimal(18,2), "
+    "naics string, sic string, description string, country string, total_amount money, "
     "transaction_count bigint, currency string, parent_id bigint, parent_name string, parent_domain string, "
-    "is_parent boolean, parent_source string, parent_confidence decimal(3,2), enriched_at timestamp, "
+    "is_parent boolean, parent_source string, parent_confidence confidence, enriched_at timestamp, "
     "enrich_attempts int, last_enrich_error string, enrich_fingerprint string, stale boolean, stale_reason string, "
     "created_at timestamp, updated_at timestamp"
 )
@@ -25,8 +36,8 @@ TAXONOMY = _struct(
 )
 
 CLASSIFICATIONS = _struct(
-    "id bigint not null, supplier_id bigint not null, unspsc_code string, confidence decimal(3,2), reasoning string, "
-    "llm_model string, alternatives array<struct<code:string,confidence:double,description:string>>, "
+    "id bigint not null, supplier_id bigint not null, unspsc_code string, confidence confidence, reasoning string, "
+    "llm_model string, alternatives alternatives, "
     "inherited_from_parent boolean, inherited_from_supplier_id bigint, reviewed boolean, corrected_code string, "
     "corrected_by string, corrected_at timestamp, superseded boolean, created_at timestamp"
 )
