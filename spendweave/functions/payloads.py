@@ -39,66 +39,54 @@ PARENT_DOMAIN = ["domain", "website", "url"]
 class _Opened:
     """Rows with the members needed read out of the payload's company object, stage by stage.
 
-    Each member is read once into its own column, so later expressions are small column references.
+    Each member is read once into its own column (``_v`` value, ``_k`` kind, ``_t`` text, ``_l`` list text),
+    so the picks below are short SQL over columns.
     """
 
     def __init__(self, rows: DataFrame, column: str, wrappers: list[str], paths: list[str], lists: bool):
         kept = [c for c in rows.columns if c not in FIELDS]
-        names = dict.fromkeys(paths)
-        self.at = {path: n for n, path in enumerate(names)}
-        parsed = rows.select(*kept, F.try_parse_json(F.col(column)).alias("_parsed"))
-        parsed = parsed.select("*", *[F.expr(f"try_variant_get(_parsed, '$.{w}', 'variant')").alias(f"_w{w}") for w in wrappers])
-        opened = parsed.select(*kept, _first_object([f"_w{w}" for w in wrappers]).alias("_company"))
-        members = opened.select(*kept, *[F.expr(f"try_variant_get(_company, '$.{p}', 'variant')").alias(f"_v{n}") for p, n in self.at.items()])
-        kinds = members.select("*", *[F.schema_of_variant(f"_v{n}").alias(f"_k{n}") for n in self.at.values()])
-        texts = [F.when(F.col(f"_k{n}").rlike("^(STRING|BIGINT|DOUBLE|FLOAT|DECIMAL)"), F.trim(F.expr(f"try_variant_get(_v{n}, '$', 'string')"))).alias(f"_t{n}") for n in self.at.values()]
-        joined = [_joined(n).alias(f"_l{n}") for p, n in self.at.items() if lists and "." not in p]
-        self.rows, self.kept, self.lists = kinds.select("*", *texts, *joined), kept, lists
-
-    def kind(self, path: str) -> Column:
-        return F.coalesce(F.col(f"_k{self.at[path]}"), F.lit("VOID"))
-
-    def text(self, path: str) -> Column:
-        return F.nullif(F.col(f"_t{self.at[path]}"), F.lit(""))
-
-    def pick(self, paths: list[str]) -> Column:
+        names = [f"`{c}`" for c in kept]
+        self.at = {path: n for n, path in enumerate(dict.fromkeys(paths))}
+        self.kept, self.lists = kept, lists
+        ids = self.at.values()
+        parsed = rows.selectExpr(*names, f"try_parse_json(`{column}`) AS _parsed")
+        parsed = parsed.selectExpr("*", *[f"try_variant_get(_parsed, '$.{w}', 'variant') AS _w{w}" for w in wrappers])
+        company = "CASE " + " ".join(f"WHEN schema_of_variant(_w{w}) LIKE 'OBJECT%' THEN _w{w}" for w in wrappers) + " ELSE _parsed END AS _company"
+        members = parsed.selectExpr(*names, company).selectExpr(*names, *[f"try_variant_get(_company, '$.{p}', 'variant') AS _v{n}" for p, n in self.at.items()])
+        kinds = members.selectExpr("*", *[f"coalesce(schema_of_variant(_v{n}), 'VOID') AS _k{n}" for n in ids])
+        plain = "RLIKE '^(STRING|BIGINT|DOUBLE|FLOAT|DECIMAL)'"
+        texts = [f"CASE WHEN _k{n} {plain} THEN trim(try_variant_get(_v{n}, '$', 'string')) END AS _t{n}" for n in ids]
+        joined = [f"{_joined(n)} AS _l{n}" for p, n in self.at.items() if lists and "." not in p]
+        self.rows = kinds.selectExpr("*", *texts, *joined)
+
+    def text(self, path: str) -> str:
+        return f"nullif(_t{self.at[path]}, '')"
+
+    def pick(self, paths: list[str]) -> str:
         tries = []
         for path in paths:
             tries.append(self.text(path))
             if self.lists and "." not in path:
-                tries.append(F.nullif(F.col(f"_l{self.at[path]}"), F.lit("")))
-        return F.coalesce(*tries)
+                tries.append(f"nullif(_l{self.at[path]}, '')")
+        return f"coalesce({', '.join(tries)})"
 
-    def nested_parent(self, names: list[str]) -> Column:
+    def nested_parent(self, names: list[str]) -> str:
         """Member of the first of the parent values that is an object."""
-        return _cases([(self.kind(h).startswith("OBJECT"), F.coalesce(*[self.text(f"{h}.{n}") for n in names])) for h in PARENT_OBJECTS])
+        cases = [f"WHEN _k{self.at[h]} LIKE 'OBJECT%' THEN {self.pick([f'{h}.{n}' for n in names])}" for h in PARENT_OBJECTS]
+        return f"CASE {' '.join(cases)} END"
 
-    def string_parent(self, holders: list[str]) -> Column:
+    def string_parent(self, holders: list[str]) -> str:
         """First parent value that is present, when it is a text."""
-        return _cases([(self.kind(h) != "VOID", F.when(self.kind(h) == "STRING", self.text(h))) for h in holders])
+        cases = [f"WHEN _k{self.at[h]} <> 'VOID' THEN CASE WHEN _k{self.at[h]} = 'STRING' THEN {self.text(h)} END" for h in holders]
+        return f"CASE {' '.join(cases)} END"
 
 
-def _cases(pairs: list[tuple[Column, Column]]) -> Column:
-    chain = None
-    for test, value in pairs:
-        chain = F.when(test, value) if chain is None else chain.when(test, value)
-    return chain
-
-
-def _first_object(names: list[str]) -> Column:
-    return _cases([(F.coalesce(F.schema_of_variant(n).startswith("OBJECT"), F.lit(False)), F.col(n)) for n in names]).otherwise(F.col("_parsed"))
-
-
-def _joined(n: int) -> Column:
+def _joined(n: int) -> str:
     """Texts of a list value joined by commas; list objects give their name, label or value."""
-
-    def text(i: Column) -> Column:
-        members = [F.nullif(F.trim(F.try_variant_get(i, f"$.{m}", "string")), F.lit("")) for m in ("name", "label", "value")]
-        own = F.when(F.schema_of_variant(i) == "STRING", F.nullif(F.trim(F.try_variant_get(i, "$", "string")), F.lit("")))
-        return F.coalesce(own, *members)
-
-    items = F.expr(f"try_variant_get(_v{n}, '$', 'array<variant>')")
-    return F.when(F.col(f"_k{n}").startswith("ARRAY"), F.array_join(F.array_compact(F.transform(items, text)), ", "))
+    own = "CASE WHEN schema_of_variant(i) = 'STRING' THEN nullif(trim(try_variant_get(i, '$', 'string')), '') END"
+    members = ", ".join(f"nullif(trim(try_variant_get(i, '$.{m}', 'string')), '')" for m in ("name", "label", "value"))
+    items = f"transform(try_variant_get(_v{n}, '$', 'array<variant>'), i -> coalesce({own}, {members}))"
+    return f"CASE WHEN _k{n} LIKE 'ARRAY%' THEN array_join(array_compact({items}), ', ') END"
 
 
 def _country(c: Column) -> Column:
@@ -118,17 +106,18 @@ def _paths(table: dict[str, list[str]], more: list[str]) -> list[str]:
     return [p for paths in table.values() for p in paths] + PARENT_OBJECTS + nested + more
 
 
-def _finish(o: _Opened, table: dict[str, list[str]], country=lambda c: c, domain=registrable_domain, parent: list[Column] = (), description: list[Column] = ()) -> DataFrame:
+def _finish(o: _Opened, table: dict[str, list[str]], country=lambda c: c, domain=registrable_domain, parents: list[str] = (), description: str = "CAST(NULL AS STRING)") -> DataFrame:
     raw = {name: o.pick(paths) for name, paths in table.items()}
-    raw["parent_name"] = F.coalesce(raw["parent_name"], *(parent or [o.nested_parent(PARENT_NAME)]))
-    raw["parent_domain"] = F.coalesce(raw["parent_domain"], o.nested_parent(PARENT_DOMAIN))
-    picked = o.rows.select(*o.kept, *[c.alias(f"_{f}") for f, c in raw.items()], *[c.alias(f"_more{i}") for i, c in enumerate(description)])
+    raw["parent_name"] = f"coalesce({', '.join([raw['parent_name'], *(parents or [o.nested_parent(PARENT_NAME)])])})"
+    raw["parent_domain"] = f"coalesce({raw['parent_domain']}, {o.nested_parent(PARENT_DOMAIN)})"
+    names = [f"`{c}`" for c in o.kept]
+    picked = o.rows.selectExpr(*names, *[f"{sql} AS _{f}" for f, sql in raw.items()], f"{description} AS _more")
     shaped = {
         "domain": domain(F.col("_domain")),
         "industry": truncate(F.col("_industry"), 200),
         "naics": _digits(F.col("_naics"), 8),
         "sic": _digits(F.col("_sic"), 6),
-        "description": F.coalesce(truncate(F.col("_description"), 1200), *[truncate(F.col(f"_more{i}"), 600) for i in range(len(description))]),
+        "description": F.coalesce(truncate(F.col("_description"), 1200), truncate(F.col("_more"), 600)),
         "country": truncate(country(F.col("_country")), 100),
         "parent_name": F.nullif(F.trim("_parent_name"), F.lit("")),
         "parent_domain": registrable_domain(F.col("_parent_domain")),
@@ -143,15 +132,14 @@ def normalize_generic(rows: DataFrame, column: str = "payload") -> DataFrame:
 def normalize_tech(rows: DataFrame, column: str = "payload") -> DataFrame:
     """As generic, with a text parent accepted and a description made of the technologies list."""
     o = _Opened(rows, column, ["company", "data"], _paths(GENERIC, ["parentCompany", "technologies"]), lists=False)
-    tools = F.slice(F.expr(f"try_variant_get(_v{o.at['technologies']}, '$', 'array<string>')"), 1, 12)
-    tools = F.concat(F.lit("Technologies: "), F.array_join(tools, ", "))
-    return _finish(o, GENERIC, parent=[o.nested_parent(PARENT_NAME), o.string_parent(["parent", "parentCompany", "ultimate_parent"])], description=[tools])
+    tools = f"concat('Technologies: ', array_join(slice(try_variant_get(_v{o.at['technologies']}, '$', 'array<string>'), 1, 12), ', '))"
+    return _finish(o, GENERIC, parents=[o.nested_parent(PARENT_NAME), o.string_parent(["parent", "parentCompany", "ultimate_parent"])], description=tools)
 
 
 def normalize_directory(rows: DataFrame, column: str = "payload") -> DataFrame:
     """Flat dataset records: list values, directory hosts refused as domains, one country of many."""
     o = _Opened(rows, column, ["company", "data"], _paths(DIRECTORY, []), lists=True)
-    return _finish(o, DIRECTORY, country=_country, domain=company_domain, parent=[o.string_parent(PARENT_OBJECTS), o.nested_parent(PARENT_NAME)])
+    return _finish(o, DIRECTORY, country=_country, domain=company_domain, parents=[o.string_parent(PARENT_OBJECTS), o.nested_parent(PARENT_NAME)])
 
 
 PROVIDERS = {"tech": normalize_tech, "directory": normalize_directory}

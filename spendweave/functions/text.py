@@ -102,9 +102,10 @@ def parent_reject_reason(value: Column) -> Column:
 
 def keywords(text: Column, limit: int) -> Column:
     """First ``limit`` distinct words of four or more characters that are not stop words or numbers."""
-    words = F.split(F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), r"[^a-z0-9\s-]", " "), r"\s+")
-    kept = F.filter(words, lambda w: (F.length(w) >= 4) & ~w.isin(STOP_WORDS) & ~w.rlike(r"^\d+$"))
-    return F.slice(F.array_distinct(kept), 1, limit)
+    # words are runs of letters, digits and hyphens; one pass finds those long enough
+    words = F.array_distinct(F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit("[a-z0-9-]{4,}"), F.lit(0)))
+    kept = F.filter(words, lambda w: ~w.isin(STOP_WORDS) & (F.translate(w, "0123456789", "") != ""))
+    return F.slice(kept, 1, limit)
 
 
 def fnv1a(text: Column) -> Column:
