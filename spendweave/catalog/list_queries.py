@@ -246,6 +246,14 @@ def last_event(t: Tables) -> DataFrame:
     return current.last_event(t.audit, "error")
 
 
+@query(
+    "last_event_with",
+    with_views("SELECT action, max(created_at) AS at, arg_max(details, (created_at, id)) AS details FROM v_audit WHERE action = 'click' AND json_extract_string(details, '$.k') = '42' GROUP BY action"),
+)
+def last_event_with(t: Tables) -> DataFrame:
+    return current.last_event(t.audit, "click", "k", "42")
+
+
 @query(
     "needs_enrichment",
     with_views(f"""SELECT 'never' AS mode, id FROM (SELECT id FROM v_suppliers WHERE enriched_at IS NULL ORDER BY total_amount DESC NULLS FIRST, id LIMIT 10) a

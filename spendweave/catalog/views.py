@@ -141,6 +141,9 @@ def with_views(sql: str, *extra: str) -> str:
     return "WITH RECURSIVE " + ",\n".join(parts) + "\n" + sql
 
 
+_SCHEMAS: dict[str, T.StructType] = {}
+
+
 class Tables:
     """The projections as DataFrames over one folder of the given tables."""
 
@@ -150,7 +153,10 @@ class Tables:
 
     def base(self, name: str) -> DataFrame:
         if name not in self._read:
-            self._read[name] = self.spark.read.parquet(f"{self.folder}/{name}.parquet")
+            path = f"{self.folder}/{name}.parquet"
+            if path not in _SCHEMAS:
+                _SCHEMAS[path] = self.spark.read.parquet(path).schema
+            self._read[name] = self.spark.read.schema(_SCHEMAS[path]).parquet(path)
         return self._read[name]
 
     def sql(self, text: str) -> DataFrame:

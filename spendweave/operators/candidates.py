@@ -56,8 +56,8 @@ def candidate_codes(suppliers: DataFrame, taxonomy: DataFrame, limit: int = 20)
     dropped when any better one exists.
     """
     asked = suppliers.select(F.col("id").alias("supplier_id"), query_keywords(F.col("industry"), F.col("name"), F.col("description")).alias("words"))
-    asked = asked.where(F.size("words") > 0).withColumn("query", F.array_join("words", " "))
-    queries = asked.groupBy("query").agg(F.first("words").alias("words"))
+    asked = asked.where(F.size("words") > 0).select("supplier_id", F.array_join("words", " ").alias("query"))
+    queries = asked.select("query").distinct().withColumn("words", F.split("query", " "))
     words = queries.select(F.explode("words").alias("keyword")).distinct()
     most = max(15, 3 * limit)
     postings = _postings(words, taxonomy, most)

@@ -151,8 +151,9 @@ def supplier_history(history: DataFrame, keep: int = 50) -> DataFrame:
     )
 
 
-def last_event(audit: DataFrame, action: str) -> DataFrame:
-    """Latest event of one action, with its payload."""
-    return audit.where(F.col("action") == action).groupBy("action").agg(
-        F.max("created_at").alias("at"), F.max_by("details", F.struct("created_at", "id")).alias("details")
-    )
+def last_event(audit: DataFrame, action: str, member: str | None = None, value: str | None = None) -> DataFrame:
+    """Latest event of one action with its payload, optionally only those whose details have ``member = value``."""
+    rows = audit.where(F.col("action") == action)
+    if member:
+        rows = rows.where(F.get_json_object("details", f"$.{member}") == value)
+    return rows.groupBy("action").agg(F.max("created_at").alias("at"), F.max_by("details", F.struct("created_at", "id")).alias("details"))

@@ -23,8 +23,8 @@ def _by_ancestor(open_rows: DataFrame, lookup: DataFrame, pending: int) -> DataF
 
 
 def _climb(links: DataFrame) -> tuple[DataFrame, int]:
-    """Pointer doubling over ``(id, parent)``. Returns rows ``(id, parent, orphan, anc, hops, done)`` and
-    how many never finish. Each round doubles the distance covered; a finite chain always has a row at
+    """Pointer doubling over ``(id, parent)``. Returns rows ``(id, parent, orphan, anc, hops, low, done)``,
+    ``low`` being the smallest id on the way to ``anc``, and how many rows never finish. Each round doubles the distance covered; a finite chain always has a row at
     every depth, so a round that finishes no row proves that the open rows lead into cycles."""
     heads = links.select(F.col("id").alias("anc"), F.col("parent").alias("_grand"), F.lit(True).alias("_found"))
     linked = spread_join(links.where(F.col("parent").isNotNull()).withColumn("anc", F.col("parent")), heads, "anc", spread_by="id", how="left")
@@ -36,14 +36,15 @@ def _climb(links: DataFrame) -> tuple[DataFrame, int]:
         (F.col("parent").isNotNull() & F.col("_found").isNull()).alias("orphan"),
         F.when(F.col("_found"), F.col("parent")).otherwise(F.col("id")).alias("anc"),
         F.when(F.col("_found"), 1).otherwise(0).cast("long").alias("hops"),
+        F.col("id").alias("low"),
         (F.col("_found").isNull() | F.col("_grand").isNull()).alias("done"),
     )
     state, seen = cut(start, pending=F.count_if(~F.col("done")))
     pending = seen["pending"]
     while pending:
-        lookup = state.select(F.col("id").alias("anc"), F.col("anc").alias("_anc"), F.col("hops").alias("_hops"), F.col("done").alias("_done"))
+        lookup = state.select(F.col("id").alias("anc"), F.col("anc").alias("_anc"), F.col("hops").alias("_hops"), F.col("low").alias("_low"), F.col("done").alias("_done"))
         moved = _by_ancestor(state.where(~F.col("done")), lookup, pending).select(
-            "id", "parent", "orphan", F.col("_anc").alias("anc"), (F.col("hops") + F.col("_hops")).alias("hops"), F.col("_done").alias("done")
+            "id", "parent", "orphan", F.col("_anc").alias("anc"), (F.col("hops") + F.col("_hops")).alias("hops"), F.least("low", "_low").alias("low"), F.col("_done").alias("done")
         )
         moved, seen = cut(moved, pending=F.count_if(~F.col("done")))
         state = state.where("done").unionByName(moved)
@@ -54,10 +55,10 @@ def _climb(links: DataFrame) -> tuple[DataFrame, int]:
 
 
 def _rings(open_rows: DataFrame) -> tuple[DataFrame, int]:
-    """Rows on a cycle, with the cycle's smallest id. The images under repeated doubling shrink to the
-    cycle rows exactly when their number stops falling; the smallest id on the way is final once a round
-    changes none."""
-    ring = open_rows.select("id", F.col("parent").alias("anc"), F.col("id").alias("low"))
+    """Rows on a cycle, with the cycle's smallest id, going on from where climbing stopped. The images under
+    repeated doubling shrink to the cycle rows exactly when their number stops falling; the smallest id on
+    the way is final once a round changes none."""
+    ring = open_rows.select("id", "anc", "low")
     images = ring.select("anc").distinct().count()
     while True:
         lookup = ring.select(F.col("id").alias("anc"), F.col("anc").alias("_anc"), F.col("low").alias("_low"))
@@ -88,7 +89,7 @@ def _resolve(nodes: DataFrame) -> DataFrame:
     flat = state.where("done").select("id", F.col("anc").alias("root_id"), F.col("hops").alias("depth"), F.col("orphan").alias("is_orphan"), F.lit(False).alias("in_cycle"))
     if not looping:
         return flat
-    open_rows = state.where(~F.col("done")).select("id", "parent")
+    open_rows = state.where(~F.col("done")).select("id", "parent", "anc", "low")
     rings, members = _rings(open_rows)
     sizes = rings.groupBy("ring_root").agg((F.count(F.lit(1)) - 1).alias("_around"))
     rings = rings.join(sizes, "ring_root")
@@ -345,9 +346,9 @@ def link_guard(proposals: DataFrame, rows: DataFrame) -> DataFrame:
     return settled.unionByName(walked)
 
 
-def resolve_parent(rows: DataFrame) -> DataFrame:
+def resolve_parent(rows: DataFrame, registry: DataFrame | None = None) -> DataFrame:
     """Registered supplier behind each declared parent name, by entity key (smallest id when several)."""
-    registered = rows.groupBy(entity_key(F.col("name")).alias("parent_key")).agg(F.min("id").alias("resolved_parent_id"))
+    registered = (rows if registry is None else registry).groupBy(entity_key(F.col("name")).alias("parent_key")).agg(F.min("id").alias("resolved_parent_id"))
     declared = rows.where(F.coalesce("parent_name", F.lit("")) != "").select("id", "name", "parent_name", entity_key(F.col("parent_name")).alias("parent_key"))
     return spread_join(declared, registered, "parent_key", spread_by="id", how="left")
 
@@ -358,7 +359,7 @@ def resolve_links(rows: DataFrame, params: Params) -> dict[str, DataFrame]:
     ``links`` has a status per candidate (linked, low_confidence, self, cycle), ``created`` the new parent
     rows, ``suppliers`` the next version of the registry. All candidates see the registry as it was.
     """
-    known = resolve_parent(rows.where(F.col("parent_id").isNull()).unionByName(rows.where(F.col("parent_id").isNotNull()).withColumn("parent_name", F.lit(None).cast("string"))))
+    known = resolve_parent(rows.where(F.col("parent_id").isNull()), registry=rows)
     roots = resolve_roots(rows).select(F.col("id").alias("resolved_parent_id"), F.col("root_id").alias("_root"))
     details = _optional(_optional(rows, "parent_domain"), "parent_source").select(
         "id", "normalized_name", "industry", "parent_domain", "parent_confidence", "parent_source"

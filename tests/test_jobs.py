@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 
 from spendweave.catalog.classify_queries import stub_score
 from spendweave.operators import aggregates, review
+from spendweave.operators.families import clusters, parent_options
 from spendweave.operators.current import conform, supplier_list
+from spendweave.operators.quality import required_tables
 from spendweave.operators.filters import SupplierFilter, supplier_filter
 from spendweave.params import Params
 from spendweave.plans.classify import classify_run
@@ -82,6 +84,9 @@ def test_versioned_table(spark, tmp_path):
     assert (old.count(), table.read().count(), table.read(1).count()) == (3, 5, 3)
     lake = Lake(spark, str(tmp_path / "lake"))
     assert lake.table("suppliers").read().count() == 0 and lake.present() == []
+    lake.table("reports").write(lake.table("reports").read())
+    checked = {r.table_name: r.present for r in required_tables(spark, lake.present(), ["suppliers", "reports"]).collect()}
+    assert checked == {"suppliers": False, "reports": True}
 
 
 LIST = [
@@ -140,6 +145,8 @@ def test_filtered_parent_leaves_child_alone(spark, registry, taxonomy):
     history = conform(spark.range(0), CLASSIFICATIONS)
     report = build_report(registry, history, taxonomy, P, SupplierFilter(only_subsidiaries=True))
     assert {r.cluster_key for r in report.rollup.collect()} == {"s:2", "s:3"}
+    whole = build_report(registry, history, taxonomy, P)
+    assert [(r.cluster_key, r.subsidiary_count) for r in parent_options(clusters(whole.members)).collect()] == [("s:1", 2)]
     listed = supplier_list(registry, history, taxonomy)
     assert [r.id for r in supplier_filter(listed, SupplierFilter(parent="Maker 1"), P).orderBy("id").collect()] == [2, 3]
 
