@@ -76,6 +76,7 @@ def ranked(df: DataFrame, order: list[Column], name: str = "rank", group: str |
 
 
 HOT_KEYS = 1000
+HOT_ROWS = 10_000  # fewer rows than this on one key need no spreading
 
 
 def spread_join(
@@ -84,7 +85,7 @@ def spread_join(
     """Join ``many`` to ``one`` (unique on ``key``) when a few keys may hold a large share of ``many``.
 
     The ``HOT_KEYS`` most frequent keys are found by a partially aggregated count; any other key holds at
-    most 1/HOT_KEYS of the rows. Hot keys are salted on the many side (by a hash of ``spread_by``, so a
+    most 1/HOT_KEYS of the rows. Those above ``HOT_ROWS`` are salted on the many side (by a hash of ``spread_by``, so a
     retried task repeats its choice) and repeated on the one side, so the result is exact. The hot list
     has at most ``HOT_KEYS`` rows, so broadcasting it is bounded.
     """
@@ -94,6 +95,7 @@ def spread_join(
         .agg(F.count(F.lit(1)).alias("_n"))
         .orderBy(F.col("_n").desc(), F.col(key))
         .limit(HOT_KEYS)
+        .where(F.col("_n") > HOT_ROWS)
         .select(key, F.lit(True).alias("_hot"))
     )
     left = (

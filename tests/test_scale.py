@@ -10,7 +10,8 @@ from spendweave.session import cut, ranked, spread_join
 WORDS = ["valve", "valves", "industrial", "computer", "repair", "cleaning", "steel", "pipe", "office", "paper", "medical", "device", "bolt", "ring"]
 
 
-def test_spread_join_equals_plain_join(spark):
+def test_spread_join_equals_plain_join(spark, monkeypatch):
+    monkeypatch.setattr(session, "HOT_ROWS", 30)
     many = spark.range(3000).select("id", F.when(F.col("id") < 1000, 7).when(F.col("id") < 1100, None).otherwise(F.col("id") % 50).alias("k"))
     one = spark.range(40).select(F.col("id").alias("k"), (F.col("id") * 2).alias("v"))
     for how in ("inner", "left"):
