@@ -102,10 +102,9 @@ def parent_reject_reason(value: Column) -> Column:
 
 def keywords(text: Column, limit: int) -> Column:
     """First ``limit`` distinct words of four or more characters that are not stop words or numbers."""
-    # words are runs of letters, digits and hyphens; one pass finds those long enough
-    words = F.array_distinct(F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit("[a-z0-9-]{4,}"), F.lit(0)))
-    kept = F.filter(words, lambda w: ~w.isin(STOP_WORDS) & (F.translate(w, "0123456789", "") != ""))
-    return F.slice(kept, 1, limit)
+    # whole runs of letters, digits and hyphens that are long enough and not digits only, in one pass
+    runs = F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit("(?<![a-z0-9-])(?=[0-9]*[a-z-])[a-z0-9-]{4,}"), F.lit(0))
+    return F.slice(F.array_except(runs, F.array(*[F.lit(w) for w in STOP_WORDS])), 1, limit)
 
 
 def fnv1a(text: Column) -> Column:
