@@ -9,7 +9,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spendweave.llm import langid, lines, mixing, packing, simhash
+from spendweave.llm import langid, lines, mixing, packing, quality, simhash, spans
 from spendweave.llm.common import table
 
 TOKENIZER = os.environ.get("TOKENIZER_PATH", "/opt/tokenizers/word_bpe_49k.json")
@@ -50,6 +50,93 @@ FROM documents d LEFT JOIN (
 """
 
 
+def op6_quality(spark: SparkSession, folder: str) -> DataFrame:
+    return quality.judge(table(spark, folder, "documents")).drop("lang", "source")
+
+
+OP6_SQL = r"""
+WITH d AS (
+  SELECT doc_id, lang, source, coalesce(text, '') AS text,
+         list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),
+ln AS (
+  SELECT doc_id, line, row_number() OVER (PARTITION BY doc_id, line ORDER BY i) AS turn
+  FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM d)
+  WHERE regexp_matches(line, '[^\x20\x09-\x0D]')),
+dl AS (SELECT doc_id, count(*) FILTER (WHERE turn > 1) AS n FROM ln GROUP BY doc_id),
+wi AS (
+  SELECT doc_id, i, array_to_string(w[i:i+7], ' ') AS win
+  FROM (SELECT doc_id, w, unnest(range(1, len(w) - 6)) AS i FROM d WHERE len(w) >= 8)),
+tw AS (SELECT doc_id, i FROM (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, win) AS n FROM wi) WHERE n > 1),
+rw AS (SELECT doc_id, count(DISTINCT p) AS n FROM (SELECT doc_id, unnest(range(i, i + 8)) AS p FROM tw) GROUP BY doc_id),
+m AS (
+  SELECT d.doc_id, lang, source, len(w)::BIGINT AS n_words, coalesce(list_sum(list_transform(w, lambda x: length(x))), 0)::BIGINT AS word_chars,
+         len(regexp_extract_all(text, '[#*$%&|<>]'))::BIGINT AS n_symbols, coalesce(dl.n, 0) AS n_dup_lines, coalesce(rw.n, 0) AS n_repeat_words
+  FROM d LEFT JOIN dl ON d.doc_id = dl.doc_id LEFT JOIN rw ON d.doc_id = rw.doc_id),
+b AS (SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed FROM m),
+v AS (
+  SELECT doc_id, lang, source, base_failed, unnest(['symbols', 'length', 'dup_lines', 'repeats']) AS measure,
+         unnest([1000 * n_symbols // greatest(word_chars, 1), 100 * word_chars // greatest(n_words, 1),
+                 1000 * n_dup_lines // greatest(n_words, 1), 1000 * n_repeat_words // greatest(n_words, 1)]) AS value FROM b),
+s AS (
+  SELECT lang, source, measure, value - value % (1::BIGINT << greatest(length(bin(value)) - 6, 0)::BIGINT) AS bucket, count(*) AS n
+  FROM v WHERE NOT base_failed GROUP BY ALL),
+g AS (
+  SELECT 1 AS level, lang, source, measure, bucket, n FROM s
+  UNION ALL SELECT 2, lang, NULL, measure, bucket, sum(n) FROM s GROUP BY lang, measure, bucket
+  UNION ALL SELECT 3, NULL, NULL, measure, bucket, sum(n) FROM s GROUP BY measure, bucket),
+c AS (
+  SELECT *, sum(n) OVER (PARTITION BY level, lang, source, measure ORDER BY bucket) AS upto,
+         sum(n) OVER (PARTITION BY level, lang, source, measure) AS docs FROM g),
+q AS (
+  SELECT level, lang, source, measure, max(docs) AS docs, min(bucket) FILTER (WHERE upto * 4 >= docs) AS q1,
+         min(bucket) FILTER (WHERE upto * 4 >= 3 * docs) AS q3 FROM c GROUP BY ALL),
+f AS (
+  SELECT level, lang, source, measure, docs, CASE measure WHEN 'length' THEN q1 - (4 * (q3 - q1) + 250) ELSE 0 END AS low,
+         q3 + 4 * (q3 - q1) + CASE measure WHEN 'symbols' THEN 30 WHEN 'length' THEN 250 WHEN 'dup_lines' THEN 20 ELSE 100 END AS high FROM q),
+t AS (
+  SELECT a.lang, a.source, a.measure, CASE WHEN a.docs >= 100 THEN a.low WHEN b.docs >= 100 THEN b.low ELSE z.low END AS low,
+         CASE WHEN a.docs >= 100 THEN a.high WHEN b.docs >= 100 THEN b.high ELSE z.high END AS high
+  FROM f a JOIN f b ON b.level = 2 AND a.lang IS NOT DISTINCT FROM b.lang AND a.measure = b.measure
+  JOIN f z ON z.level = 3 AND a.measure = z.measure WHERE a.level = 1),
+k AS (
+  SELECT v.doc_id, bool_and(coalesce(v.value BETWEEN t.low AND t.high, false)) AS within
+  FROM v LEFT JOIN t ON v.lang IS NOT DISTINCT FROM t.lang AND v.source IS NOT DISTINCT FROM t.source AND v.measure = t.measure GROUP BY v.doc_id)
+SELECT b.doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND within AS kept
+FROM b JOIN k ON b.doc_id = k.doc_id
+"""
+
+
+def op7_spans(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    return spans.dedup_spans(docs).select("doc_id", "n_removed", "text")
+
+
+OP7_SQL = r"""
+WITH p AS (
+  SELECT doc_id, unnest(regexp_extract_all(text, '[^.!?\n]*[.!?]+|[^.!?\n]+|\n')) AS piece,
+         generate_subscripts(regexp_extract_all(text, '[^.!?\n]*[.!?]+|[^.!?\n]+|\n'), 1) AS n
+  FROM documents WHERE text IS NOT NULL),
+s AS (
+  SELECT doc_id, n, row_number() OVER (PARTITION BY doc_id ORDER BY n) AS i,
+         list_filter(regexp_split_to_array(piece, '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w
+  FROM p WHERE regexp_matches(piece, '[^\x20\x09-\x0D.!?]')),
+c AS (SELECT *, sum(len(w)) OVER (PARTITION BY doc_id ORDER BY i) AS upto FROM s),
+r AS (
+  SELECT a.doc_id, a.i, min(b.i) AS j FROM c a JOIN c b ON a.doc_id = b.doc_id AND b.i > a.i AND b.i <= a.i + 8
+  WHERE b.upto - a.upto + len(a.w) >= 8 GROUP BY a.doc_id, a.i),
+k AS (
+  SELECT r.doc_id, r.i, r.j, string_agg(array_to_string(w, ' '), chr(10) ORDER BY c.i) AS body
+  FROM r JOIN c ON r.doc_id = c.doc_id AND c.i BETWEEN r.i AND r.j GROUP BY r.doc_id, r.i, r.j),
+t AS (SELECT *, row_number() OVER (PARTITION BY body ORDER BY doc_id, i) AS turn FROM k),
+g AS (SELECT DISTINCT c.doc_id, c.n FROM t JOIN c ON t.doc_id = c.doc_id AND c.i BETWEEN t.i AND t.j WHERE t.turn > 1),
+x AS (
+  SELECT p.doc_id, count(g.n) AS n_removed, string_agg(piece, '' ORDER BY p.n) FILTER (WHERE g.n IS NULL) AS kept
+  FROM p LEFT JOIN g ON p.doc_id = g.doc_id AND p.n = g.n GROUP BY p.doc_id)
+SELECT d.doc_id, coalesce(x.n_removed, 0) AS n_removed, CASE WHEN d.text IS NULL THEN NULL ELSE coalesce(x.kept, '') END AS text
+FROM documents d LEFT JOIN x ON d.doc_id = x.doc_id
+"""
+
+
 def domains(labels: DataFrame) -> DataFrame:
     """``doc_id, domain`` of labelled documents: toxic, else good or poor."""
     kind = F.when(F.col("toxic") == 1, "toxic").when(F.col("quality") == 1, "good").when(F.col("quality") == 0, "poor")
@@ -74,6 +161,6 @@ def pipeline(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    "op3_simhash": op3_simhash, "op4_language": op4_language, "op5_lines": op5_lines, "op8_mixing": op8_mixing, "op10_packing": op10_packing, "pipeline": pipeline,
+    "op3_simhash": op3_simhash, "op4_language": op4_language, "op5_lines": op5_lines, "op6_quality": op6_quality, "op7_spans": op7_spans, "op8_mixing": op8_mixing, "op10_packing": op10_packing, "pipeline": pipeline,
 }
-CHECKS: dict[str, str] = {"op5_lines": OP5_SQL}
+CHECKS: dict[str, str] = {"op5_lines": OP5_SQL, "op6_quality": OP6_SQL, "op7_spans": OP7_SQL}
