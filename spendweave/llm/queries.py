@@ -9,7 +9,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spendweave.llm import langid, lines, mixing, packing, quality, simhash, spans
+from spendweave.llm import bitslice, langid, lines, lm, mixing, packing, quality, simhash, spans
 from spendweave.llm.common import table
 
 TOKENIZER = os.environ.get("TOKENIZER_PATH", "/opt/tokenizers/word_bpe_49k.json")
@@ -17,6 +17,24 @@ TOKENIZER = os.environ.get("TOKENIZER_PATH", "/opt/tokenizers/word_bpe_49k.json"
 WEIGHTS = {"good": 0.9, "poor": 0.08, "toxic": 0.02}
 
 
+def op2_topk(spark: SparkSession, folder: str) -> DataFrame:
+    rows = bitslice.quantised(table(spark, folder, "embeddings"))
+    return bitslice.search(rows, rows.where("vec_id % 50 = 0"), 5)
+
+
+OP2_SQL = """
+WITH v AS (
+  SELECT vec_id, embedding, unnest(embedding) AS x, generate_subscripts(embedding, 1) AS d FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+q AS (SELECT vec_id, d, CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT) AS x FROM v),
+s AS (
+  SELECT a.vec_id AS query_id, b.vec_id, CAST(sum(a.x * b.x) AS BIGINT) AS score
+  FROM q a JOIN q b ON a.d = b.d AND a.vec_id <> b.vec_id WHERE a.vec_id % 50 = 0 GROUP BY a.vec_id, b.vec_id)
+SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score
+FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s) WHERE rank <= 5
+"""
+
+
 def op3_simhash(spark: SparkSession, folder: str) -> DataFrame:
     found = simhash.near_duplicates(table(spark, folder, "documents"))
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
@@ -148,6 +166,10 @@ def op8_mixing(spark: SparkSession, folder: str) -> DataFrame:
     return mixing.mix(docs, labels, WEIGHTS).select("doc_id", "tokens", "domain", "p", "rate", "copies")
 
 
+def op9_scoring(spark: SparkSession, folder: str) -> DataFrame:
+    return lm.scores(table(spark, folder, "documents"))
+
+
 def op10_packing(spark: SparkSession, folder: str) -> DataFrame:
     pieces = packing.pack(table(spark, folder, "documents"), TOKENIZER)
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset", "tier", "step_group")
@@ -161,6 +183,6 @@ def pipeline(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    "op3_simhash": op3_simhash, "op4_language": op4_language, "op5_lines": op5_lines, "op6_quality": op6_quality, "op7_spans": op7_spans, "op8_mixing": op8_mixing, "op10_packing": op10_packing, "pipeline": pipeline,
+    "op2_topk": op2_topk, "op3_simhash": op3_simhash, "op4_language": op4_language, "op5_lines": op5_lines, "op6_quality": op6_quality, "op7_spans": op7_spans, "op8_mixing": op8_mixing, "op9_scoring": op9_scoring, "op10_packing": op10_packing, "pipeline": pipeline,
 }
-CHECKS: dict[str, str] = {"op5_lines": OP5_SQL, "op6_quality": OP6_SQL, "op7_spans": OP7_SQL}
+CHECKS: dict[str, str] = {"op2_topk": OP2_SQL, "op5_lines": OP5_SQL, "op6_quality": OP6_SQL, "op7_spans": OP7_SQL}
