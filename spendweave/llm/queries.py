@@ -6,10 +6,10 @@ import os
 import sys
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spendweave.llm import bitslice, langid, lines, lm, mixing, packing, quality, simhash, spans
+from spendweave.llm import bitslice, chat, langid, lines, lm, mixing, packing, quality, simhash, spans
 from spendweave.llm.common import table
 
 TOKENIZER = os.environ.get("TOKENIZER_PATH", "/opt/tokenizers/word_bpe_49k.json")
@@ -17,6 +17,60 @@ TOKENIZER = os.environ.get("TOKENIZER_PATH", "/opt/tokenizers/word_bpe_49k.json"
 WEIGHTS = {"good": 0.9, "poor": 0.08, "toxic": 0.02}
 
 
+def conversation_records(turns: DataFrame) -> DataFrame:
+    """``conv_id, record``: each conversation as JSON in one of the layouts that can hold its roles, by a hash of its id."""
+    ordered = turns.select("conv_id", "turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
+    held = ordered.groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct("turn", "role", "text"))).alias("t"))  # one record is one row in the end
+    roles, pick = F.transform("t", lambda x: x["role"]), F.pmod(F.xxhash64("conv_id"), F.lit(3))
+    text = lambda k: F.get("t", F.lit(k))["text"]
+
+    def listed(role: str, body: str, names: dict[str, str]) -> Column:
+        named = F.create_map(*[F.lit(x) for pair in names.items() for x in pair])
+        return F.transform("t", lambda x: F.struct((F.coalesce(F.element_at(named, x["role"]), x["role"]) if names else x["role"]).alias(role), x["text"].alias(body)))
+
+    pair = lambda a, b: F.to_json(F.struct(text(0).alias(a), text(1).alias(b)))
+    messages = F.to_json(F.struct(listed("role", "content", {}).alias("messages")))
+    shared = F.to_json(F.struct(listed("from", "value", {"user": "human", "assistant": "gpt"}).alias("conversations")))
+    dialogue = F.to_json(F.struct(F.struct(listed("speaker", "utterance", {"user": "prompter", "assistant": "bot"}).alias("turns")).alias("data")))
+    plain = F.size(F.array_except(roles, F.array(F.lit("user"), F.lit("assistant"), F.lit("system")))) == 0
+    record = (
+        F.when(roles == F.array(F.lit("user"), F.lit("assistant")), F.when(pick == 0, pair("prompt", "response")).when(pick == 1, pair("question", "answer")).otherwise(pair("instruction", "output")))
+        .when(roles == F.array(F.lit("system"), F.lit("user"), F.lit("assistant")), F.to_json(F.struct(text(0).alias("system"), text(1).alias("prompt"), text(2).alias("response"))))
+        .when(plain & (pick == 1), shared).when(plain & (pick == 2), dialogue).otherwise(messages)
+    )
+    return held.select("conv_id", record.alias("record"))
+
+
+def op1_chat(spark: SparkSession, folder: str) -> DataFrame:
+    """Everything is read back from the formatted text and its mask."""
+    given = table(spark, folder, "conversations").select("conv_id", "turn", "role", "text")
+    control = "\\### Assistant: </turn> ok"
+    extra = spark.createDataFrame([(-7, 0, "user", control), (-7, 1, "assistant", control)], given.schema)
+    out = chat.format_chat(conversation_records(given.unionByName(extra)), "conv_id", "record")
+    turns, loss = chat.read_turns(F.col("formatted")), F.array_join(chat.read_loss(F.col("formatted"), F.col("loss_runs")), "")
+    read = out.select("id", "layout", F.length("formatted").cast("long").alias("formatted_chars"), turns.alias("turns"), loss.alias("loss"))
+    whole = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
+    return read.select(
+        F.col("id").alias("conv_id"), F.size("turns").cast("long").alias("n_turns"), F.sha2(whole, 256).alias("turns_sha256"),
+        F.length("loss").cast("long").alias("loss_chars"), F.sha2("loss", 256).alias("loss_sha256"), "formatted_chars",
+    )
+
+
+OP1_SQL = r"""
+WITH c AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -7, 0, 'user', '\### Assistant: </turn> ok' UNION ALL SELECT -7, 1, 'assistant', '\### Assistant: </turn> ok'),
+e AS (
+  SELECT *, replace(replace(replace(text, '', '\b'), '###', '\h'), '</turn>', '\e') AS shown,
+         replace(replace(replace(replace(replace(role, '', '\b'), '###', '\h'), '</turn>', '\e'), ':', '\c'), chr(10), '\n') AS shown_role FROM c)
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+       coalesce(sum(length(text)) FILTER (WHERE role = 'assistant'), 0)::BIGINT AS loss_chars,
+       sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (WHERE role = 'assistant'), '')) AS loss_sha256,
+       sum(length(shown) + length(shown_role) + 14)::BIGINT AS formatted_chars
+FROM e GROUP BY conv_id
+"""
+
+
 def op2_topk(spark: SparkSession, folder: str) -> DataFrame:
     rows = bitslice.quantised(table(spark, folder, "embeddings"))
     return bitslice.search(rows, rows.where("vec_id % 50 = 0"), 5)
@@ -183,6 +237,6 @@ def pipeline(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    "op2_topk": op2_topk, "op3_simhash": op3_simhash, "op4_language": op4_language, "op5_lines": op5_lines, "op6_quality": op6_quality, "op7_spans": op7_spans, "op8_mixing": op8_mixing, "op9_scoring": op9_scoring, "op10_packing": op10_packing, "pipeline": pipeline,
+    "op1_chat": op1_chat, "op2_topk": op2_topk, "op3_simhash": op3_simhash, "op4_language": op4_language, "op5_lines": op5_lines, "op6_quality": op6_quality, "op7_spans": op7_spans, "op8_mixing": op8_mixing, "op9_scoring": op9_scoring, "op10_packing": op10_packing, "pipeline": pipeline,
 }
-CHECKS: dict[str, str] = {"op2_topk": OP2_SQL, "op5_lines": OP5_SQL, "op6_quality": OP6_SQL, "op7_spans": OP7_SQL}
+CHECKS: dict[str, str] = {"op1_chat": OP1_SQL, "op2_topk": OP2_SQL, "op5_lines": OP5_SQL, "op6_quality": OP6_SQL, "op7_spans": OP7_SQL}
