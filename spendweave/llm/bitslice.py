@@ -10,7 +10,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from spendweave.llm.common import store
+from spendweave.llm.common import lean, lean_group, store
 
 #: Rows of an index block and queries of a chunk: the pieces that meet in one task.
 BLOCK_ROWS, CHUNK_ROWS = 16_384, 128
@@ -150,7 +150,7 @@ def build(rows: DataFrame, blocks: int) -> DataFrame:
             block = {"block": TaskContext.get().partitionId()} | block
             yield pa.RecordBatch.from_arrays([pa.array([x]) for x in block.values()], names=list(block))
 
-    return store(rows.repartition(blocks).mapInArrow(scan, INDEX))
+    return store(rows.repartition(blocks).mapInArrow(lean(scan), INDEX))
 
 
 def search(rows: DataFrame, queries: DataFrame, k: int = 5, block_rows: int = BLOCK_ROWS, chunk_rows: int = CHUNK_ROWS) -> DataFrame:
@@ -181,6 +181,6 @@ def search(rows: DataFrame, queries: DataFrame, k: int = 5, block_rows: int = BL
 
     left = index.withColumn("chunk", F.explode(F.sequence(F.lit(0), F.lit(chunks - 1))))
     right = asked.withColumn("chunk", F.pmod(F.xxhash64("vec_id"), F.lit(chunks)).cast("int")).withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))))
-    found = left.groupBy("block", "chunk").cogroup(right.groupBy("block", "chunk")).applyInArrow(meet, told)
+    found = left.groupBy("block", "chunk").cogroup(right.groupBy("block", "chunk")).applyInArrow(lean_group(meet), told)
     best = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")
     return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from spendweave.llm.common import fresh
+from spendweave.llm.common import fresh, lean
 
 #: Letters of an n-gram and slots of the counting table. The model is languages x SLOTS numbers whatever the corpus size.
 ORDER, SLOTS = 3, 65_536
@@ -157,7 +157,7 @@ def predict(docs: DataFrame, model: Model, carry: list[str], text_col: str = "te
 
     told = T.StructType.fromDDL("lang_pred string, score double, languages array<string>, proportions array<double>")
     schema = T.StructType([*(docs.schema[c] for c in carry), *told.fields])
-    return docs.select(F.col(text_col).cast("string").alias(fresh("text")), *carry).mapInArrow(scan, schema)
+    return docs.select(F.col(text_col).cast("string").alias(fresh("text")), *carry).mapInArrow(lean(scan), schema)
 
 
 def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", parts: int = 3, part: int = 1) -> DataFrame:

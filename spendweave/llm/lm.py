@@ -13,11 +13,11 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from spendweave.llm.common import coded_words, store
+from spendweave.llm.common import coded_words, lean, lean_group, store
 from spendweave.session import cut
 
 #: Bytes of text that are coded together; what is asked for once per block is asked for once for all its documents.
-BLOCK_BYTES = 12 << 20
+BLOCK_BYTES = 6 << 20
 #: Keys that a counting shard should hold.
 SHARD_KEYS = 1 << 20
 #: Buckets of context frequency: never seen, then by doubling.
@@ -106,7 +106,7 @@ def code(docs: DataFrame) -> DataFrame:
         if held and sum(b.num_rows for b in held):
             yield block(held, f"{task}-{made}")
 
-    return docs.mapInArrow(scan, CODED)
+    return docs.mapInArrow(lean(scan), CODED)
 
 
 def _open(row: dict) -> Block:
@@ -141,7 +141,7 @@ def ask(blocks: DataFrame, bits: int) -> DataFrame:
                             column.append(value)
                     yield pa.RecordBatch.from_arrays([pa.array(x) for x in out], names=["shard", "kind", "block", "keys", "main", "held"])
 
-    return blocks.select("block", "words", "tokens", "sizes", "part").mapInArrow(scan, "shard long, kind long, block string, keys binary, main binary, held binary")
+    return blocks.select("block", "words", "tokens", "sizes", "part").mapInArrow(lean(scan), "shard long, kind long, block string, keys binary, main binary, held binary")
 
 
 ANSWER = "block string, shard long, kind long, main binary, held binary, n_main long, n_held long, v_main long, v long"
@@ -225,7 +225,7 @@ def gather(blocks: DataFrame, answers: DataFrame, bits: int, stats: dict) -> Dat
         ]
         return pa.table([pa.array([x]) for x in values], names=[c.split()[0] for c in COUNTED.split(", ")])
 
-    return blocks.groupBy("block").cogroup(answers.where("block is not null").groupBy("block")).applyInArrow(merge, COUNTED)
+    return blocks.groupBy("block").cogroup(answers.where("block is not null").groupBy("block")).applyInArrow(lean_group(merge), COUNTED)
 
 
 def _triples(pair: np.ndarray, context: np.ndarray, word: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -241,9 +241,11 @@ def learn(table: np.ndarray, counts: np.ndarray) -> np.ndarray:
     """Weights of pair, word and uniform shares per bucket of context frequency, by expectation-maximisation.
 
     ``table`` has bucket and the two shares' logarithms relative to the uniform share, ``counts`` how many held-out tokens.
-    A bucket without held-out tokens keeps equal weights; no weight falls below ``LEAST``.
+    A bucket without held-out tokens keeps equal weights; no weight falls below ``LEAST``, but that of pairs is zero where a
+    context was never seen.
     """
     weights = np.full((BUCKETS, 3), 1 / 3)
+    weights[0] = 0, 0.5, 0.5
     for bucket in range(BUCKETS):
         own = table[:, 0] == bucket
         if own.any():
@@ -251,7 +253,7 @@ def learn(table: np.ndarray, counts: np.ndarray) -> np.ndarray:
             shares = np.concatenate([shares, np.ones((len(shares), 1))], axis=1)
             for _ in range(ROUNDS):
                 mixed = shares * weights[bucket]
-                weights[bucket] = np.maximum((counts[own] @ (mixed / mixed.sum(axis=1, keepdims=True))) / counts[own].sum(), LEAST)
+                weights[bucket] = np.maximum((counts[own] @ (mixed / mixed.sum(axis=1, keepdims=True))) / counts[own].sum(), LEAST * (weights[bucket] > 0))
                 weights[bucket] /= weights[bucket].sum()
     return weights
 
@@ -273,7 +275,7 @@ def score(counted: DataFrame, weights: np.ndarray, n_all: int, v: int) -> DataFr
                     names=["doc_id", "held_out", "n_tokens", "n_known", "base_score", "score"],
                 )
 
-    return counted.mapInArrow(scan, "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double")
+    return counted.mapInArrow(lean(scan), "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double")
 
 
 def scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", parts: int = 5, out: int = 1, held: int = 0) -> DataFrame:
@@ -292,8 +294,8 @@ def scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", part
     answers = store(answer(ask(blocks, bits)))
     sums = answers.where("block is null").agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("n_main", "n_held", "v_main", "v")]).first().asDict()
     counted = store(gather(blocks, answers, bits, sums))
-    weights = learn(*_table(counted))
     n_all = sums["n_main"] + sums["n_held"]
+    weights = learn(*_table(counted)) if n_all else np.tile([0.0, 0.0, 1.0], (BUCKETS, 1))
     return score(counted, weights, n_all, sums["v"]).withColumn("train_tokens", F.lit(n_all).cast("long"))
 
 
@@ -306,5 +308,5 @@ def _table(counted: DataFrame) -> tuple[np.ndarray, np.ndarray]:
                 bins = np.frombuffer(bins, np.int32).reshape(-1, 3)
                 yield pa.RecordBatch.from_arrays([*(pa.array(bins[:, k]) for k in range(3)), pa.array(np.frombuffer(counts, np.int64))], names=["b", "two", "one", "n"])
 
-    rows = counted.select("bins", "bin_counts").mapInArrow(scan, "b int, two int, one int, n long").groupBy("b", "two", "one").agg(F.sum("n").alias("n")).toArrow()
+    rows = counted.select("bins", "bin_counts").mapInArrow(lean(scan), "b int, two int, one int, n long").groupBy("b", "two", "one").agg(F.sum("n").alias("n")).toArrow()
     return np.stack([rows[c].to_numpy().astype(np.int64) for c in ("b", "two", "one")], axis=1), rows["n"].to_numpy().astype(np.float64)

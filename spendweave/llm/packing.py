@@ -15,11 +15,13 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from spendweave.llm.common import lean
+
 #: Context sizes, each a power of two, and the tokens of one step's group of sequences.
 TIERS = (256, 512, 1024, 2048)
 STEP_TOKENS = 16_384
 #: Entries a worker's memory of encoded words may hold before it is emptied; it only saves time.
-CACHE_WORDS = 400_000
+CACHE_WORDS = 300_000
 
 #: Fixed values of the tokenizer file: the pieces its pre-tokenizer cuts out.
 PIECES = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
@@ -46,8 +48,8 @@ class WordEncoder:
 
         self.whole = Tokenizer.from_file(path)
         self.letters = _byte_letters()
-        self.pieces: dict[str, np.ndarray] = {}
-        self.words: dict[str, np.ndarray] = {}
+        self.pieces: dict[str, bytes] = {}
+        self.words: dict[str, bytes] = {}
 
     @classmethod
     def of(cls, path: str) -> WordEncoder:
@@ -58,23 +60,22 @@ class WordEncoder:
     def exact(self, text: str) -> np.ndarray:
         return np.array(self.whole.encode(text, add_special_tokens=False).ids, np.uint32)
 
-    def _piece(self, piece: str) -> list[int]:
+    def _piece(self, piece: str) -> bytes:
         held = self.pieces.get(piece)
         if held is None:
             if len(self.pieces) >= CACHE_WORDS:
                 self.pieces.clear()
             spelled = piece if piece.isascii() else "".join(map(self.letters.__getitem__, piece.encode()))
-            held = self.pieces[piece] = np.array([t.id for t in self.whole.model.tokenize(spelled)], np.uint32)
+            held = self.pieces[piece] = np.array([t.id for t in self.whole.model.tokenize(spelled)], np.uint32).tobytes()
         return held
 
-    def word(self, word: str) -> np.ndarray:
+    def word(self, word: str) -> bytes:
         held = self.words.get(word)
         if held is None:
             if len(self.words) >= CACHE_WORDS:
                 self.words.clear()
             text = word.lower() if word.isascii() else unicodedata.normalize("NFC", word).lower()
-            found = [self._piece(p) for p in PIECES.findall(text)]
-            held = self.words[word] = found[0] if len(found) == 1 else np.concatenate(found) if found else np.zeros(0, np.uint32)
+            held = self.words[word] = b"".join(map(self._piece, PIECES.findall(text)))
         return held
 
     def batch(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -88,9 +89,9 @@ class WordEncoder:
         coded = lists.flatten().dictionary_encode()
         index = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
         own = [self.word(w) for w in coded.dictionary.to_pylist()]
-        sizes = np.array([len(x) for x in own], np.int64)
+        sizes = np.fromiter(map(len, own), np.int64, len(own)) // 4
         starts = np.cumsum(sizes) - sizes
-        every = np.concatenate(own) if own else np.zeros(0, np.uint32)
+        every = np.frombuffer(b"".join(own), np.uint32)
         long = sizes[index]
         ends = np.cumsum(long)
         ids = every[np.repeat(starts[index] - (ends - long), long) + np.arange(ends[-1] if len(ends) else 0)]
@@ -228,5 +229,5 @@ def pack(docs: DataFrame, tokenizer: str, end_id: int = 1, id_col: str = "doc_id
         yield flush()
 
     narrow = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return narrow.mapInArrow(scan, "doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long, tier long, step_group long")
+    return narrow.mapInArrow(lean(scan), "doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long, tier long, step_group long")
 

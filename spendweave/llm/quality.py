@@ -10,7 +10,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from spendweave.llm.common import coded_words, fresh, store
+from spendweave.llm.common import coded_words, fresh, lean, store
 
 SYMBOLS, SPACE, WINDOW = "[#*$%&|<>]", " \t\n\x0b\x0c\r", 8
 #: Bits of a value that a sketch keeps: a bucket is at most a thirty-second of its value wide.
@@ -76,7 +76,7 @@ def measures(docs: DataFrame, carry: list[str], text_col: str = "text") -> DataF
             yield pa.RecordBatch.from_arrays([*batch.columns[1:], *map(pa.array, columns)], names=[*carry, *told])
 
     schema = ", ".join([*(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in carry), *(f"{n} long" for n in told)])
-    return docs.select(F.col(text_col).cast("string").alias(fresh("text")), *carry).mapInArrow(scan, schema)
+    return docs.select(F.col(text_col).cast("string").alias(fresh("text")), *carry).mapInArrow(lean(scan), schema)
 
 
 def base_failed() -> Column:

@@ -10,7 +10,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from spendweave.llm.common import components, split_words, store
+from spendweave.llm.common import components, lean, split_words, store
 
 #: Fingerprints that a shard should hold; the sampled tree above the shards has this many fewer leaves than fingerprints.
 SHARD_ROWS = 16_384
@@ -49,7 +49,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.array(fps, np.uint64).view(np.int64))], names=["doc_id", "fp"])
 
     narrow = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return narrow.mapInArrow(scan, "doc_id long, fp long")
+    return narrow.mapInArrow(lean(scan), "doc_id long, fp long")
 
 
 # ---- vantage-point trees -------------------------------------------------------------------------------------------------
@@ -174,7 +174,7 @@ def links(distinct: DataFrame, n: int, radius: int = 2, shard_rows: int = SHARD_
         kept = root != np.arange(len(fps))
         return pa.table({"a": fps[kept].view(np.int64), "b": fps[root[kept]].view(np.int64)})
 
-    return distinct.select("fp").mapInArrow(deal, "shard long, fp long, home boolean").groupBy("shard").applyInArrow(find, "a long, b long")
+    return distinct.select("fp").mapInArrow(lean(deal), "shard long, fp long, home boolean").groupBy("shard").applyInArrow(find, "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3, radius: int = 2) -> DataFrame:
