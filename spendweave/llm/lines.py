@@ -11,7 +11,7 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from spendweave.llm.common import fresh, store
+from spendweave.llm.common import fresh, lean, store
 
 #: One line in so many ends a chunk; the multiplier of the rolling hash over two line hashes.
 EVERY, STEP = 4, 31
@@ -58,7 +58,7 @@ def _chunks(docs: DataFrame, passing: Broadcast | None) -> DataFrame:
             kinds = (pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.string())
             yield pa.RecordBatch.from_arrays([pa.array(x, kind) for x, kind in zip(out, kinds)], names=["doc_id", "first_line", "n_lines", "key", "chunk"])
 
-    return docs.mapInArrow(scan, "doc_id long, first_line int, n_lines int, key binary, chunk string")
+    return docs.mapInArrow(lean(scan), "doc_id long, first_line int, n_lines int, key binary, chunk string")
 
 
 def _filter(keys: DataFrame) -> np.ndarray:
@@ -83,7 +83,7 @@ def repeated_chunks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     keys = _chunks(narrow, None).groupBy("key").agg(F.min(place).alias("low"), F.max(place).alias("high"))
     twice = store(keys.where("low < high").select("key"))
     found = store(_chunks(narrow, docs.sparkSession.sparkContext.broadcast(_filter(twice))))
-    first = found.groupBy("key", "chunk").agg(F.min(place).alias("first"))
+    first = store(found.groupBy("key", "chunk").agg(F.min(place).alias("first")))
     later = found.join(first, ["key", "chunk"]).where(place > F.col("first"))
     return later.select("doc_id", "first_line", "n_lines").distinct()
 
@@ -93,13 +93,13 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     Every column of ``docs`` stays; ``removed_col`` is added. A null text stays null, a text of one line is left alone, and a
     text of which nothing stays becomes empty. Chunks without a word are never removed. Rows that repeat a doc_id count as one
-    document, all of them with the same cuts.
+    document, all of them with the same cuts. The cuts grow with the corpus, so they are met by a sorted join at every size.
     """
     ranges, key, at = fresh("ranges"), fresh("id"), fresh("lines")
     removed = store(repeated_chunks(docs, id_col, text_col)).groupBy(F.col("doc_id").alias(key)).agg(
         F.sort_array(F.collect_list(F.struct("first_line", "n_lines"))).alias(ranges)  # no more than the document's own chunks
     )
-    joined = docs.join(removed, docs[id_col].cast("long").eqNullSafe(removed[key]), "left").withColumn(at, F.split(text_col, "\n", -1))
+    joined = docs.join(removed.hint("merge"), docs[id_col].cast("long").eqNullSafe(removed[key]), "left").withColumn(at, F.split(text_col, "\n", -1))
     keep = F.expr(
         f"""filter(transform(sequence(0, size({ranges})), k -> struct(
               CASE WHEN k = 0 THEN 0 ELSE {ranges}[k - 1].first_line + {ranges}[k - 1].n_lines END AS a,

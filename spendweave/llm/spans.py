@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from spendweave.llm.common import fresh, store
+from spendweave.llm.common import fresh, lean, store
 
 #: A span is the shortest run of so many sentences or more that has so many words or more.
 SENTENCES, WORDS = 2, 8
@@ -63,7 +63,7 @@ def _spans(docs: DataFrame) -> DataFrame:
                     heads += [xxhash.xxh3_128_intdigest(b"\n".join(keys[a : b + 1])) >> 64 for a, b in runs(sizes)]
             yield pa.RecordBatch.from_arrays([pa.array(np.array(heads, np.uint64).view(np.int64))], names=["head"])
 
-    return docs.select("text").mapInArrow(scan, "head long")
+    return docs.select("text").mapInArrow(lean(scan), "head long")
 
 
 def _occurrences(docs: DataFrame, passing: Broadcast) -> DataFrame:
@@ -85,7 +85,7 @@ def _occurrences(docs: DataFrame, passing: Broadcast) -> DataFrame:
             kinds = (pa.binary(), pa.int64(), pa.int32(), pa.int32())
             yield pa.RecordBatch.from_arrays([pa.array(x, kind) for x, kind in zip(out, kinds)], names=["key", "doc_id", "first", "last"])
 
-    return docs.mapInArrow(scan, "key binary, doc_id long, first int, last int")
+    return docs.mapInArrow(lean(scan), "key binary, doc_id long, first int, last int")
 
 
 def _filter(heads: DataFrame) -> np.ndarray:
@@ -108,7 +108,7 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     twice = store(_spans(narrow).groupBy("head").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("head"))
     found = store(_occurrences(narrow, docs.sparkSession.sparkContext.broadcast(_filter(twice))))
     place = F.struct("doc_id", F.col("first").alias("at"))
-    least = found.groupBy("key").agg(F.min(place).alias("low"), F.max(place).alias("high")).where("low < high").select("key", "low")
+    least = store(found.groupBy("key").agg(F.min(place).alias("low"), F.max(place).alias("high")).where("low < high").select("key", "low"))
     return found.join(least, "key").where(place > F.col("low")).select("doc_id", "first", "last").distinct()
 
 
@@ -116,14 +116,15 @@ def dedup_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """``docs`` without the sentences that a repeated span covers, but for its first occurrence; ``removed_col`` counts them.
 
     Every other column stays. What is between sentences, line ends and stray signs, stays too. A null text stays null; texts
-    that are too short for a span are left alone. Spans that repeat inside a text count as well.
+    that are too short for a span are left alone. Spans that repeat inside a text count as well. What is removed grows with the
+    corpus, so it is met by a sorted join at every size.
     """
     key, firsts, lasts = fresh("id"), fresh("firsts"), fresh("lasts")
     ranges = repeated_spans(docs, id_col, text_col).groupBy(F.col("doc_id").alias(key)).agg(F.collect_list("first").alias(firsts), F.collect_list("last").alias(lasts))
     named = [f"c{k}" for k in range(len(docs.columns))]
     at = docs.columns.index(text_col)
     renamed = docs.toDF(*named)
-    joined = renamed.join(ranges, renamed[named[docs.columns.index(id_col)]].cast("long").eqNullSafe(ranges[key]), "left").select(*named, firsts, lasts)
+    joined = renamed.join(ranges.hint("merge"), renamed[named[docs.columns.index(id_col)]].cast("long").eqNullSafe(ranges[key]), "left").select(*named, firsts, lasts)
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -142,4 +143,4 @@ def dedup_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             yield pa.RecordBatch.from_arrays([*columns, pa.array(counts)], names=[*named, "n"])
 
     schema = T.StructType([*joined.schema.fields[: len(named)], T.StructField("n", T.LongType())])
-    return joined.mapInArrow(scan, schema).toDF(*docs.columns, removed_col)
+    return joined.mapInArrow(lean(scan), schema).toDF(*docs.columns, removed_col)
