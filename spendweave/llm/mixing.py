@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from spendweave.llm.common import fresh, store
@@ -13,8 +13,8 @@ from spendweave.llm.common import fresh, store
 SAMPLE_DOCS = 20_000
 #: Slots that words are hashed into; the classifier is one row of domains x SLOTS numbers.
 SLOTS = 65_536
-#: For a slot to speak in a domain, its count there must differ from its share of all by so many standard deviations and so
-#: many times; small differences of common words, which come together, would else add up.
+#: For a slot to speak, its count in a domain must differ from its share of all by so many standard deviations and so many
+#: times; small differences of common words, which come together, would else add up.
 SIGNIFICANT, TIMES = 10.0, 2.0
 #: Rounds of projected gradient, and the relative miss of a target at which they end.
 ROUNDS, CLOSE = 40, 1e-4
@@ -43,8 +43,9 @@ def _count(pieces: Column) -> Column:
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", domain_col: str = "domain", sample_docs: int = SAMPLE_DOCS) -> DataFrame:
     """One row ``domains array<string>, prior array<double>, weights array<array<double>>``: naive Bayes over hashed words.
 
-    A weight is the logarithm of a slot's share of documents in the domain against its share of all, where the two differ
-    by ``SIGNIFICANT`` standard deviations and ``TIMES`` times, else zero: chance words of a large vocabulary have no say.
+    A weight compares a slot's share of documents in the domain with its share of all, for slots where the two differ by
+    ``SIGNIFICANT`` standard deviations and ``TIMES`` times in some domain, else it is zero: chance words of a large vocabulary
+    have no say. ``prior`` is the score of a text that has none of these slots.
     ``labels(doc_id, domain)`` may hold nulls (left out) and repeats (the smallest domain counts). Each text counts a word once.
     The labelled sample is bounded by ``sample_docs``; counts are summed before they are shuffled.
     """
@@ -59,28 +60,32 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     every = counted.where("slot = -1").select("domain", F.col("n").alias("docs"))
     grid = every.select("domain", "docs", F.explode(F.sequence(F.lit(0), F.lit(SLOTS - 1))).alias("slot")).join(counted.where("slot >= 0"), ["domain", "slot"], "left")
     grid = grid.select("domain", "docs", "slot", F.coalesce("n", F.lit(0)).alias("n"))
-    whole = grid.groupBy("slot").agg((F.sum("n") / F.sum("docs")).alias("share"))
-    expected = F.col("docs") * F.col("share")
-    spoken = F.abs(F.col("n") - expected) >= SIGNIFICANT * F.sqrt(expected * (1 - F.col("share")) + 1)
-    odds = F.log((F.col("n") + 0.5) / (expected + 0.5))
-    weight = F.when(spoken & (F.abs(odds) >= math.log(TIMES)), odds).otherwise(0.0)
-    rows = grid.join(whole, "slot").groupBy("domain", "docs").agg(F.sort_array(F.collect_list(F.struct("slot", weight.alias("w")))).alias("w"))  # SLOTS items each
-    return rows.agg(F.sort_array(F.collect_list(F.struct("domain", "docs", F.col("w.w").alias("w")))).alias("m")).select(
-        F.col("m.domain").alias("domains"),
-        F.transform("m.docs", lambda n: F.log(n / F.aggregate("m.docs", F.lit(0.0), lambda a, b: a + b))).alias("prior"),
-        F.col("m.w").alias("weights"),
+    whole = grid.groupBy("slot").agg(((F.sum("n") + 0.5) / (F.sum("docs") + 1.0)).alias("share"))
+    expected, own, kinds = F.col("docs") * F.col("share"), (F.col("n") + 0.5) / (F.col("docs") + 1.0), Window.partitionBy("slot")  # as many rows as domains
+    apart = (F.abs(F.col("n") - expected) >= SIGNIFICANT * F.sqrt(expected * (1 - F.col("share")) + 1)) & (F.abs(F.log(own / F.col("share"))) >= math.log(TIMES))
+    absent = F.log((1 - own) / (1 - F.col("share")))
+    spoken = F.max(apart).over(kinds)
+    weighed = grid.join(whole, "slot").select(
+        "domain", "docs", "slot", F.when(spoken, F.log(own / F.col("share")) - absent).otherwise(0.0).alias("w"), F.when(spoken, absent).otherwise(0.0).alias("absent")
+    )
+    rows = weighed.groupBy("domain", "docs").agg(F.sort_array(F.collect_list(F.struct("slot", "w", "absent"))).alias("w"))  # SLOTS items each
+    add = lambda a, b: a + b
+    none = F.col("docs") / F.sum("docs").over(Window.partitionBy(F.lit(1)))  # as many rows as domains
+    rows = rows.select("domain", F.col("w.w").alias("w"), (F.log(none) + F.aggregate(F.col("w.absent"), F.lit(0.0), add)).alias("prior"))
+    return rows.agg(F.sort_array(F.collect_list(F.struct("domain", "prior", "w"))).alias("m")).select(
+        F.col("m.domain").alias("domains"), F.col("m.prior").alias("prior"), F.col("m.w").alias("weights"),
     )
 
 
-def posteriors(docs: DataFrame, model: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def posteriors(docs: DataFrame, model: DataFrame, id_col: str = "doc_id", text_col: str = "text", carry: tuple[str, ...] = ()) -> DataFrame:
     """``doc_id, tokens, domains, p``: words and runs of signs of the whole text, and the probability of each domain given its distinct words.
 
-    A null or empty text has no tokens and the prior. Without labels there are no domains and ``p`` is empty.
+    The columns ``carry`` follow; they mustn't have these names. A null or empty text has no tokens and the prior. Without labels there are no domains and ``p`` is empty.
     """
     one, domains, prior, weights, slots, scores, spoken = (fresh(n) for n in ("one", "domains", "prior", "weights", "slots", "scores", "spoken"))
-    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
+    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"), *carry)
     pieces = texts.withColumn("pieces", _pieces(F.col("text")))
-    read = pieces.select(F.lit(1).alias(one), "doc_id", _count(F.col("pieces")).alias("tokens"), _slots(F.col("pieces"), F.col("text")).alias(slots))
+    read = pieces.select(*carry, F.lit(1).alias(one), "doc_id", _count(F.col("pieces")).alias("tokens"), _slots(F.col("pieces"), F.col("text")).alias(slots))
     speaks = lambda k: F.exists("weights", lambda w: F.get(w, k) != 0)
     model = model.select(
         F.lit(1).alias(one), F.col("domains").alias(domains), F.col("prior").alias(prior), F.col("weights").alias(weights),
@@ -88,24 +93,24 @@ def posteriors(docs: DataFrame, model: DataFrame, id_col: str = "doc_id", text_c
     )
     joined = read.join(F.broadcast(store(model)), one, "left").withColumn(slots, F.array_intersect(slots, spoken))  # one row of domains x SLOTS numbers
     score = F.zip_with(prior, weights, lambda a, w: a + F.aggregate(slots, F.lit(0.0), lambda s, k: s + F.get(w, k)))
-    joined = joined.withColumn(scores, F.coalesce(score, F.array().cast("array<double>"))).select("doc_id", "tokens", F.coalesce(domains, F.array().cast("array<string>")).alias("domains"), scores)
+    joined = joined.withColumn(scores, F.coalesce(score, F.array().cast("array<double>"))).select(*carry, "doc_id", "tokens", F.coalesce(domains, F.array().cast("array<string>")).alias("domains"), scores)
     odds = F.transform(scores, lambda s: F.exp(s - F.array_max(scores)))
     whole = F.aggregate(odds, F.lit(0.0), lambda a, b: a + b)
-    return joined.select("doc_id", "tokens", "domains", F.transform(odds, lambda o: o / whole).alias("p"))
+    return joined.select("doc_id", "tokens", "domains", F.transform(odds, lambda o: o / whole).alias("p"), *carry)
 
 
 def _total(k: int, weight: Column) -> Column:
     return F.coalesce(F.sum(weight * F.get("p", F.lit(k))), F.lit(0.0))
 
 
-def solve(soft: DataFrame, targets: dict[str, float], tokens: float | None = None, rounds: int = ROUNDS) -> tuple[DataFrame, dict]:
+def solve(soft: DataFrame, targets: dict[str, float], tokens: float | None = None, rounds: int = ROUNDS, plenty: float = 1.0) -> tuple[DataFrame, dict]:
     """``soft`` with ``rate``: nonnegative rates of documents whose expected domain totals come to the targets.
 
     Least squares of the domain totals against ``targets`` (weights by domain name; a domain that isn't named has weight zero),
     by projected gradient from rate one: each round adds to every rate the misses of its domains, in proportion to its
     membership and relative to the domains' totals, and cuts at zero. That scaling keeps the step stable at any size. A round
     is one sum over the documents; the rates of a round follow from the misses of the rounds before, a few numbers.
-    ``tokens`` is the total to reach; without it, so much that the domain with the largest weight is used once.
+    ``tokens`` is the total to reach; without it, so much that the domain with the largest weight is used once, times ``plenty``.
     """
     first = soft.select("domains").limit(1).collect()
     names: list[str] = list(first[0][0]) if first else []
@@ -118,7 +123,7 @@ def solve(soft: DataFrame, targets: dict[str, float], tokens: float | None = Non
     scale = sum(weight) or 1.0
     weight = [w / scale for w in weight]
     if tokens is None:
-        tokens = max(((weight[k], float(base[k]) / weight[k]) for k in kinds if weight[k] > 0 and base[k] > 0), default=(0.0, 0.0))[1]
+        tokens = max(((weight[k], float(base[k]) / weight[k]) for k in kinds if weight[k] > 0 and base[k] > 0), default=(0.0, 0.0))[1] * plenty
     goal = [w * tokens for w in weight]
     misses: list[list[float]] = []
     totals = [float(base[k]) for k in kinds]
@@ -149,6 +154,21 @@ def mix(docs: DataFrame, labels: DataFrame, targets: dict[str, float], id_col: s
     return rated.select("doc_id", "tokens", F.get("domains", (F.array_position("p", F.array_max("p")) - 1).cast("int")).alias("domain"), "domains", "p", "rate", drawn(F.col("rate"), F.col("doc_id")).alias("copies"))
 
 
+def thin(docs: DataFrame, labels: DataFrame, targets: dict[str, float], id_col: str = "doc_id", text_col: str = "text", domain_col: str = "domain", plenty: float = 1.0) -> DataFrame:
+    """The rows of ``docs``, columns unchanged, that are drawn at least once when mixing to ``targets``; none is repeated.
+
+    The total is ``plenty`` times what uses the domain with the largest weight once. The text is written once with its
+    probabilities and not shuffled.
+    """
+    named = docs.toDF(*[f"c{k}" for k in range(len(docs.columns))])
+    ids, texts = (named.columns[docs.columns.index(c)] for c in (id_col, text_col))
+    model = store(fit(docs, labels, id_col, text_col, domain_col))
+    soft = store(posteriors(named, model, ids, texts, tuple(named.columns)))
+    rated, _ = solve(soft, targets, plenty=plenty)
+    return rated.where(drawn(F.col("rate"), F.col("doc_id")) >= 1).select(named.columns).toDF(*docs.columns)
+
+
 def drawn(rate: Column, doc_id: Column) -> Column:
+    """The rate rounded up or down by a hash of the id; a null id has a hash too."""
     chance = F.pmod(F.xxhash64(F.lit("mix"), doc_id), F.lit(1 << 40)) / F.lit(float(1 << 40))
     return (F.floor(rate) + (chance < rate - F.floor(rate)).cast("long")).cast("long")

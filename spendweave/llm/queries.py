@@ -13,8 +13,8 @@ from spendweave.llm import bitslice, chat, langid, lines, lm, mixing, packing, q
 from spendweave.llm.common import table
 
 TOKENIZER = os.environ.get("TOKENIZER_PATH", "/opt/tokenizers/word_bpe_49k.json")
-#: Weights of the mixture: most of it good text, some poor text for breadth, little that is toxic.
-WEIGHTS = {"good": 0.9, "poor": 0.08, "toxic": 0.02}
+#: Weights of the mixture: good text mostly, poor text about as much as there is, little that is toxic.
+WEIGHTS = {"good": 0.84, "poor": 0.14, "toxic": 0.02}
 
 
 def conversation_records(turns: DataFrame) -> DataFrame:
