@@ -76,7 +76,7 @@ def title_case(name: Column) -> Column:
     def word(w: Column) -> Column:
         bare = F.regexp_replace(w, "[^A-Za-z0-9&]", "")
         keep = (F.length(bare) <= 3) | bare.isin(ACRONYMS)
-        return F.when(keep, w).otherwise(F.concat(F.upper(F.substring(w, 1, 1)), F.lower(F.substring(w, 2, 10_000))))
+        return F.when(keep, w).otherwise(F.concat(F.upper(F.substring(w, 1, 1)), F.lower(F.substr(w, F.lit(2)))))
 
     shouting = (F.length(text) > 4) & (text == F.upper(text))
     return F.when(shouting, F.array_join(F.transform(F.split(text, " "), word), " ")).otherwise(text)

@@ -10,7 +10,7 @@ from spendweave.operators.audit import audit_rows
 from spendweave.operators.merge import upsert_suppliers, upsert_summary
 from spendweave.params import Params
 from spendweave.session import cut
-from spendweave.sources.delimited import map_supplier_columns, read_delimited
+from spendweave.sources.delimited import map_layouts, read_delimited
 
 
 def resolve_entities(lines: DataFrame, suppliers: DataFrame, params: Params, amount_mode: str = "replace", actor: str = "job") -> dict[str, DataFrame]:
@@ -26,5 +26,5 @@ def resolve_entities(lines: DataFrame, suppliers: DataFrame, params: Params, amo
 def ingest_files(spark: SparkSession, path: str, suppliers: DataFrame, params: Params, comment: str | None = None, style: str = "auto") -> dict[str, DataFrame]:
     """Read a file set, map its columns and resolve its entities; rejected and shifted rows are side outputs."""
     read = read_delimited(spark, path, comment)
-    lines, rejects = map_supplier_columns(read.records, read.headers, style, params)
+    lines, rejects = map_layouts(read, style, params)
     return resolve_entities(lines, suppliers, params) | {"rejects": rejects, "shifted": read.shifted, "errors": read.errors}

@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
+import csv
+import re
 from dataclasses import dataclass
+from functools import reduce
+from urllib.parse import unquote
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -11,6 +15,7 @@ from pyspark.sql import types as T
 from spendweave.functions.text import blank_to_null, sanitize_parent, title_case
 from spendweave.functions.values import iso_date, money
 from spendweave.params import Params
+from spendweave.session import cut
 
 DELIMITERS = [",", ";", "\t", "|"]
 
@@ -40,26 +45,56 @@ TAXONOMY_ALIASES = {
 
 
 @dataclass
-class Delimited:
+class Layout:
+    """Files that share a header line: their delimiter, header names and rows."""
+
     records: DataFrame
-    shifted: DataFrame
-    errors: DataFrame
     headers: list[str]
     delimiter: str
 
 
+@dataclass
+class Delimited:
+    """A file set read by layout; ``records``, ``headers`` and ``delimiter`` are those of the only layout."""
+
+    layouts: list[Layout]
+    shifted: DataFrame
+    errors: DataFrame
+
+    def _only(self) -> Layout:
+        if len(self.layouts) != 1:
+            raise ValueError(f"{len(self.layouts)} layouts in one file set: use layouts")
+        return self.layouts[0]
+
+    records = property(lambda self: self._only().records)
+    headers = property(lambda self: self._only().headers)
+    delimiter = property(lambda self: self._only().delimiter)
+
+
+#: Header lines that a file set may have: each is read on its own.
+MOST_LAYOUTS = 200
+
+
 def sniff_delimiter(line: str) -> str:
-    """Delimiter with the most splits in the header line; the first listed wins ties."""
-    return max(DELIMITERS, key=lambda d: (line.count(d), -DELIMITERS.index(d)))
+    """Delimiter with the most splits in the header line, outside quotes; the first listed wins ties."""
+    bare = re.sub(r'"[^"]*"', "", line)
+    return max(DELIMITERS, key=lambda d: (bare.count(d), -DELIMITERS.index(d)))
 
 
-def header_line(spark: SparkSession, path: str, comment: str | None = None) -> str:
-    """First line that is not blank or a comment: a peek that reads a few rows of one file."""
-    lines = spark.read.text(path).where(F.trim("value") != "")
+def split_header(line: str, delimiter: str) -> list[str]:
+    """Names of a header line by the rules for quoted fields; a name that is missing or repeated gets its place."""
+    names = [h.strip() for h in next(csv.reader([line.lstrip("\ufeff")], delimiter=delimiter), [])]
+    return [h if h and h not in names[:i] else f"{h or 'column'}_{i + 1}" for i, h in enumerate(names)]
+
+
+def header_lines(spark: SparkSession, paths: str | list[str], comment: str | None = None) -> DataFrame:
+    """``path, header``: the first line of each file that is not blank or a comment, found where the files are read."""
+    lines = spark.read.text(paths).where(F.trim("value") != "")
     if comment:
         lines = lines.where(~F.col("value").startswith(comment))
-    first = lines.limit(1).collect()
-    return first[0].value.lstrip("﻿") if first else ""
+    place = F.struct(F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("at"))
+    lines = lines.select(F.col("_metadata.file_path").alias("path"), "value", place.alias("place"))
+    return lines.groupBy("path").agg(F.min_by("value", "place").alias("header"))
 
 
 def _field_count(line: Column, delimiter: str) -> Column:
@@ -69,24 +104,44 @@ def _field_count(line: Column, delimiter: str) -> Column:
 
 
 def file_order() -> Column:
-    """Row order as one number, so that "first row" aggregates stay on primitive buffers: file (hashed),
-    megabyte of the split's start, position in the task."""
-    file = F.pmod(F.xxhash64(F.col("_metadata.file_path")), F.lit(512)).cast("long")
+    """Row order as one number, so that "first row" aggregates stay on fixed-width buffers: 61 bits of the file's hash, the
+    megabyte of the split's start, the position in the task. Two files never share a number but by a 61-bit chance."""
+    wide = lambda c: c.cast("decimal(20,0)")
+    file = F.pmod(F.xxhash64(F.col("_metadata.file_path")), F.lit(1 << 61))
     block = F.floor(F.col("_metadata.file_block_start") / (1 << 20)).cast("long")
     position = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
-    return F.shiftleft(file, 53).bitwiseOR(F.shiftleft(block, 33)).bitwiseOR(position)
+    inside = wide(F.shiftleft(block, 33).bitwiseOR(position))
+    return (wide(file) * F.lit(str(1 << 64)).cast("decimal(20,0)") + inside).cast("decimal(38,0)")
 
 
-def read_delimited(spark: SparkSession, path: str, comment: str | None = None, multi_line: bool = False) -> Delimited:
-    """Read a file set sharing one header. All values are text; blank rows are dropped.
+def read_delimited(spark: SparkSession, path: str | list[str], comment: str | None = None, multi_line: bool = False) -> Delimited:
+    """Read a file set. All values are text; blank rows are dropped.
 
-    A row with more fields than the header is kept, and listed in ``shifted`` when the surplus is not
-    blank; ``errors`` holds the first 25 rows whose field count differs from the header's. Files are
+    Files are grouped by their header line, found by one pass on the executors, and each group is read with its own delimiter
+    and names. A row with more fields than the header is kept, and listed in ``shifted`` when the
+    surplus is not blank; ``errors`` holds the first 25 rows whose field count differs from the header's. Files are
     split between tasks unless ``multi_line`` (line breaks inside quotes) is asked for.
     """
-    line = header_line(spark, path, comment)
+    heads, _ = cut(header_lines(spark, path, comment))
+    kinds = [r.header for r in heads.select("header").distinct().orderBy("header").limit(MOST_LAYOUTS + 1).collect()]
+    if len(kinds) > MOST_LAYOUTS:
+        raise ValueError(f"more than {MOST_LAYOUTS} header lines in one file set")
+    layouts, shifted, errors = [], None, None
+    for line in kinds:
+        # one layout is read by the given path; of several, each by its own files
+        own = path if len(kinds) == 1 else [unquote(r.path) for r in heads.where(F.col("header") == line).select("path").toLocalIterator()]
+        layout, moved, wrong = _read_layout(spark, own, line, comment, multi_line)
+        layouts.append(layout)
+        shifted, errors = (moved, wrong) if shifted is None else (shifted.unionByName(moved, allowMissingColumns=True), errors.unionByName(wrong))
+    if not layouts:
+        empty = spark.createDataFrame([], "_row decimal(38,0), _fields int, _raw string")
+        layouts, shifted, errors = [Layout(empty.select("_row"), [], ",")], empty.select("_row"), empty
+    return Delimited(layouts, shifted, errors.orderBy("_row").limit(25))
+
+
+def _read_layout(spark: SparkSession, path: str | list[str], line: str, comment: str | None, multi_line: bool) -> tuple[Layout, DataFrame, DataFrame]:
     delimiter = sniff_delimiter(line)
-    headers = [h.strip().strip('"').strip() or f"column_{i}" for i, h in enumerate(line.split(delimiter), 1)]
+    headers = split_header(line, delimiter)
     width = len(headers)
     # one column more than the header: ordinary rows then count as short, so their raw line is kept
     schema = T.StructType([T.StructField(f"c{i}", T.StringType()) for i in range(width)] + [T.StructField("_extra", T.StringType()), T.StructField("_raw", T.StringType())])
@@ -94,12 +149,11 @@ def read_delimited(spark: SparkSession, path: str, comment: str | None = None, m
     if comment:
         options["comment"] = comment
     raw = spark.read.options(**options).schema(schema).csv(path)
-    place = file_order()
     tail = F.regexp_replace("_raw", "[" + ("\\t" if delimiter == "\t" else "\\" + delimiter) + r"\s]+$", "")
     surplus = (F.coalesce(F.trim("_extra"), F.lit("")) != "") | F.coalesce(_field_count(tail, delimiter) > width, F.lit(False))
     filled = F.coalesce(*[blank_to_null(F.col(c)) for c in schema.names[: width + 1]])
     rows = (
-        raw.withColumn("_row", place)
+        raw.withColumn("_row", file_order())
         .withColumn("_shifted", surplus)
         .withColumn("_fields", F.coalesce(_field_count(F.col("_raw"), delimiter), F.lit(width + 1)))
         .where(filled.isNotNull())
@@ -107,7 +161,13 @@ def read_delimited(spark: SparkSession, path: str, comment: str | None = None, m
     )
     shifted = rows.where("_shifted").drop("_raw", "_shifted", "_fields")
     errors = rows.where(F.col("_fields") != width).orderBy("_row").limit(25).select("_row", "_fields", "_raw")
-    return Delimited(rows.drop("_raw", "_shifted", "_fields", "_extra"), shifted, errors, headers, delimiter)
+    return Layout(rows.drop("_raw", "_shifted", "_fields", "_extra"), headers, delimiter), shifted, errors
+
+
+def map_layouts(read: Delimited, style: str = "auto", params: Params | None = None) -> tuple[DataFrame, DataFrame]:
+    """Logical supplier columns of all layouts of a file set; rows without a name go second."""
+    mapped = [map_supplier_columns(x.records, x.headers, style, params or Params()) for x in read.layouts]
+    return tuple(reduce(DataFrame.unionByName, side) for side in zip(*mapped))
 
 
 def _find(headers: list[str], aliases: list[str], exact: bool = False) -> str | None:
@@ -139,12 +199,12 @@ def map_taxonomy(records: DataFrame, version: str) -> DataFrame:
     """Taxonomy rows from any accepted column spelling: exactly eight digits and a title are required."""
     headers = records.columns
 
-    def value(name: str, limit: int) -> Column:
+    def value(name: str, limit: int | None = None) -> Column:
         present = [F.col(f"`{a}`") for a in TAXONOMY_ALIASES[name] if a in headers]
         first = F.coalesce(*present) if present else F.lit(None).cast("string")
-        return F.substring(blank_to_null(first), 1, limit)
+        return blank_to_null(first) if limit is None else F.substring(blank_to_null(first), 1, limit)
 
-    code = F.regexp_replace(value("code", 4000), r"\D", "")
+    code = F.regexp_replace(value("code"), r"\D", "")
     out = records.select(
         code.alias("code"), value("segment", 500).alias("segment"), value("family", 500).alias("family"), value("class", 500).alias("class"),
         value("commodity", 500).alias("commodity"), value("description", 4000).alias("description"), F.lit(version).alias("version"),

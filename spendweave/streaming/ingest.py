@@ -4,40 +4,41 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
 from spendweave.params import Params
 from spendweave.plans.resolve import resolve_entities
-from spendweave.sources.delimited import header_line, map_supplier_columns, sniff_delimiter
-from spendweave.sources.tables import VersionedTable
+from spendweave.sources.delimited import map_layouts, read_delimited
+from spendweave.sources.tables import Files, VersionedTable
 
 
 def stream_ingest(
     spark: SparkSession, path: str, registry: VersionedTable, checkpoint: str, params: Params,
-    amount_mode: str = "add", files_per_batch: int = 1000, comment: str | None = None, style: str = "auto", trigger: dict | None = None,
+    amount_mode: str = "add", files_per_batch: int = 1000, comment: str | None = None, style: str = "auto", trigger: dict | None = None, aside: str | None = None,
 ) -> StreamingQuery:
     """Merge each arriving set of files into ``registry``.
 
-    The stream holds no state of its own: a batch folds its lines and writes the next table version under
-    its batch id, so a replayed batch changes nothing. With ``amount_mode='add'`` many small files give the
-    totals of their union.
+    The stream itself carries the paths of new files only; a batch reads its files by their headers, folds their lines and
+    writes the next table version. That version notes the stream's id (from its checkpoint) and the batch number, so a replayed
+    batch changes nothing and several streams can feed one registry. With ``amount_mode='add'`` many small files give the
+    totals of their union. Rows without a name and rows with surplus fields are written below ``aside``, by default beside
+    the checkpoint.
     """
-    line = header_line(spark, path, comment)
-    delimiter = sniff_delimiter(line)
-    headers = [h.strip().strip('"').strip() for h in line.split(delimiter)]
-    schema = T.StructType([T.StructField(h, T.StringType()) for h in headers])
-    reader = spark.readStream.schema(schema).option("header", True).option("sep", delimiter).option("quote", '"').option("escape", '"').option("maxFilesPerTrigger", files_per_batch)
-    if comment:
-        reader = reader.option("comment", comment)
-    files = reader.csv(path).select("*", F.pmod(F.xxhash64(F.col("_metadata.file_path")), F.lit(512)).cast("long").alias("_file"))
+    arriving = spark.readStream.format("binaryFile").option("maxFilesPerTrigger", files_per_batch)
+    arriving = arriving.schema("path string, modificationTime timestamp, length long, content binary").load(path).select("path")
+    aside = aside or f"{checkpoint.rstrip('/')}-aside"
 
     def merge(batch: DataFrame, batch_id: int) -> None:
-        # file, then position in the task, as one number
-        order = F.shiftleft(F.col("_file"), 53).bitwiseOR(F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 53) - 1)))
-        lines, _ = map_supplier_columns(batch.withColumn("_row", order).drop("_file"), headers, style, params)
+        paths = [row.path for row in batch.collect()]  # files_per_batch at most
+        if not paths:
+            return
+        stream = Files(spark, checkpoint.rstrip("/")).read_json("metadata")["id"]
+        read = read_delimited(spark, paths, comment)
+        lines, rejects = map_layouts(read, style, params)
         out = resolve_entities(lines, registry.read(), params, amount_mode)
-        registry.write(out["suppliers"], batch_id=str(batch_id))
+        rejects.write.mode("overwrite").parquet(f"{aside}/rejects/batch={batch_id}")
+        read.shifted.select("_row", F.to_json(F.struct("*")).alias("fields")).write.mode("overwrite").parquet(f"{aside}/shifted/batch={batch_id}")
+        registry.write(out["suppliers"], stream=(stream, batch_id))
 
-    writer = files.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint)
+    writer = arriving.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint)
     return writer.trigger(**(trigger or {"availableNow": True})).start()

@@ -99,3 +99,8 @@ def test_bands_and_ages(spark, column):
     assert column(lambda c: values.confidence_band(c, params), [0.9, 0.85, 0.7, 0.69, None], "double") == ["high", "high", "medium", "low", "none"]
     rows = spark.sql("SELECT TIMESTAMP_NTZ '2024-01-01 23:00:00' t UNION ALL SELECT TIMESTAMP_NTZ '2025-01-01 00:00:00' t")
     assert sorted(r[0] for r in rows.select(values.age_days(F.col("t"), datetime(2024, 1, 3, 1))).collect()) == [0, 1]
+
+
+def test_long_words_stay_whole(column):
+    word = "A" + "B" * 20_000
+    assert column(text.title_case, [word]) == ["A" + "b" * 20_000]

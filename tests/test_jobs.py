@@ -18,7 +18,7 @@ from spendweave.plans.report import build_report
 from spendweave.plans.resolve import ingest_files
 from spendweave.schemas import CLASSIFICATIONS, ENRICHMENT_CACHE, SUPPLIERS
 from spendweave.sources import delimited
-from spendweave.sources.tables import Lake, VersionedTable
+from spendweave.sources.tables import ConcurrentWriteError, Lake, VersionedTable
 from spendweave.streaming import counters
 from spendweave.streaming.ingest import stream_ingest
 
@@ -89,6 +89,66 @@ def test_versioned_table(spark, tmp_path):
     assert checked == {"suppliers": False, "reports": True}
 
 
+def test_a_batch_replayed_late_and_two_writers(spark, tmp_path):
+    root = str(tmp_path / "t")
+    table = VersionedTable(spark, root)
+    for k in range(12):
+        table.write(spark.range(k), batch_id=f"b{k}")
+    assert table.write(spark.range(99), batch_id="b0") == 12 and table.read().count() == 11
+    mine, other = VersionedTable(spark, root), VersionedTable(spark, root)
+    grown = mine.read().unionByName(spark.range(1))
+    other.read()
+    other.write(spark.range(5))
+    with pytest.raises(ConcurrentWriteError):
+        mine.write(grown)
+    assert table.read().count() == 5
+    assert mine._files.write_json("_pointer-13", {}) is False  # what is published stays
+    assert table.write(spark.range(7), stream=("a", 0)) == 14 and table.write(spark.range(8), stream=("b", 0)) == 15
+    assert table.write(spark.range(9), stream=("a", 0)) == 15 and table.write(spark.range(9), stream=("a", 1)) == 16
+    assert table.vacuum(2) == 14 and table.read().count() == 9 and table.read(15).count() == 8
+    assert table.write(spark.range(9), stream=("b", 0)) == 16
+
+
+def test_two_streams_feed_one_registry(spark, tmp_path):
+    registry = VersionedTable(spark, str(tmp_path / "suppliers"), SUPPLIERS)
+    for name, text in (("x", "name,amount\nSupplier x,1\n,2\n"), ("y", "Spend;Vendor\n3;Supplier y\n4;Supplier x;;9\n")):
+        (tmp_path / name).mkdir()
+        (tmp_path / name / "a.csv").write_text(text)
+        for _ in range(2):
+            stream_ingest(spark, str(tmp_path / name), registry, str(tmp_path / f"{name}-state"), P).awaitTermination()
+    assert {(r.name, str(r.total_amount)) for r in registry.read().collect()} == {("Supplier x", "5.00"), ("Supplier y", "3.00")}
+    assert spark.read.parquet(str(tmp_path / "x-state-aside" / "rejects")).count() == 1
+    assert spark.read.parquet(str(tmp_path / "y-state-aside" / "shifted")).count() == 1
+
+
+def test_files_with_other_headers_keep_their_columns(spark, tmp_path):
+    (tmp_path / "a.csv").write_text("name,amount,country\nAcme,10,US\n")
+    (tmp_path / "b.csv").write_text("country,name,amount\nDE,Borg,20\n")
+    (tmp_path / "c.csv").write_text('name;"Amount; USD";country;Spend\n"Cern; Co";7;CH;30\n')
+    lines, rejects = delimited.map_layouts(delimited.read_delimited(spark, str(tmp_path)))
+    assert {(r.name, str(r.amount), r.country) for r in lines.collect()} == {("Acme", "10.00", "US"), ("Borg", "20.00", "DE"), ("Cern; Co", "30.00", "CH")}
+    assert rejects.count() == 0
+
+
+def test_quoted_headers():
+    assert delimited.split_header('\ufeffname,"Amount, USD",,name', ",") == ["name", "Amount, USD", "column_3", "name_4"]
+    assert delimited.sniff_delimiter('"a,b,c";d;e') == ";"
+
+
+def test_rows_of_many_files_have_numbers_of_their_own(spark, tmp_path):
+    for k in range(600):
+        (tmp_path / f"{k}.csv").write_text(f"name,amount\na{k},1\nb{k},2\n")
+    read = delimited.read_delimited(spark, str(tmp_path))
+    assert read.records.select("_row").distinct().count() == read.records.count() == 1200
+
+
+def test_an_empty_file_set(spark, tmp_path):
+    (tmp_path / "a.csv").write_text("\n")
+    read = delimited.read_delimited(spark, str(tmp_path))
+    assert (read.records.count(), read.errors.count(), read.shifted.count()) == (0, 0, 0)
+    assert [x.count() for x in delimited.map_layouts(read)] == [0, 0]
+
+
 LIST = [
     (1, "Dell", "1000", None, "43211500", "0.95", False, True, False, datetime(2024, 5, 30)), (2, "EMC", "500", 1, "43211500", "0.85", True, False, False, datetime(2024, 5, 30)),
     (3, "Grainger", "250", None, "40141600", "0.50", False, False, False, datetime(2024, 5, 30)), (4, "Unclassified Co", "100", None, None, None, None, False, True, None),
@@ -124,7 +184,7 @@ def test_segments_and_appendix(rows):
 def test_filter_parsing():
     assert SupplierFilter.parse({"min_confidence": "0.5", "only_stale": "true", "state": "bogus", "supplier_ids": "1,2"}) == SupplierFilter(min_confidence=0.5, only_stale=True, supplier_ids=(1, 2))
     assert SupplierFilter.parse({"min_confidence": "7"}) == SupplierFilter() == SupplierFilter.parse({"parent_id": "x"})
-    assert SupplierFilter(segment="43", only_parents=True, date_from="2024-01-01", rollup="parent").describe() == ["segment 43", "parents only", "dates 2024-01-01 -> ...", "rolled up by parent"]
+    assert SupplierFilter(segment="43", only_parents=True, date_from="2024-01-01", rollup="parent").describe() == ["heads of families = yes", "segment code = 43", "enriched from = 2024-01-01", "rows per = parent"]
 
 
 @pytest.fixture
