@@ -82,25 +82,37 @@ def _batched(t: Tables) -> DataFrame:
     return batches.request_batches(rows, 10)
 
 
+PROMPT_SLOTS = f"""numbered AS (SELECT *, row_number() OVER (PARTITION BY model ORDER BY id) AS position FROM ({TIERED}) c),
+lined AS (SELECT model, CAST(ceil(position / 10.0) AS BIGINT) AS batch_no, position,
+  concat('{{"n":', (position - 1) % 10 + 1, ',"supplier":{{"name":"', name, '","industry":"', industry, '"}}}}') AS line FROM numbered)"""
+
+
 @query(
     "build_prompts",
-    f"""SELECT model, CAST(ceil(position / 10.0) AS BIGINT) AS batch_no, count(*) AS suppliers, string_agg(concat(CAST((position - 1) % 10 + 1 AS VARCHAR), '. Name: "', name, '", Domain: "unknown", Industry: "', industry,
-'", NAICS: "unknown", SIC: "unknown", Description: "unknown", Parent: "none"'), chr(10) ORDER BY position) AS supplier_lines FROM (SELECT *, row_number() OVER (PARTITION BY model ORDER BY id) AS position FROM ({TIERED}) c) x GROUP BY 1, 2""",
+    f"""WITH {PROMPT_SLOTS} SELECT model, batch_no, count(*) AS suppliers, concat(
+'Task: procurement categorisation. Every supplier gets one commodity code of the taxonomy, eight digits written as a string, for what it mainly sells. Be as specific as the facts allow and say so in the confidence. Reply in JSON, nothing else.', chr(10),
+'Solved before:', chr(10), '{{"supplier": {{"name": "Acme"}}, "answer": {{"unspsc_code": "43211507", "confidence": 0.9, "reasoning": "desktops"}}}}', chr(10),
+'Codes worth a look (others are allowed if they exist):', chr(10), CASE WHEN model = 'bulk' THEN concat('fits batch ', batch_no) ELSE '(none found)' END, chr(10), 'Suppliers:', chr(10), string_agg(line, chr(10) ORDER BY position), chr(10),
+'Reply with one object, its list as long as the suppliers (', count(*), ') and in their order: ', '{{"results": [{{"supplier_name": "...", "unspsc_code": "8 digits", "confidence": 0.0-1.0, "reasoning": "..."}}]}}') AS prompt
+FROM lined GROUP BY 1, 2""",
 )
 def build_prompts(t: Tables) -> DataFrame:
-    prompts = batches.batch_prompts(_batched(t), 10, "none")
-    lines = F.regexp_extract("prompt", r"(?s)Suppliers:\n(.*)\nAnswer as a JSON object", 1)
-    return prompts.select("model", "batch_no", "suppliers", lines.alias("supplier_lines"))
+    """Whole prompts: system text, an example, candidates for one tier, and supplier lines."""
+    batched = _batched(t)
+    example = t.spark.createDataFrame([("Acme", None, "", None, "43211507", 0.9, "desktops")], "supplier_name string, domain string, industry string, naics string, unspsc_code string, confidence double, reasoning string")
+    fitting = batched.where("model = 'bulk'").select("model", "batch_no").distinct().withColumn("candidate_text", F.concat(F.lit("fits batch "), F.col("batch_no").cast("string")))
+    return batches.batch_prompts(batched, 10, batches.example_text(example), fitting)
 
 
 @query(
     "build_parent_prompts",
-    f"""SELECT model, CAST(ceil(position / 10.0) AS BIGINT) AS batch_no, count(*) AS suppliers, string_agg(concat(CAST((position - 1) % 10 + 1 AS VARCHAR), '. Name: "', name, '", Domain: "unknown", Industry: "', industry, '"'), chr(10) ORDER BY position) AS supplier_lines
-FROM (SELECT *, row_number() OVER (PARTITION BY model ORDER BY id) AS position FROM ({TIERED}) c) x GROUP BY 1, 2""",
+    f"""WITH {PROMPT_SLOTS} SELECT model, batch_no, count(*) AS suppliers, concat(
+'Task: company ownership. For every supplier find the company at the top of its group; null stands for a company of its own. Doubt belongs in the confidence. Reply in JSON, nothing else.', chr(10),
+'Suppliers:', chr(10), string_agg(line, chr(10) ORDER BY position), chr(10), 'Reply with one object, its list as long as the suppliers (', count(*), ') and in their order: ',
+'{{"results": [{{"supplier_name": "...", "parent_name": "...", "parent_domain": "...", "is_subsidiary": true, "confidence": 0.0-1.0}}]}}') AS prompt FROM lined GROUP BY 1, 2""",
 )
 def build_parent_prompts(t: Tables) -> DataFrame:
-    prompts = batches.parent_prompts(_batched(t), 10)
-    return prompts.select("model", "batch_no", "suppliers", F.regexp_extract("prompt", r"(?s)Suppliers:\n(.*)\nAnswer as a JSON object", 1).alias("supplier_lines"))
+    return batches.parent_prompts(_batched(t), 10)
 
 
 def stub_score():
@@ -112,8 +124,8 @@ def stub_score():
         return '{"supplier_name": "%s", "unspsc_code": "%d", "confidence": %.2f, "reasoning": "by number"}' % (name, 10000000 + (number * 7919) % 90000000, number % 100 / 100)
 
     def answer(prompt: str, batch_no: int) -> str:
-        listed = re.findall(r'(?m)^\d+\. Name: "([^"]*?(\d+))"', prompt)
-        alone = re.findall(r"(?m)^- Name: (.*?(\d+))$", prompt)
+        listed = re.findall(r'(?m)^\{"n":\d+,"supplier":\{"name":"([^"]*?(\d+))"', prompt)
+        alone = re.findall(r'(?m)^\{"supplier":\{"name":"([^"]*?(\d+))"', prompt)
         if alone:
             return one(alone[0][0], int(alone[0][1]))
         body = '{"results": [%s]}' % ", ".join(one(name, int(n)) for name, n in listed if int(n) % 7)
@@ -136,10 +148,13 @@ ANSWERED = f"""asked AS (SELECT *, c_number % 7 <> 0 AS answered, 10000000 + (c_
   FROM (SELECT *, id - 1 AS c_number, row_number() OVER (PARTITION BY model ORDER BY id) AS position FROM ({TIERED}) c) x)"""
 
 
-@query("score_batches", f"WITH {ANSWERED} SELECT model, batch_no % 4 AS shape, count(DISTINCT batch_no) AS batches FROM asked GROUP BY 1, 2")
+@query(
+    "score_batches",
+    f"""WITH {ANSWERED}, bodies AS (SELECT model, batch_no, concat('{{"results": [', coalesce(string_agg(printf('{{"supplier_name": "%s", "unspsc_code": "%d", "confidence": %.2f, "reasoning": "by number"}}', name, code, (c_number % 100) / 100.0::DOUBLE), ', ' ORDER BY position) FILTER (WHERE answered), ''), ']}}') AS body FROM asked GROUP BY 1, 2)
+SELECT model, batch_no, CASE batch_no % 4 WHEN 1 THEN concat('```json', chr(10), body, chr(10), '```') WHEN 2 THEN concat('Here is the answer: ', body, ' as asked.') WHEN 3 THEN replace(body, ']}}', ',]}}') ELSE body END AS response FROM bodies""",
+)
 def score_batches(t: Tables) -> DataFrame:
-    answers = batches.score_batches(batches.batch_prompts(_batched(t), 10, "none"), stub_score())
-    return answers.groupBy("model", (F.col("batch_no") % 4).alias("shape")).agg(F.count(F.lit(1)).alias("batches"))
+    return batches.score_batches(batches.batch_prompts(_batched(t), 10, "none"), stub_score())
 
 
 def _items(t: Tables) -> DataFrame:
@@ -218,5 +233,5 @@ def classify_run(t: Tables) -> DataFrame:
 
 @query("refresh_run")
 def refresh_run(t: Tables) -> DataFrame:
-    usage = aggregates.usage_daily(t.calls)
-    return run_refresh(t.registry, t.classifications, t.taxonomy, t.cache, usage, P, stub_score(), stub_lookup(), batch_size=100_000, max_batches=1)["summary"]
+    usage, everyone = aggregates.usage_daily(t.calls), max(1, t.registry.count())
+    return run_refresh(t.registry, t.classifications, t.taxonomy, t.cache, usage, P, stub_score(), stub_lookup(), batch_size=everyone, max_batches=1)["summary"]

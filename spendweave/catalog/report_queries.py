@@ -187,7 +187,7 @@ def supplier_export(t: Tables) -> DataFrame:
 
 
 @query("report_metadata", with_views(f"""SELECT 'Spend report' AS report, '2001-11-15T00:00:00Z' AS generated_at, 'job' AS generated_by, 'v26.0801' AS taxonomy_version, 'parent' AS rollup,
-'state: low; rolled up by parent' AS filters, count(*) AS total_suppliers, sum(total_amount)::DOUBLE AS total_spend, count(classification_id) AS classified, {q.round_to(PCT, 1)} AS percent_classified,
+'state = low; rows per = parent' AS filters, count(*) AS total_suppliers, sum(total_amount)::DOUBLE AS total_spend, count(classification_id) AS classified, {q.round_to(PCT, 1)} AS percent_classified,
 count(CASE WHEN confidence < 0.7 AND NOT reviewed THEN 1 END) AS low_confidence, {q.round_to(LOWPCT, 1)} AS percent_low_confidence FROM v_list WHERE confidence < 0.7 AND NOT reviewed"""))
 def report_metadata(t: Tables) -> DataFrame:
     from spendweave.operators.filters import supplier_filter

@@ -2,22 +2,29 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable, Iterator
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from spendweave.functions.text import entity_key
+from spendweave.operators.candidates import candidate_codes
 from spendweave.session import ranked
 
 SYSTEM_TEXT = (
-    "You assign UNSPSC commodity codes to suppliers. Answer with JSON only. Give the most specific real "
-    "8-digit code for the main line of business, as a string of digits, and lower the confidence when unsure."
+    "Task: procurement categorisation. Every supplier gets one commodity code of the taxonomy, eight digits written as a "
+    "string, for what it mainly sells. Be as specific as the facts allow and say so in the confidence. Reply in JSON, nothing else."
 )
 PARENT_SYSTEM_TEXT = (
-    "You know corporate ownership. Name the ultimate parent company of each supplier, or null when it is "
-    "independent. Answer with JSON only and lower the confidence when unsure."
+    "Task: company ownership. For every supplier find the company at the top of its group; null stands for a company of its "
+    "own. Doubt belongs in the confidence. Reply in JSON, nothing else."
 )
+NO_CANDIDATES = "(none found)"
+# The members of an answer.
+ONE_ANSWER = '{"unspsc_code": "8 digits", "confidence": 0.0-1.0, "reasoning": "short", "alternatives": [{"code": "8 digits", "confidence": 0.0-1.0}]}'
+BATCH_ANSWER = '{"results": [{"supplier_name": "...", "unspsc_code": "8 digits", "confidence": 0.0-1.0, "reasoning": "..."}]}'
+PARENT_ANSWER = '{"results": [{"supplier_name": "...", "parent_name": "...", "parent_domain": "...", "is_subsidiary": true, "confidence": 0.0-1.0}]}'
 
 
 def request_batches(items: DataFrame, size: int, group: str = "model", key: str = "id") -> DataFrame:
@@ -27,109 +34,114 @@ def request_batches(items: DataFrame, size: int, group: str = "model", key: str
     return numbered.withColumn("batch_no", F.ceil(F.col("position") / F.lit(size)).cast("long"))
 
 
-def _or_unknown(column: str) -> Column:
-    return F.coalesce(F.col(column), F.lit("unknown"))
-
-
 def example_text(examples: DataFrame) -> str:
-    """Few-shot lines. The examples are the limited few-shot list, so the driver holds a handful of rows."""
-    rows = examples.limit(10).collect()
+    """Few-shot lines, a supplier and its answer in one JSON object each. The examples are the short few-shot list."""
+    order = ["priority"] if "priority" in examples.columns else ["supplier_name", "unspsc_code"]
+    rows = examples.orderBy(*order).limit(10).collect()
+    facts = lambda r: {k: r[c] for k, c in (("name", "supplier_name"), ("domain", "domain"), ("industry", "industry"), ("naics", "naics")) if r[c]}
     return "\n".join(
-        f'{n}. Supplier: "{r.supplier_name}", Domain: "{r.domain or "unknown"}", Industry: "{r.industry or "unknown"}", '
-        f'NAICS: "{r.naics or "unknown"}" -> unspsc_code: "{r.unspsc_code}", confidence: {r.confidence}, reasoning: "{r.reasoning}"'
-        for n, r in enumerate(rows, 1)
+        json.dumps({"supplier": facts(r), "answer": {"unspsc_code": r.unspsc_code, "confidence": float(r.confidence), "reasoning": r.reasoning}}, ensure_ascii=False) for r in rows
     )
 
 
-def candidate_lines(candidates: DataFrame, taxonomy: DataFrame) -> DataFrame:
-    """Candidate list per supplier as prompt text (at most the candidate limit per supplier)."""
-    path = F.concat_ws(" > ", *[F.coalesce(F.col(c), F.lit("?")) for c in ("segment", "family", "class")], F.col("commodity"))
-    lines = candidates.select("supplier_id", "position", "code").join(taxonomy.select("code", "segment", "family", "class", "commodity"), "code")
-    line = F.concat(F.lit("- "), "code", F.lit(" | "), path)
-    return lines.groupBy("supplier_id").agg(F.array_sort(F.collect_list(F.struct("position", line.alias("line")))).alias("l")).select(
-        "supplier_id", F.array_join(F.col("l.line"), "\n").alias("candidate_text")
+def candidate_lines(candidates: DataFrame, taxonomy: DataFrame, key: str = "supplier_id") -> DataFrame:
+    """Candidate list per supplier (or batch) as prompt text, at most the candidate limit for each."""
+    path = F.concat_ws(" / ", "segment", "family", "class", "commodity")
+    lines = candidates.select(key, "position", "code").join(taxonomy.select("code", "segment", "family", "class", "commodity"), "code")
+    line = F.concat_ws(" ", "code", path)
+    return lines.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("position", line.alias("line")))).alias("l")).select(
+        key, F.array_join(F.col("l.line"), "\n").alias("candidate_text")
     )
 
 
+def batch_candidates(batches: DataFrame, taxonomy: DataFrame, limit: int = 15) -> DataFrame:
+    """``model, batch_no, candidate_text``: codes that fit the industries and descriptions of a batch's suppliers together."""
+    words = lambda c: F.concat_ws(" ", F.array_sort(F.collect_set(c)))  # noqa: E731  a batch's few rows
+    joint = batches.groupBy("model", "batch_no").agg(words("industry").alias("industry"), words("description").alias("description"))
+    joint = joint.select("model", "batch_no", F.concat_ws("#", "model", F.col("batch_no").cast("string")).alias("id"), "industry", F.lit(None).cast("string").alias("name"), "description")
+    found = candidate_lines(candidate_codes(joint, taxonomy, limit), taxonomy)
+    return joint.select("model", "batch_no", F.col("id").alias("supplier_id")).join(found, "supplier_id").select("model", "batch_no", "candidate_text")
+
+
+def _facts(columns: list[str], have: list[str]) -> Column:
+    """The known facts of a supplier as one JSON object; what isn't known is left out."""
+    value = lambda c: F.substring(c, 1, 200) if c == "description" else F.array_join(F.slice(c, 1, 8), ", ") if c == "subsidiary_names" else F.col(c)
+    return F.struct(*[F.nullif(value(c), F.lit("")).alias("subsidiaries" if c == "subsidiary_names" else c) for c in columns if c in have])
+
+
 def single_prompts(subjects: DataFrame, examples: str) -> DataFrame:
     """One prompt per supplier, with its candidates and known subsidiaries when present."""
-    field = lambda label, column, default="unknown": F.concat(F.lit(f"- {label}: "), F.coalesce(F.col(column), F.lit(default)))
-    candidates = F.coalesce("candidate_text", F.lit("No candidate codes were found.")) if "candidate_text" in subjects.columns else F.lit("No candidate codes were found.")
-    extra = F.when(F.size("subsidiary_names") > 0, F.concat(F.lit("- Known subsidiaries: "), F.array_join(F.slice("subsidiary_names", 1, 8), ", "))) if "subsidiary_names" in subjects.columns else F.lit(None).cast("string")
+    fields = ["name", "domain", "industry", "naics", "sic", "description", "country", "parent_name", "parent_domain", "subsidiary_names"]
+    candidates = F.coalesce("candidate_text", F.lit(NO_CANDIDATES)) if "candidate_text" in subjects.columns else F.lit(NO_CANDIDATES)
     prompt = F.concat_ws(
         "\n",
-        F.lit("Give this supplier the most specific 8-digit UNSPSC commodity code."),
-        F.lit("Examples:"), F.lit(examples),
-        F.lit("Codes of the taxonomy that may fit (another real code is allowed):"), candidates,
-        F.lit("Supplier:"),
-        F.concat(F.lit("- Name: "), "name"), field("Domain", "domain"), field("Industry", "industry"), field("NAICS", "naics"),
-        field("SIC", "sic"), field("Description", "description"), field("Country", "country"),
-        field("Parent Company", "parent_name", "none (independent)"), field("Parent Domain", "parent_domain"), extra,
-        F.lit('Answer as JSON: {"unspsc_code": "8 digits", "confidence": 0.0-1.0, "reasoning": "short", "alternatives": [{"code": "8 digits", "confidence": 0.0-1.0}]}'),
+        F.lit(SYSTEM_TEXT), F.lit("Solved before:"), F.lit(examples or NO_CANDIDATES),
+        F.lit("Codes worth a look (others are allowed if they exist):"), candidates,
+        F.lit("Supplier:"), F.to_json(F.struct(_facts(fields, subjects.columns).alias("supplier"))),
+        F.lit("Reply with: " + ONE_ANSWER),
     )
     return subjects.select("id", prompt.alias("prompt"))
 
 
-def _numbered(body: Column) -> Column:
-    return F.concat(F.col("slot").cast("string"), F.lit(". "), body)
-
-
 def _slots(batches: DataFrame, size: int) -> DataFrame:
     return batches.withColumn("slot", (F.pmod(F.col("position") - 1, F.lit(size)) + 1).cast("int"))
 
 
-def batch_prompts(batches: DataFrame, size: int, examples: str, candidate_text: str = "No candidate codes were found.") -> DataFrame:
-    """One prompt per batch of at most ``size`` suppliers; only a batch's few rows are gathered together."""
-    line = F.concat(
-        F.lit('Name: "'), "name", F.lit('", Domain: "'), _or_unknown("domain"), F.lit('", Industry: "'), _or_unknown("industry"),
-        F.lit('", NAICS: "'), _or_unknown("naics"), F.lit('", SIC: "'), _or_unknown("sic"), F.lit('", Description: "'),
-        F.substring(_or_unknown("description"), 1, 200), F.lit('", Parent: "'), F.coalesce("parent_name", F.lit("none")), F.lit('"'),
-    )
-    gathered = _slots(batches, size).groupBy("model", "batch_no").agg(
-        F.array_sort(F.collect_list(F.struct("slot", _numbered(line).alias("line")))).alias("l"), F.count(F.lit(1)).alias("suppliers")
+def _gathered(batches: DataFrame, size: int, fields: list[str]) -> DataFrame:
+    """Supplier lines of each batch, numbered; only a batch's few rows are gathered together."""
+    line = F.to_json(F.struct(F.col("slot").alias("n"), _facts(fields, batches.columns).alias("supplier")))
+    return _slots(batches, size).groupBy("model", "batch_no").agg(
+        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("slot", line.alias("line")))), lambda x: x["line"]), "\n").alias("lines"), F.count(F.lit(1)).alias("suppliers")
     )
+
+
+def _asked(answer: str) -> Column:
+    return F.concat(F.lit("Reply with one object, its list as long as the suppliers ("), F.col("suppliers").cast("string"), F.lit(") and in their order: " + answer))
+
+
+def batch_prompts(batches: DataFrame, size: int, examples: str, candidates: DataFrame | None = None) -> DataFrame:
+    """One prompt per batch of at most ``size`` suppliers. ``candidates`` is what :func:`batch_candidates` gives."""
+    gathered = _gathered(batches, size, ["name", "domain", "industry", "naics", "sic", "description", "parent_name"])
+    gathered = gathered.join(candidates, ["model", "batch_no"], "left") if candidates is not None else gathered.withColumn("candidate_text", F.lit(None).cast("string"))
     prompt = F.concat_ws(
         "\n",
-        F.lit("Give each supplier the most specific 8-digit UNSPSC commodity code."),
-        F.lit("Examples:"), F.lit(examples),
-        F.lit("Codes of the taxonomy that may fit (another real code is allowed):"), F.lit(candidate_text),
-        F.lit("Suppliers:"), F.array_join(F.col("l.line"), "\n"),
-        F.concat(F.lit('Answer as a JSON object whose "results" is an array of exactly '), F.col("suppliers").cast("string"), F.lit(" items in the same order: ")),
-        F.lit('{"results": [{"supplier_name": "...", "unspsc_code": "8 digits", "confidence": 0.0-1.0, "reasoning": "..."}]}'),
+        F.lit(SYSTEM_TEXT), F.lit("Solved before:"), F.lit(examples or NO_CANDIDATES),
+        F.lit("Codes worth a look (others are allowed if they exist):"), F.coalesce("candidate_text", F.lit(NO_CANDIDATES)),
+        F.lit("Suppliers:"), "lines", _asked(BATCH_ANSWER),
     )
     return gathered.select("model", "batch_no", "suppliers", prompt.alias("prompt"))
 
 
 def parent_prompts(batches: DataFrame, size: int) -> DataFrame:
-    line = F.concat(F.lit('Name: "'), "name", F.lit('", Domain: "'), _or_unknown("domain"), F.lit('", Industry: "'), _or_unknown("industry"), F.lit('"'))
-    gathered = _slots(batches, size).groupBy("model", "batch_no").agg(
-        F.array_sort(F.collect_list(F.struct("slot", _numbered(line).alias("line")))).alias("l"), F.count(F.lit(1)).alias("suppliers")
-    )
-    prompt = F.concat_ws(
-        "\n",
-        F.lit("Name the ultimate parent company of each supplier, or null when it is independent."),
-        F.lit("Suppliers:"), F.array_join(F.col("l.line"), "\n"),
-        F.concat(F.lit('Answer as a JSON object whose "results" is an array of exactly '), F.col("suppliers").cast("string"), F.lit(" items in the same order: ")),
-        F.lit('{"results": [{"supplier_name": "...", "parent_name": "...", "parent_domain": "...", "is_subsidiary": true, "confidence": 0.0-1.0}]}'),
-    )
+    gathered = _gathered(batches, size, ["name", "domain", "industry"])
+    prompt = F.concat_ws("\n", F.lit(PARENT_SYSTEM_TEXT), F.lit("Suppliers:"), "lines", _asked(PARENT_ANSWER))
     return gathered.select("model", "batch_no", "suppliers", prompt.alias("prompt"))
 
 
 def score_batches(prompts: DataFrame, score: Callable, partitions: int | None = None) -> DataFrame:
     """Call ``score(pdf) -> pdf`` with columns model, batch_no, prompt -> model, batch_no, response.
 
-    ``partitions`` bounds how many calls run at once. A retried task repeats its batches, so answers are
-    keyed by batch and one is kept per batch.
+    ``partitions`` bounds how many calls run at once. When a call raises, its batches are asked one by one, and one that raises
+    alone has a null response; the others are not lost. A retried task repeats its batches, so answers are
+    keyed by batch and the smallest is kept.
     """
     wanted = prompts.select("model", "batch_no", "prompt")
     wanted = wanted.repartition(partitions, "model", "batch_no") if partitions else wanted
 
     def run(frames: Iterator) -> Iterator:
         for frame in frames:
-            yield score(frame)[["model", "batch_no", "response"]]
+            try:
+                yield score(frame)[["model", "batch_no", "response"]]
+            except Exception:  # noqa: BLE001  whatever a client raises
+                for k in range(len(frame)):
+                    one = frame.iloc[[k]]
+                    try:
+                        yield score(one)[["model", "batch_no", "response"]]
+                    except Exception:  # noqa: BLE001
+                        yield one.assign(response=None)[["model", "batch_no", "response"]]
 
     answers = wanted.mapInPandas(run, "model string, batch_no bigint, response string")
-    return answers.dropDuplicates(["model", "batch_no"])
+    return answers.groupBy("model", "batch_no").agg(F.min("response").alias("response"))
 
 
 def align_results(batches: DataFrame, items: DataFrame, size: int) -> tuple[DataFrame, DataFrame]:

@@ -11,17 +11,9 @@ from spendweave.functions.domains import registrable_domain
 from spendweave.params import Params
 from spendweave.session import cut, ranked, spread_join
 
-# Below this many open rows a round uses a plain join; above it hot ancestors are salted.
-SPREAD_ABOVE = 1_000_000
 MAX_DEPTH = 33
 
 
-def _by_ancestor(open_rows: DataFrame, lookup: DataFrame, pending: int) -> DataFrame:
-    if pending > SPREAD_ABOVE:
-        return spread_join(open_rows, lookup, "anc", spread_by="id")
-    return open_rows.join(lookup, "anc")
-
-
 def _climb(links: DataFrame) -> tuple[DataFrame, int]:
     """Pointer doubling over ``(id, parent)``. Returns rows ``(id, parent, orphan, anc, hops, low, done)``,
     ``low`` being the smallest id on the way to ``anc``, and how many rows never finish. Each round doubles the distance covered; a finite chain always has a row at
@@ -43,7 +35,7 @@ def _climb(links: DataFrame) -> tuple[DataFrame, int]:
     pending = seen["pending"]
     while pending:
         lookup = state.select(F.col("id").alias("anc"), F.col("anc").alias("_anc"), F.col("hops").alias("_hops"), F.col("low").alias("_low"), F.col("done").alias("_done"))
-        moved = _by_ancestor(state.where(~F.col("done")), lookup, pending).select(
+        moved = spread_join(state.where(~F.col("done")), lookup, "anc", spread_by="id").select(
             "id", "parent", "orphan", F.col("_anc").alias("anc"), (F.col("hops") + F.col("_hops")).alias("hops"), F.least("low", "_low").alias("low"), F.col("_done").alias("done")
         )
         moved, seen = cut(moved, pending=F.count_if(~F.col("done")))

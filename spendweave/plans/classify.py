@@ -4,14 +4,15 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from spendweave.functions.values import route_tier
 from spendweave.operators import batches as b
 from spendweave.operators import candidates, responses
 from spendweave.operators.audit import audit_rows
-from spendweave.operators.current import supplier_list
+from spendweave.operators.candidates import candidate_codes
+from spendweave.operators.current import few_shot_merge, few_shot_recent, supplier_list
 from spendweave.operators.families import classification_plan, family_members
 from spendweave.operators.history import propagate_codes, write_classifications
 from spendweave.params import Params
@@ -42,6 +43,14 @@ def _validated(answered: DataFrame, taxonomy: DataFrame, params: Params) -> Data
     )
 
 
+def _subsidiaries(suppliers: DataFrame, asked: DataFrame, most: int = 8) -> DataFrame:
+    """``id, subsidiary_names``: the first names of direct children, a few per parent before anything is gathered."""
+    children = suppliers.select(F.col("parent_id").alias("id"), "name").where("id is not null").join(asked.select("id"), "id", "left_semi")
+    first = Window.partitionBy("id").orderBy("name")
+    few = children.withColumn("_n", F.row_number().over(first)).where(F.col("_n") <= most)
+    return few.groupBy("id").agg(F.array_sort(F.collect_list("name")).alias("subsidiary_names"))
+
+
 def classify_run(
     suppliers: DataFrame,
     history: DataFrame,
@@ -56,9 +65,14 @@ def classify_run(
     max_batches: int | None = None,
     strategy: str = "tiered",
     partitions: int | None = None,
+    corrections: DataFrame | None = None,
+    defaults: DataFrame | None = None,
 ) -> dict[str, DataFrame]:
     """Score what the family plan asks for and write the results to the history.
 
+    A batch's prompt lists the codes that fit its suppliers together, a single one those of the supplier and its known
+    subsidiaries. ``corrections`` (and ``defaults``) give the few-shot examples, unless ``examples`` is given as text.
+
     ``max_batches`` is a budget: it limits the rows that are batched, before any call is made. A supplier
     asked for alone that only inherits is reported as skipped. Suppliers a batch answer leaves out are asked
     again one by one.
@@ -77,13 +91,18 @@ def classify_run(
         work = work if field in work.columns else work.withColumn(field, F.lit(None).cast("string"))
     size = params.batch_size
     batches, _ = cut(b.request_batches(work.select(*fields), size))
-    answers, _ = cut(b.score_batches(b.batch_prompts(batches, size, examples), score, partitions))
+    if corrections is not None and not examples:
+        recent = few_shot_recent(corrections, suppliers)
+        examples = b.example_text(few_shot_merge(recent, defaults) if defaults is not None else recent)
+    fitting = b.batch_candidates(batches, taxonomy)
+    answers, _ = cut(b.score_batches(b.batch_prompts(batches, size, examples, fitting), score, partitions))
     items = responses.classification_items(responses.answer_items(responses.parse_json(responses.json_text(answers)), responses.CODE_WRAPPERS, ["unspsc_code", "code"]))
     answered, missing = b.align_results(batches, items, size)
     answered, _ = cut(answered.select("supplier_id", "name", "model", "unspsc_code", "confidence", "reasoning", "alternatives"))
     missing, left = cut(missing, rows=F.count(F.lit(1)))
     if left["rows"]:
-        again = b.single_prompts(missing, examples).join(missing.select("id", "model"), "id").select("model", F.col("id").alias("batch_no"), "prompt")
+        alone = missing.join(b.candidate_lines(candidate_codes(missing, taxonomy, 15), taxonomy).withColumnRenamed("supplier_id", "id"), "id", "left")
+        again = b.single_prompts(alone.join(_subsidiaries(suppliers, missing), "id", "left"), examples).join(missing.select("id", "model"), "id").select("model", F.col("id").alias("batch_no"), "prompt")
         second, _ = cut(b.score_batches(again, score, partitions))
         retried = responses.classification_items(responses.answer_items(responses.parse_json(responses.json_text(second)), responses.CODE_WRAPPERS, ["unspsc_code", "code"]))
         retried = retried.where(F.col("item_no") == 1).join(missing.select(F.col("id").alias("batch_no"), "name", "model"), ["model", "batch_no"])

@@ -79,8 +79,8 @@ def ranked(df: DataFrame, order: list[Column], name: str = "rank", group: str |
     )
 
 
-HOT_KEYS = 1000
 HOT_ROWS = 10_000  # fewer rows than this on one key need no spreading
+HOT_SHARE = 4  # a key is hot from a fourth of a partition's fair share on
 
 
 def spread_join(
@@ -88,23 +88,21 @@ def spread_join(
 ) -> DataFrame:
     """Join ``many`` to ``one`` (unique on ``key``) when a few keys may hold a large share of ``many``.
 
-    The ``HOT_KEYS`` most frequent keys are found by a partially aggregated count; any other key holds at
-    most 1/HOT_KEYS of the rows. Those above ``HOT_ROWS`` are salted on the many side (by a hash of ``spread_by``, so a
-    retried task repeats its choice) and repeated on the one side, so the result is exact. The hot list
-    has at most ``HOT_KEYS`` rows, so broadcasting it is bounded.
+    Keys are counted with partial aggregation. Those with more than ``HOT_ROWS`` rows and more than a fourth of what a
+    partition would get if all were equal are salted on the many side (by a hash of ``spread_by``, so a retried task repeats
+    its choice) and repeated on the one side, so the result is exact. There can be no more than four times as many hot keys as
+    shuffle partitions, so broadcasting them is bounded. Rows without a key meet nothing and are spread as well.
     """
+    parts = int(many.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    counts = many.where(F.col(key).isNotNull()).groupBy(key).agg(F.count(F.lit(1)).alias("_n"))
+    total = many.agg(F.count(F.lit(1)).alias("_all"), F.lit(1).alias("_one"))
     hot = (
-        many.where(F.col(key).isNotNull())
-        .groupBy(key)
-        .agg(F.count(F.lit(1)).alias("_n"))
-        .orderBy(F.col("_n").desc(), F.col(key))
-        .limit(HOT_KEYS)
-        .where(F.col("_n") > HOT_ROWS)
-        .select(key, F.lit(True).alias("_hot"))
+        counts.where(F.col("_n") > HOT_ROWS).withColumn("_one", F.lit(1)).join(F.broadcast(total), "_one")  # one row
+        .where(F.col("_n") * parts * HOT_SHARE > F.col("_all")).select(key, F.lit(True).alias("_hot"))
     )
     left = (
         many.join(F.broadcast(hot), key, "left")
-        .withColumn("_salt", F.when(F.col("_hot"), F.pmod(F.xxhash64(spread_by), F.lit(salts)).cast("int")).otherwise(0))
+        .withColumn("_salt", F.when(F.col("_hot") | F.col(key).isNull(), F.pmod(F.xxhash64(spread_by), F.lit(salts)).cast("int")).otherwise(0))
         .drop("_hot")
     )
     right = (

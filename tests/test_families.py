@@ -69,7 +69,6 @@ def test_roots(spark, name):
 
 
 def test_random_roots_with_salting(spark, monkeypatch):
-    monkeypatch.setattr(fam, "SPREAD_ABOVE", 0)
     monkeypatch.setattr(session, "HOT_ROWS", 5)
     rng = random.Random(5)
     edges = {i: rng.choice([None, 0, 0, rng.randrange(0, 260), rng.randrange(0, 260)]) for i in range(250)}

@@ -95,7 +95,7 @@ def two_batches(spark):
 
 def test_prompts_hold_a_batch(two_batches):
     prompts = {r.batch_no: r.prompt for r in batches.batch_prompts(two_batches, 3, "none").collect()}
-    assert sorted(prompts) == [1, 2] and '3. Name: "Name 3"' in prompts[1] and "exactly 2 items" in prompts[2] and '1. Name: "Name 4"' in prompts[2]
+    assert sorted(prompts) == [1, 2] and '{"n":3,"supplier":{"name":"Name 3"' in prompts[1] and "(2)" in prompts[2] and '{"n":1,"supplier":{"name":"Name 4"' in prompts[2]
 
 
 def test_alignment_by_name_then_position(spark, two_batches):
@@ -103,3 +103,19 @@ def test_alignment_by_name_then_position(spark, two_batches):
     answered, missing = batches.align_results(two_batches, answers, 3)
     assert {(r.supplier_id, r.unspsc_code) for r in answered.collect()} == {(2, "22222222"), (3, "44444444")}
     assert sorted(r.id for r in missing.collect()) == [1, 4, 5]
+
+
+def test_a_raising_scorer_loses_its_own_batch_only(two_batches):
+    def score(pdf):
+        if (pdf.batch_no == 2).any():
+            raise RuntimeError("no answer")
+        return pdf.assign(response="{}")
+
+    answers = {r.batch_no: r.response for r in batches.score_batches(batches.batch_prompts(two_batches, 3, ""), score).collect()}
+    assert answers == {1: "{}", 2: None}
+
+
+def test_quotes_in_names_stay_in_their_line(two_batches):
+    rows = two_batches.withColumn("name", F.lit('A "B"\nC'))
+    prompts = [r.prompt for r in batches.batch_prompts(rows, 3, "").collect()]
+    assert all('"name":"A \\"B\\"\\nC"' in p for p in prompts)
