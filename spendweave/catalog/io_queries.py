@@ -93,7 +93,7 @@ def map_columns(t: Tables) -> DataFrame:
 
 
 RAW_CODES = """SELECT p_partkey, CASE p_partkey % 4 WHEN 0 THEN concat(substr(code, 1, 4), '-', substr(code, 5, 4)) WHEN 1 THEN concat(' ', code) WHEN 2 THEN code ELSE substr(code, 1, 7) END AS code,
-  CASE WHEN p_partkey % 10 = 9 THEN '  ' ELSE concat(p_name, '   ', p_type) END AS title FROM (SELECT *, CAST(10000000 + (p_partkey % 700) * 7919 AS VARCHAR(8)) AS code FROM part) p"""
+  CASE WHEN p_partkey % 10 = 9 THEN '  ' ELSE concat(p_name, '   ', p_type) END AS title FROM (SELECT *, CAST(10000000 + ((p_partkey - p_partkey % 3) * 7919) % 90000000 AS VARCHAR(8)) AS code FROM part) p"""
 
 
 @query(

@@ -24,7 +24,7 @@ AS_OF = "TIMESTAMP '2001-11-15 00:00:00'"
 INCOMING = """SELECT id, CASE id % 4 WHEN 0 THEN concat('https://www.', lower(country), '.com/x') WHEN 1 THEN 'not a domain' WHEN 2 THEN '  ' ELSE domain END AS domain,
   CASE id % 3 WHEN 0 THEN concat(industry, ' and more') WHEN 1 THEN 'X' ELSE NULL END AS industry, CASE WHEN id % 5 = 1 THEN concat(' sells things in ', country, ' ') ELSE '' END AS description,
   CASE WHEN id % 2 = 0 THEN total_amount ELSE CAST(id AS DECIMAL(18,2)) END AS total_amount, id % 3 AS transaction_count, CASE WHEN id % 6 = 0 THEN 'eur' ELSE 'USD' END AS currency,
-  CASE WHEN id % 2 = 0 THEN created_at ELSE updated_at END AS enriched_at FROM v_suppliers WHERE id % 7 <> 0"""
+  CASE WHEN id % 2 = 0 THEN created_at ELSE updated_at END AS enriched_at FROM v_suppliers"""
 
 
 def _merge_sql() -> str:
@@ -98,7 +98,7 @@ def upsert_summary(t: Tables) -> DataFrame:
 
 
 RESULTS = """SELECT id, CASE WHEN id % 3 = 0 THEN 'HTTP 500' END AS error, CASE WHEN id % 2 = 0 THEN 'example.org' END AS domain, CASE WHEN id % 4 = 1 THEN concat(industry, ' long name') END AS industry,
-  concat('f', CAST(id AS VARCHAR(20))) AS fingerprint, CASE WHEN id % 4 = 1 THEN 'enrichment' END AS parent_source FROM v_suppliers WHERE id % 5 <> 0"""
+  concat('f', CAST(id AS VARCHAR(20))) AS fingerprint, CASE WHEN id % 4 = 1 THEN 'enrichment' END AS parent_source FROM v_suppliers"""
 
 
 @query(
@@ -125,8 +125,8 @@ def mark_stale(t: Tables) -> DataFrame:
     return merge.mark_stale(rows, reasons, P).select("id", "stale", "stale_reason", "newly_marked")
 
 
-NEW_ROWS = """SELECT l_suppkey + 1 AS supplier_id, CAST(20000000 + l_orderkey % 1000 AS VARCHAR(8)) AS unspsc_code, CAST(l_discount * 7 AS DECIMAL(10,2)) AS confidence, l_orderkey, l_linenumber, l_partkey, l_extendedprice
-  FROM lineitem WHERE l_quantity < 3"""
+NEW_ROWS = """SELECT l_suppkey + 1 AS supplier_id, CAST(20000000 + l_orderkey % 1000 AS VARCHAR(8)) AS unspsc_code, CAST(l_discount * 7 AS DECIMAL(10,2)) AS confidence, l_orderkey, l_linenumber, l_partkey, l_extendedprice, l_discount, l_quantity
+  FROM lineitem"""
 
 
 @query(
@@ -135,10 +135,10 @@ NEW_ROWS = """SELECT l_suppkey + 1 AS supplier_id, CAST(20000000 + l_orderkey %
 SELECT c.id, c.supplier_id, c.unspsc_code, c.confidence, c.superseded, m.newest FROM (SELECT id, supplier_id, unspsc_code, confidence, superseded FROM v_classifications UNION ALL SELECT id, supplier_id, unspsc_code, confidence, FALSE FROM numbered) c
 LEFT JOIN (SELECT supplier_id, max(id) AS newest FROM numbered GROUP BY 1) m ON m.supplier_id = c.supplier_id) x""",
     f"fresh AS ({NEW_ROWS})",
-    "numbered AS (SELECT (SELECT max(id) FROM v_classifications) + row_number() OVER (ORDER BY l_orderkey, l_linenumber, l_partkey, supplier_id, l_extendedprice) AS id, supplier_id, unspsc_code, greatest(0, least(1, confidence)) AS confidence FROM fresh)"),
+    "numbered AS (SELECT (SELECT max(id) FROM v_classifications) + row_number() OVER (ORDER BY l_orderkey, l_linenumber, l_partkey, supplier_id, l_extendedprice, l_discount, l_quantity) AS id, supplier_id, unspsc_code, greatest(0, least(1, confidence)) AS confidence FROM fresh)"),
 )
 def write_classifications(t: Tables) -> DataFrame:
-    order = ["l_orderkey", "l_linenumber", "l_partkey", "supplier_id", "l_extendedprice"]
+    order = ["l_orderkey", "l_linenumber", "l_partkey", "supplier_id", "l_extendedprice", "l_discount", "l_quantity"]
     return h.write_classifications(t.classifications, t.sql(NEW_ROWS), P, order).select("id", "supplier_id", "unspsc_code", "confidence", "superseded")
 
 
