@@ -165,6 +165,34 @@ def supplier_page(t: Tables) -> DataFrame:
     )
 
 
+@query(
+    "page_totals",
+    with_views("""SELECT 'all' AS list, count(*) AS total, CAST(greatest(1, ceil(count(*) / 25.0)) AS BIGINT) AS pages FROM v_list
+UNION ALL SELECT 'low', count(*), CAST(greatest(1, ceil(count(*) / 7.0)) AS BIGINT) FROM v_list WHERE confidence < 0.7 AND NOT reviewed
+UNION ALL SELECT 'none', count(*), CAST(greatest(1, ceil(count(*) / 25.0)) AS BIGINT) FROM v_list WHERE name = '?'"""),
+)
+def page_totals(t: Tables) -> DataFrame:
+    low, none = filters.supplier_filter(t.rows, filters.SupplierFilter(state="low"), P), filters.supplier_filter(t.rows, filters.SupplierFilter(parent="?"), P)
+    lists = (("all", t.rows, 25), ("low", low, 7), ("none", none, 25))
+    return _union(*[filters.page_totals(rows, size).select(F.lit(label).alias("list"), "total", "pages") for label, rows, size in lists])
+
+
+@query("filter_ids", with_views("SELECT id, name FROM v_list WHERE id IN (SELECT supplier_id FROM v_classifications WHERE reviewed) AND is_parent"))
+def filter_ids(t: Tables) -> DataFrame:
+    """A list of ids of any length, here the suppliers with a reviewed classification."""
+    reviewed = t.classifications.where("reviewed").select(F.col("supplier_id").alias("id"))
+    return filters.supplier_filter(t.rows, filters.SupplierFilter(only_parents=True), P, ids=reviewed).select("id", "name")
+
+
+@query(
+    "supplier_relatives",
+    with_views("""SELECT s.id, 'parent' AS relation, 1 AS position, p.id AS relative_id, p.name, p.total_amount::DOUBLE AS total_amount FROM v_suppliers s JOIN v_suppliers p ON p.id = s.parent_id WHERE s.is_parent
+UNION ALL SELECT * FROM (SELECT s.id, 'child', row_number() OVER (PARTITION BY s.id ORDER BY c.total_amount DESC NULLS LAST, c.id) AS position, c.id, c.name, c.total_amount::DOUBLE FROM v_suppliers s JOIN v_suppliers c ON c.parent_id = s.id WHERE s.is_parent) x WHERE position <= 2"""),
+)
+def supplier_relatives(t: Tables) -> DataFrame:
+    return current.supplier_relatives(t.suppliers, t.suppliers.where("is_parent"), 2)
+
+
 @query(
     "needs_classification",
     with_views("SELECT id, name, CAST(total_amount AS DOUBLE) AS total_amount FROM v_suppliers WHERE id NOT IN (SELECT supplier_id FROM v_classifications WHERE NOT superseded) ORDER BY total_amount DESC NULLS FIRST, id LIMIT 25"),

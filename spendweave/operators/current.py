@@ -151,6 +151,19 @@ def supplier_history(history: DataFrame, keep: int = 50) -> DataFrame:
     )
 
 
+def supplier_relatives(suppliers: DataFrame, ids: DataFrame, keep: int = 50) -> DataFrame:
+    """``id, relation, position, relative_id, name, total_amount`` for each supplier of ``ids``: its parent, and its direct
+    children, the largest first and at most ``keep``; the limit is applied before the shuffle too."""
+    wanted = ids.select("id").distinct()
+    about = suppliers.select(F.col("id").alias("relative_id"), "name", "total_amount", F.col("parent_id").alias("_up"))
+    parents = suppliers.join(wanted, "id", "left_semi").select("id", F.col("parent_id").alias("relative_id")).join(about.drop("_up"), "relative_id")
+    parents = parents.select("id", F.lit("parent").alias("relation"), F.lit(1).alias("position"), "relative_id", "name", "total_amount")
+    largest = Window.partitionBy("id").orderBy(F.col("total_amount").desc_nulls_last(), "relative_id")
+    children = about.where("_up is not null").withColumnRenamed("_up", "id").join(wanted, "id", "left_semi")
+    children = children.withColumn("position", F.row_number().over(largest)).where(F.col("position") <= keep)
+    return parents.unionByName(children.select("id", F.lit("child").alias("relation"), "position", "relative_id", "name", "total_amount"))
+
+
 def last_event(audit: DataFrame, action: str, member: str | None = None, value: str | None = None) -> DataFrame:
     """Latest event of one action with its payload, optionally only those whose details have ``member = value``."""
     rows = audit.where(F.col("action") == action)
