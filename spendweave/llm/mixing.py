@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -13,9 +11,11 @@ from spendweave.llm.common import fresh, store
 SAMPLE_DOCS = 20_000
 #: Slots that words are hashed into; the classifier is one row of domains x SLOTS numbers.
 SLOTS = 65_536
-#: For a slot to speak, its count in a domain must differ from its share of all by so many standard deviations and so many
-#: times; small differences of common words, which come together, would else add up.
+#: For a slot to speak, its count in some domain must exceed its share of all by so many standard deviations and so many times;
+#: small differences of common words, which come together, would else add up.
 SIGNIFICANT, TIMES = 10.0, 2.0
+#: Slots that speak at most: those that are furthest apart. They bound what a document is compared with.
+SPEAKERS = 256
 #: Rounds of projected gradient, and the relative miss of a target at which they end.
 ROUNDS, CLOSE = 40, 1e-4
 
@@ -25,13 +25,13 @@ PARTS = "[\\x20\\x09-\\x0D]+|(?=[!-/:-@\\[-`{-~])(?<=[\\p{L}\\p{N}])"
 
 
 def _pieces(text: Column) -> Column:
-    """Lower-case words of a text and runs of signs; an empty piece may stand at either end."""
-    return F.split(F.lower(text), PARTS, -1)
+    """Words of a text and runs of signs; an empty piece may stand at either end."""
+    return F.split(text, PARTS, -1)
 
 
 def _slots(pieces: Column, text: Column) -> Column:
-    """Slots of a text's pieces, and one more for a text in capitals."""
-    shout = F.when((F.upper(text) == text) & (F.lower(text) != text), F.array(F.lit(SLOTS - 1))).otherwise(F.array().cast("array<int>"))
+    """Slots of a text's pieces, and one more for a text without small letters."""
+    shout = F.when(~text.rlike("[a-z]"), F.array(F.lit(SLOTS - 1))).otherwise(F.array().cast("array<int>"))
     return F.concat(F.transform(pieces, lambda w: F.xxhash64(w).bitwiseAND(SLOTS - 2).cast("int")), shout)
 
 
@@ -43,9 +43,9 @@ def _count(pieces: Column) -> Column:
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", domain_col: str = "domain", sample_docs: int = SAMPLE_DOCS) -> DataFrame:
     """One row ``domains array<string>, prior array<double>, weights array<array<double>>``: naive Bayes over hashed words.
 
-    A weight compares a slot's share of documents in the domain with its share of all, for slots where the two differ by
-    ``SIGNIFICANT`` standard deviations and ``TIMES`` times in some domain, else it is zero: chance words of a large vocabulary
-    have no say. ``prior`` is the score of a text that has none of these slots.
+    A weight compares a slot's share of documents in the domain with its share of all, for slots that some domain has
+    ``SIGNIFICANT`` standard deviations and ``TIMES`` times more often (``SPEAKERS`` at most), else it is zero: chance
+    words of a large vocabulary have no say. ``prior`` is the score of a text that has none of these slots.
     ``labels(doc_id, domain)`` may hold nulls (left out) and repeats (the smallest domain counts). Each text counts a word once.
     The labelled sample is bounded by ``sample_docs``; counts are summed before they are shuffled.
     """
@@ -62,12 +62,12 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     grid = grid.select("domain", "docs", "slot", F.coalesce("n", F.lit(0)).alias("n"))
     whole = grid.groupBy("slot").agg(((F.sum("n") + 0.5) / (F.sum("docs") + 1.0)).alias("share"))
     expected, own, kinds = F.col("docs") * F.col("share"), (F.col("n") + 0.5) / (F.col("docs") + 1.0), Window.partitionBy("slot")  # as many rows as domains
-    apart = (F.abs(F.col("n") - expected) >= SIGNIFICANT * F.sqrt(expected * (1 - F.col("share")) + 1)) & (F.abs(F.log(own / F.col("share"))) >= math.log(TIMES))
+    apart = F.when(own >= TIMES * F.col("share"), (F.col("n") - expected) / F.sqrt(expected * (1 - F.col("share")) + 1)).otherwise(0.0)
     absent = F.log((1 - own) / (1 - F.col("share")))
-    spoken = F.max(apart).over(kinds)
-    weighed = grid.join(whole, "slot").select(
-        "domain", "docs", "slot", F.when(spoken, F.log(own / F.col("share")) - absent).otherwise(0.0).alias("w"), F.when(spoken, absent).otherwise(0.0).alias("absent")
-    )
+    scored = grid.join(whole, "slot").select("domain", "docs", "slot", (F.log(own / F.col("share")) - absent).alias("w"), absent.alias("absent"), F.max(apart).over(kinds).alias("apart"))
+    spoken = scored.where(F.col("apart") >= SIGNIFICANT).select("slot", "apart").distinct().orderBy(F.col("apart").desc(), "slot").limit(SPEAKERS).select("slot", F.lit(True).alias("spoken"))
+    silent = lambda c: F.when(F.col("spoken"), F.col(c)).otherwise(0.0).alias(c)
+    weighed = scored.join(F.broadcast(spoken), "slot", "left").select("domain", "docs", "slot", silent("w"), silent("absent"))  # SPEAKERS rows at most
     rows = weighed.groupBy("domain", "docs").agg(F.sort_array(F.collect_list(F.struct("slot", "w", "absent"))).alias("w"))  # SLOTS items each
     add = lambda a, b: a + b
     none = F.col("docs") / F.sum("docs").over(Window.partitionBy(F.lit(1)))  # as many rows as domains
