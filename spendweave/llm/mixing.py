@@ -16,8 +16,8 @@ SLOTS = 65_536
 SIGNIFICANT, TIMES = 10.0, 2.0
 #: Slots that speak at most: those that are furthest apart. They bound what a document is compared with.
 SPEAKERS = 256
-#: Rounds of projected gradient, and the relative miss of a target at which they end.
-ROUNDS, CLOSE = 40, 1e-4
+#: Rounds of projected gradient, and the miss of a target, as a share of all tokens wanted, at which they end.
+ROUNDS, CLOSE = 40, 1e-3
 
 
 #: Where a text is parted: at white space, and between a letter or digit and a sign after it.
@@ -91,8 +91,9 @@ def posteriors(docs: DataFrame, model: DataFrame, id_col: str = "doc_id", text_c
         F.lit(1).alias(one), F.col("domains").alias(domains), F.col("prior").alias(prior), F.col("weights").alias(weights),
         F.filter(F.sequence(F.lit(0), F.lit(SLOTS - 1)), speaks).alias(spoken),
     )
-    joined = read.join(F.broadcast(store(model)), one, "left").withColumn(slots, F.array_intersect(slots, spoken))  # one row of domains x SLOTS numbers
-    score = F.zip_with(prior, weights, lambda a, w: a + F.aggregate(slots, F.lit(0.0), lambda s, k: s + F.get(w, k)))
+    joined = read.join(F.broadcast(store(model)), one, "left")  # one row of domains x SLOTS numbers
+    heard = F.array_intersect(slots, spoken)
+    score = F.aggregate(heard, F.col(prior), lambda sums, k: F.zip_with(sums, weights, lambda a, w: a + F.get(w, k)))
     joined = joined.withColumn(scores, F.coalesce(score, F.array().cast("array<double>"))).select(*carry, "doc_id", "tokens", F.coalesce(domains, F.array().cast("array<string>")).alias("domains"), scores)
     odds = F.transform(scores, lambda s: F.exp(s - F.array_max(scores)))
     whole = F.aggregate(odds, F.lit(0.0), lambda a, b: a + b)
@@ -131,7 +132,8 @@ def solve(soft: DataFrame, targets: dict[str, float], tokens: float | None = Non
         if max(abs(g - t) for g, t in zip(goal, totals)) <= CLOSE * max(tokens, 1.0):
             break
         misses.append([(goal[k] - totals[k]) / have[k] for k in kinds])
-        got = soft.agg(*[_total(k, F.col("tokens") * _rate(misses)).alias(f"t{k}") for k in kinds]).first()
+        used = soft.select("p", (F.col("tokens") * _rate(misses)).alias("used"))
+        got = used.agg(*[_total(k, F.col("used")).alias(f"t{k}") for k in kinds]).first()
         totals = [float(got[k]) for k in kinds]
     return soft.withColumn("rate", _rate(misses)), {"domains": names, "targets": goal, "totals": totals, "rounds": len(misses)}
 
