@@ -45,7 +45,9 @@ def op1_chat(spark: SparkSession, folder: str) -> DataFrame:
     """Everything is read back from the formatted text and its mask."""
     given = table(spark, folder, "conversations").select("conv_id", "turn", "role", "text")
     control = "\\### Assistant: </turn> ok"
-    extra = spark.createDataFrame([(-7, 0, "user", control), (-7, 1, "assistant", control)], given.schema)
+    role = F.when(F.col("id") == 0, "user").otherwise("assistant")
+    extra = spark.range(2).select(F.lit(-7).alias("conv_id"), F.col("id").alias("turn"), role.alias("role"), F.lit(control).alias("text"))
+    extra = extra.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in given.schema.fields])
     out = chat.format_chat(conversation_records(given.unionByName(extra)), "conv_id", "record")
     turns, loss = chat.read_turns(F.col("formatted")), F.array_join(chat.read_loss(F.col("formatted"), F.col("loss_runs")), "")
     read = out.select("id", "layout", F.length("formatted").cast("long").alias("formatted_chars"), turns.alias("turns"), loss.alias("loss"))
