@@ -20,7 +20,7 @@ LEAST_DOCS = 100
 #: How many quartile distances beyond a quartile a measure may lie, and the slack added to that, by measure. The measures are
 #: integers: symbols, repeated lines and repeated words in thousandths of characters or words, mean word length in hundredths.
 REACH = 4
-SLACK = {"symbols": 30, "length": 250, "dup_lines": 20, "repeats": 100}
+SLACK = {"symbols": 30, "length": 250, "dup_lines": 20, "repeats": 250}
 TWO_SIDED = ("length",)
 
 

@@ -166,7 +166,7 @@ q AS (
          min(bucket) FILTER (WHERE upto * 4 >= 3 * docs) AS q3 FROM c GROUP BY ALL),
 f AS (
   SELECT level, lang, source, measure, docs, CASE measure WHEN 'length' THEN q1 - (4 * (q3 - q1) + 250) ELSE 0 END AS low,
-         q3 + 4 * (q3 - q1) + CASE measure WHEN 'symbols' THEN 30 WHEN 'length' THEN 250 WHEN 'dup_lines' THEN 20 ELSE 100 END AS high FROM q),
+         q3 + 4 * (q3 - q1) + CASE measure WHEN 'symbols' THEN 30 WHEN 'length' THEN 250 WHEN 'dup_lines' THEN 20 ELSE 250 END AS high FROM q),
 t AS (
   SELECT a.lang, a.source, a.measure, CASE WHEN a.docs >= 100 THEN a.low WHEN b.docs >= 100 THEN b.low ELSE z.low END AS low,
          CASE WHEN a.docs >= 100 THEN a.high WHEN b.docs >= 100 THEN b.high ELSE z.high END AS high
