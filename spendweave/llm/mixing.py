@@ -2,20 +2,23 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+import math
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from spendweave.llm.common import fresh, store
 
 #: Labelled documents that the classifier is fitted on at most: those whose id hashes lowest.
 SAMPLE_DOCS = 20_000
-#: Slots that words are hashed into; the classifier is one row of domains x SLOTS numbers.
-SLOTS = 65_536
-#: For a slot to speak, its count in some domain must exceed its share of all by so many standard deviations and so many times;
-#: small differences of common words, which come together, would else add up.
+#: For a word to speak, its count in some domain must exceed its share of all by so many standard deviations and so many times;
+#: small differences of common words, which come together, would else add up. Lower bars let more good text be called toxic.
 SIGNIFICANT, TIMES = 10.0, 2.0
-#: Slots that speak at most: those that are furthest apart. They bound what a document is compared with.
-SPEAKERS = 256
+#: Cells that the speaking words' weights are filed in; a word is known by its whole hash, so a cell may hold several.
+CELLS = 65_536
+#: What stands for a text without small letters, among the hashes of words.
+SHOUT = -1
 #: Rounds of projected gradient, and the miss of a target, as a share of all tokens wanted, at which they end.
 ROUNDS, CLOSE = 40, 1e-3
 
@@ -29,10 +32,10 @@ def _pieces(text: Column) -> Column:
     return F.split(text, PARTS, -1)
 
 
-def _slots(pieces: Column, text: Column) -> Column:
-    """Slots of a text's pieces, and one more for a text without small letters."""
-    shout = F.when(~text.rlike("[a-z]"), F.array(F.lit(SLOTS - 1))).otherwise(F.array().cast("array<int>"))
-    return F.concat(F.transform(pieces, lambda w: F.xxhash64(w).bitwiseAND(SLOTS - 2).cast("int")), shout)
+def _heard(pieces: Column, text: Column) -> Column:
+    """64-bit hashes of a text's pieces, and one more for a text without small letters."""
+    shout = F.when(~text.rlike("[a-z]"), F.array(F.lit(SHOUT).cast("long"))).otherwise(F.array().cast("array<long>"))
+    return F.concat(F.transform(pieces, lambda w: F.xxhash64(w)), shout)
 
 
 def _count(pieces: Column) -> Column:
@@ -41,40 +44,41 @@ def _count(pieces: Column) -> Column:
 
 
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", domain_col: str = "domain", sample_docs: int = SAMPLE_DOCS) -> DataFrame:
-    """One row ``domains array<string>, prior array<double>, weights array<array<double>>``: naive Bayes over hashed words.
-
-    A weight compares a slot's share of documents in the domain with its share of all, for slots that some domain has
-    ``SIGNIFICANT`` standard deviations and ``TIMES`` times more often (``SPEAKERS`` at most), else it is zero: chance
-    words of a large vocabulary have no say. ``prior`` is the score of a text that has none of these slots.
-    ``labels(doc_id, domain)`` may hold nulls (left out) and repeats (the smallest domain counts). Each text counts a word once.
-    The labelled sample is bounded by ``sample_docs``; counts are summed before they are shuffled.
+    """One row ``domains, prior array<double>, words array<long>, cells array<array<struct<word, w>>>``: naive Bayes over words.
+
+    A weight compares a word's share of documents in the domain with its share of all, for words that some domain has
+    ``SIGNIFICANT`` standard deviations and ``TIMES`` times more often, else it is zero: chance words of a large vocabulary have
+    no say. Shares are smoothed by one document that has the word as often as all have. ``prior`` is the score of a text that
+    has none of these words. ``labels(doc_id, domain)`` may hold nulls (left out) and repeats (the smallest domain counts). Each
+    text counts a word once. Words are known by their whole hashes, so no other word speaks for them. The labelled sample is
+    bounded by ``sample_docs``, and so are the words; counts are summed before they are shuffled.
     """
     narrow = labels.select(F.col(id_col).cast("long").alias("doc_id"), F.col(domain_col).cast("string").alias("domain")).dropna()
     sample = narrow.groupBy("doc_id").agg(F.min("domain").alias("domain")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_docs)
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).where("text is not null")
     labelled = texts.join(F.broadcast(store(sample)), "doc_id")  # sample_docs rows of two short columns at most
-    slots = labelled.select("domain", F.array_distinct(_slots(_pieces(F.col("text")), F.col("text"))).alias("slots"))
-    counted = store(
-        slots.select("domain", F.explode(F.concat(F.array(F.lit(-1)), "slots")).alias("slot")).groupBy("domain", "slot").agg(F.count(F.lit(1)).alias("n"))
-    )
-    every = counted.where("slot = -1").select("domain", F.col("n").alias("docs"))
-    grid = every.select("domain", "docs", F.explode(F.sequence(F.lit(0), F.lit(SLOTS - 1))).alias("slot")).join(counted.where("slot >= 0"), ["domain", "slot"], "left")
-    grid = grid.select("domain", "docs", "slot", F.coalesce("n", F.lit(0)).alias("n"))
-    whole = grid.groupBy("slot").agg(((F.sum("n") + 0.5) / (F.sum("docs") + 1.0)).alias("share"))
-    expected, own, kinds = F.col("docs") * F.col("share"), (F.col("n") + 0.5) / (F.col("docs") + 1.0), Window.partitionBy("slot")  # as many rows as domains
-    apart = F.when(own >= TIMES * F.col("share"), (F.col("n") - expected) / F.sqrt(expected * (1 - F.col("share")) + 1)).otherwise(0.0)
-    absent = F.log((1 - own) / (1 - F.col("share")))
-    scored = grid.join(whole, "slot").select("domain", "docs", "slot", (F.log(own / F.col("share")) - absent).alias("w"), absent.alias("absent"), F.max(apart).over(kinds).alias("apart"))
-    spoken = scored.where(F.col("apart") >= SIGNIFICANT).select("slot", "apart").distinct().orderBy(F.col("apart").desc(), "slot").limit(SPEAKERS).select("slot", F.lit(True).alias("spoken"))
-    silent = lambda c: F.when(F.col("spoken"), F.col(c)).otherwise(0.0).alias(c)
-    weighed = scored.join(F.broadcast(spoken), "slot", "left").select("domain", "docs", "slot", silent("w"), silent("absent"))  # SPEAKERS rows at most
-    rows = weighed.groupBy("domain", "docs").agg(F.sort_array(F.collect_list(F.struct("slot", "w", "absent"))).alias("w"))  # SLOTS items each
-    add = lambda a, b: a + b
-    none = F.col("docs") / F.sum("docs").over(Window.partitionBy(F.lit(1)))  # as many rows as domains
-    rows = rows.select("domain", F.col("w.w").alias("w"), (F.log(none) + F.aggregate(F.col("w.absent"), F.lit(0.0), add)).alias("prior"))
-    return rows.agg(F.sort_array(F.collect_list(F.struct("domain", "prior", "w"))).alias("m")).select(
-        F.col("m.domain").alias("domains"), F.col("m.prior").alias("prior"), F.col("m.w").alias("weights"),
+    words = labelled.select("domain", F.array_distinct(_heard(_pieces(F.col("text")), F.col("text"))).alias("words"))
+    every = store(labelled.groupBy("domain").agg(F.count(F.lit(1)).alias("docs")))
+    kinds = {r[0]: float(r[1]) for r in every.orderBy("domain").collect()}  # as many as domains
+    if not kinds:
+        return every.agg(*[F.array().cast(kind).alias(c) for c, kind in (("domains", "array<string>"), ("prior", "array<double>"), ("words", "array<long>"), ("cells", "array<array<struct<word:long,w:array<double>>>>"))])
+    total, names = sum(kinds.values()), list(kinds)
+    counts = [F.sum((F.col("domain") == n).cast("double")).alias(f"n{k}") for k, n in enumerate(names)]
+    counted = words.select("domain", F.explode("words").alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("n"), *counts)
+    share = (F.col("n") + 0.5) / (total + 1.0)
+    own = [(F.col(f"n{k}") + share) / (kinds[n] + 1.0) for k, n in enumerate(names)]
+    apart = [(own[k] >= TIMES * share) & ((F.col(f"n{k}") - kinds[n] * share) / F.sqrt(kinds[n] * share * (1 - share) + 1) >= SIGNIFICANT) for k, n in enumerate(names)]
+    absent = [F.log((1 - o) / (1 - share)) for o in own]
+    spoken = counted.where(reduce(lambda a, b: a | b, apart)).select(
+        "word", F.array(*[F.log(o / share) - x for o, x in zip(own, absent)]).alias("w"), F.array(*absent).alias("absent"),
     )
+    spoken = store(spoken.orderBy("word"))
+    prior = [F.lit(math.log(kinds[n] / total)) + F.coalesce(F.sum(F.get("absent", F.lit(k))), F.lit(0.0)) for k, n in enumerate(names)]
+    filed = spoken.groupBy(F.col("word").bitwiseAND(CELLS - 1).cast("int").alias("cell")).agg(F.sort_array(F.collect_list(F.struct("word", "w"))).alias("held"))
+    places = docs.sparkSession.range(CELLS).select(F.col("id").cast("int").alias("cell")).join(filed, "cell", "left")
+    cells = places.agg(F.sort_array(F.collect_list(F.struct("cell", "held")))["held"].alias("cells"))  # CELLS items and the sample's words
+    whole = spoken.agg(F.array(*[F.lit(n) for n in names]).alias("domains"), F.array(*prior).alias("prior"), F.sort_array(F.collect_list("word")).alias("words"))
+    return whole.crossJoin(cells).select("domains", "prior", "words", "cells")
 
 
 def posteriors(docs: DataFrame, model: DataFrame, id_col: str = "doc_id", text_col: str = "text", carry: tuple[str, ...] = ()) -> DataFrame:
@@ -82,18 +86,17 @@ def posteriors(docs: DataFrame, model: DataFrame, id_col: str = "doc_id", text_c
 
     The columns ``carry`` follow; they mustn't have these names. A null or empty text has no tokens and the prior. Without labels there are no domains and ``p`` is empty.
     """
-    one, domains, prior, weights, slots, scores, spoken = (fresh(n) for n in ("one", "domains", "prior", "weights", "slots", "scores", "spoken"))
+    one, domains, prior, cells, words, scores, spoken = (fresh(n) for n in ("one", "domains", "prior", "cells", "words", "scores", "spoken"))
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"), *carry)
     pieces = texts.withColumn("pieces", _pieces(F.col("text")))
-    read = pieces.select(*carry, F.lit(1).alias(one), "doc_id", _count(F.col("pieces")).alias("tokens"), _slots(F.col("pieces"), F.col("text")).alias(slots))
-    speaks = lambda k: F.exists("weights", lambda w: F.get(w, k) != 0)
+    read = pieces.select(*carry, F.lit(1).alias(one), "doc_id", _count(F.col("pieces")).alias("tokens"), _heard(F.col("pieces"), F.col("text")).alias(words))
     model = model.select(
-        F.lit(1).alias(one), F.col("domains").alias(domains), F.col("prior").alias(prior), F.col("weights").alias(weights),
-        F.filter(F.sequence(F.lit(0), F.lit(SLOTS - 1)), speaks).alias(spoken),
+        F.lit(1).alias(one), F.col("domains").alias(domains), F.col("prior").alias(prior), F.col("cells").alias(cells), F.col("words").alias(spoken),
     )
-    joined = read.join(F.broadcast(store(model)), one, "left")  # one row of domains x SLOTS numbers
-    heard = F.array_intersect(slots, spoken)
-    score = F.aggregate(heard, F.col(prior), lambda sums, k: F.zip_with(sums, weights, lambda a, w: a + F.get(w, k)))
+    joined = read.join(F.broadcast(store(model)), one, "left")  # one row of the sample's speaking words
+    heard = F.array_intersect(words, spoken)
+    weight = lambda k: F.get(F.filter(F.get(cells, k.bitwiseAND(CELLS - 1).cast("int")), lambda e: e["word"] == k), F.lit(0))["w"]
+    score = F.aggregate(heard, F.col(prior), lambda sums, k: F.zip_with(sums, weight(k), lambda a, w: a + w))
     joined = joined.withColumn(scores, F.coalesce(score, F.array().cast("array<double>"))).select(*carry, "doc_id", "tokens", F.coalesce(domains, F.array().cast("array<string>")).alias("domains"), scores)
     odds = F.transform(scores, lambda s: F.exp(s - F.array_max(scores)))
     whole = F.aggregate(odds, F.lit(0.0), lambda a, b: a + b)
