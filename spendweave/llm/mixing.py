@@ -14,7 +14,7 @@ from spendweave.llm.common import fresh, store
 SAMPLE_DOCS = 20_000
 #: For a word to speak, its count in some domain must exceed its share of all by so many standard deviations and so many times;
 #: small differences of common words, which come together, would else add up. Lower bars let more good text be called toxic.
-SIGNIFICANT, TIMES = 10.0, 2.0
+SIGNIFICANT, TIMES = 3.0, 2.0
 #: Cells that the speaking words' weights are filed in; a word is known by its whole hash, so a cell may hold several.
 CELLS = 65_536
 #: What stands for a text without small letters, among the hashes of words.

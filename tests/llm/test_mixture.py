@@ -16,6 +16,15 @@ def held_rows(rng, marker_docs, words):
     return rows, labels
 
 
+def test_words_of_a_small_language_speak(llm, documents):
+    rng = random.Random(3)
+    rows, labels = held_rows(rng, 12, 300)
+    unseen = [(1000 + k, " ".join(f"w{rng.randint(0, 300)}" for _ in range(40)) + " garstig") for k in range(20)]
+    model = mixing.fit(documents(rows), llm.createDataFrame(labels, "doc_id long, domain string"))
+    found = mixing.posteriors(documents(unseen), model).collect()
+    assert all(r.p[r.domains.index("toxic")] > 0.5 for r in found)
+
+
 def test_no_other_word_speaks(llm, documents):
     rng = random.Random(4)
     rows, labels = held_rows(rng, 60, 300)
