@@ -160,7 +160,7 @@ def mix(docs: DataFrame, labels: DataFrame, targets: dict[str, float], id_col: s
 
 
 def thin(docs: DataFrame, labels: DataFrame, targets: dict[str, float], id_col: str = "doc_id", text_col: str = "text", domain_col: str = "domain", plenty: float = 1.0) -> DataFrame:
-    """The rows of ``docs``, columns unchanged, that are drawn at least once when mixing to ``targets``; none is repeated.
+    """The rows of ``docs``, columns unchanged, each as often as it is drawn when mixing to ``targets``: left out, once, or repeated.
 
     The total is ``plenty`` times what uses the domain with the largest weight once. The text is written once with its
     probabilities and not shuffled.
@@ -170,7 +170,9 @@ def thin(docs: DataFrame, labels: DataFrame, targets: dict[str, float], id_col:
     model = store(fit(docs, labels, id_col, text_col, domain_col))
     soft = store(posteriors(named, model, ids, texts, tuple(named.columns)))
     rated, _ = solve(soft, targets, plenty=plenty)
-    return rated.where(drawn(F.col("rate"), F.col("doc_id")) >= 1).select(named.columns).toDF(*docs.columns)
+    copies = drawn(F.col("rate"), F.col("doc_id"))
+    drawn_rows = rated.where(copies >= 1).select(*named.columns, F.explode(F.sequence(F.lit(1), copies)).alias("copy"))
+    return drawn_rows.select(named.columns).toDF(*docs.columns)
 
 
 def drawn(rate: Column, doc_id: Column) -> Column:

@@ -2,6 +2,8 @@
 
 import random
 
+from pyspark.sql import functions as F
+
 from spendweave.llm import mixing
 
 
@@ -32,3 +34,16 @@ def test_no_other_word_speaks(llm, documents):
     long = [(k, " ".join(f"u{k}x{j}" for j in range(100_000))) for k in range(3)]
     none, *others = mixing.posteriors(documents([(9, "unheard"), *long]), model).collect()
     assert all(r.p == none.p for r in others)
+
+
+def test_stage_meets_its_targets_by_repeating(llm, documents):
+    rng = random.Random(5)
+    kinds = ["good"] * 700 + ["poor"] * 100 + ["toxic"] * 100
+    rows = [(k, " ".join([f"{kind}{rng.randint(0, 3)}" for _ in range(6)] + [f"w{rng.randint(0, 200)}" for _ in range(14)])) for k, kind in enumerate(kinds)]
+    labels = llm.createDataFrame(list(enumerate(kinds)), "doc_id long, domain string")
+    targets = {"good": 0.6, "poor": 0.35, "toxic": 0.05}
+    out = mixing.thin(documents(rows), labels, targets, plenty=1.1)
+    named = out.join(labels, "doc_id").groupBy("domain").agg(F.count(F.lit(1)).alias("n")).collect()
+    total = sum(r.n for r in named)
+    assert all(abs(r.n / total - targets[r.domain]) < 0.03 for r in named)
+    assert out.columns == documents(rows).columns and out.groupBy("doc_id").count().agg(F.max("count")).first()[0] >= 3
