@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+import warnings
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -19,8 +20,8 @@ SIGNIFICANT, TIMES = 3.0, 2.0
 CELLS = 65_536
 #: What stands for a text without small letters, among the hashes of words.
 SHOUT = -1
-#: Rounds of projected gradient, and the miss of a target, as a share of all tokens wanted, at which they end.
-ROUNDS, CLOSE = 40, 1e-3
+#: Rounds of projected gradient, and the miss of every target, as a share of that target, at which they end.
+ROUNDS, CLOSE = 40, 1e-2
 
 
 #: Where a text is parted: at white space, and between a letter or digit and a sign after it.
@@ -114,12 +115,13 @@ def solve(soft: DataFrame, targets: dict[str, float], tokens: float | None = Non
     by projected gradient from rate one: each round adds to every rate the misses of its domains, in proportion to its
     membership and relative to the domains' totals, and cuts at zero. That scaling keeps the step stable at any size. A round
     is one sum over the documents; the rates of a round follow from the misses of the rounds before, a few numbers.
+    Rounds end when every target is met within ``CLOSE`` of itself (a target of zero, of all tokens); else there is a warning.
     ``tokens`` is the total to reach; without it, so much that the domain with the largest weight is used once, times ``plenty``.
     """
     first = soft.select("domains").limit(1).collect()
     names: list[str] = list(first[0][0]) if first else []
     if not names:
-        return soft.withColumn("rate", F.lit(1.0)), {"domains": [], "targets": [], "totals": [], "rounds": 0}
+        return soft.withColumn("rate", F.lit(1.0)), {"domains": [], "targets": [], "totals": [], "rounds": 0, "met": True}
     kinds = range(len(names))
     base = soft.agg(*[_total(k, F.col("tokens")).alias(f"t{k}") for k in kinds]).first()
     have = [max(float(base[k]), 1e-9) for k in kinds]
@@ -131,14 +133,17 @@ def solve(soft: DataFrame, targets: dict[str, float], tokens: float | None = Non
     goal = [w * tokens for w in weight]
     misses: list[list[float]] = []
     totals = [float(base[k]) for k in kinds]
+    met = lambda: all(abs(g - t) <= CLOSE * max(g or tokens, 1.0) for g, t in zip(goal, totals))
     for _ in range(rounds):
-        if max(abs(g - t) for g, t in zip(goal, totals)) <= CLOSE * max(tokens, 1.0):
+        if met():
             break
         misses.append([(goal[k] - totals[k]) / have[k] for k in kinds])
         used = soft.select("p", (F.col("tokens") * _rate(misses)).alias("used"))
         got = used.agg(*[_total(k, F.col("used")).alias(f"t{k}") for k in kinds]).first()
         totals = [float(got[k]) for k in kinds]
-    return soft.withColumn("rate", _rate(misses)), {"domains": names, "targets": goal, "totals": totals, "rounds": len(misses)}
+    if not met():
+        warnings.warn(f"targets {dict(zip(names, goal))} not met: {dict(zip(names, totals))} after {len(misses)} rounds", stacklevel=2)
+    return soft.withColumn("rate", _rate(misses)), {"domains": names, "targets": goal, "totals": totals, "rounds": len(misses), "met": met()}
 
 
 def _rate(misses: list[list[float]]) -> Column:

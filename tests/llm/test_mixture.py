@@ -2,6 +2,7 @@
 
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
 from spendweave.llm import mixing
@@ -47,3 +48,13 @@ def test_stage_meets_its_targets_by_repeating(llm, documents):
     total = sum(r.n for r in named)
     assert all(abs(r.n / total - targets[r.domain]) < 0.03 for r in named)
     assert out.columns == documents(rows).columns and out.groupBy("doc_id").count().agg(F.max("count")).first()[0] >= 3
+
+
+def test_each_target_is_met_within_its_own_share(llm):
+    rows = [(1000, ["a", "b"], [0.99, 0.01])] * 50 + [(1000, ["a", "b"], [0.4, 0.6])] * 3
+    soft = llm.createDataFrame(rows, "tokens long, domains array<string>, p array<double>")
+    _, told = mixing.solve(soft, {"a": 0.98, "b": 0.02})
+    assert told["met"] and all(abs(g - t) <= mixing.CLOSE * g for g, t in zip(told["targets"], told["totals"]))
+    with pytest.warns(UserWarning, match="not met"):
+        _, told = mixing.solve(soft, {"a": 0.5, "b": 0.5}, rounds=1)
+    assert not told["met"]
