@@ -4,13 +4,15 @@ from __future__ import annotations
 
 import os
 import sys
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spendweave.llm import bitslice, chat, langid, lines, lm, mixing, packing, quality, simhash, spans
+from spendweave.llm import bitslice, chat, langid, lines, lm, mixing, packing, quality, simhash, spans, warc
 from spendweave.llm.common import table
+from spendweave.session import shared_dir
 
 TOKENIZER = os.environ.get("TOKENIZER_PATH", "/opt/tokenizers/word_bpe_49k.json")
 #: Weights of the mixture: good text mostly, poor text about as much as there is, little that is toxic.
@@ -231,6 +233,23 @@ def op10_packing(spark: SparkSession, folder: str) -> DataFrame:
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset", "tier", "step_group")
 
 
+def op11_warc(spark: SparkSession, folder: str) -> DataFrame:
+    """Archives are written to the shared folder and read back; every row comes from the records read."""
+    archives = f"{shared_dir(spark)}/warc-{uuid.uuid4().hex}"
+    warc.write_archives(table(spark, folder, "pages"), archives)
+    return warc.resolved(warc.read_archives(spark, archives)).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+OP11_SQL = """
+WITH p AS (
+  SELECT page_id, coalesce(html, '') AS h, count(*) OVER w AS n, max(page_id) OVER w AS top FROM pages WINDOW w AS (PARTITION BY coalesce(html, ''))),
+r AS (SELECT *, strlen(h) >= 1000 AND n > 1 AND top IS NOT NULL AND coalesce(page_id < top, true) AS later FROM p)
+SELECT page_id, CAST(strlen(h) AS BIGINT) AS payload_bytes, sha1(h) AS payload_digest,
+       CASE WHEN later THEN 'revisit' ELSE 'response' END AS record_type, CASE WHEN later THEN top END AS refers_to
+FROM r
+"""
+
+
 def pipeline(spark: SparkSession, folder: str) -> DataFrame:
     sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__)))))
     import corpus_pipeline
@@ -239,6 +258,7 @@ def pipeline(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    "op1_chat": op1_chat, "op2_topk": op2_topk, "op3_simhash": op3_simhash, "op4_language": op4_language, "op5_lines": op5_lines, "op6_quality": op6_quality, "op7_spans": op7_spans, "op8_mixing": op8_mixing, "op9_scoring": op9_scoring, "op10_packing": op10_packing, "pipeline": pipeline,
+    "op1_chat": op1_chat, "op2_topk": op2_topk, "op3_simhash": op3_simhash, "op4_language": op4_language, "op5_lines": op5_lines, "op6_quality": op6_quality, "op7_spans": op7_spans, "op8_mixing": op8_mixing, "op9_scoring": op9_scoring, "op10_packing": op10_packing,
+    "op11_warc": op11_warc, "pipeline": pipeline,
 }
-CHECKS: dict[str, str] = {"op1_chat": OP1_SQL, "op2_topk": OP2_SQL, "op5_lines": OP5_SQL, "op6_quality": OP6_SQL, "op7_spans": OP7_SQL}
+CHECKS: dict[str, str] = {"op1_chat": OP1_SQL, "op2_topk": OP2_SQL, "op5_lines": OP5_SQL, "op6_quality": OP6_SQL, "op7_spans": OP7_SQL, "op11_warc": OP11_SQL}
