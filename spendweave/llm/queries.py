@@ -10,7 +10,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spendweave.llm import bitslice, chat, langid, lines, lm, mixing, packing, quality, simhash, spans, warc
+from spendweave.llm import bitslice, chat, langid, lines, lm, mixing, packing, phrases, quality, simhash, spans, warc
 from spendweave.llm.common import table
 from spendweave.session import shared_dir
 
@@ -250,6 +250,36 @@ FROM r
 """
 
 
+def op12_phrases(spark: SparkSession, folder: str) -> DataFrame:
+    return phrases.collocations(table(spark, folder, "documents"))
+
+
+OP12_SQL = r"""
+WITH p AS (
+  SELECT row_number() OVER () AS pid, lang, list_filter(regexp_split_to_array(piece, '[\x20\x09]+'), lambda x: x <> '') AS w
+  FROM (SELECT coalesce(lang, 'und') AS lang,
+               unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece
+        FROM documents)),
+g AS (SELECT lang, w, k, unnest(range(1, len(w) - k + 2)) AS i FROM p, (SELECT unnest([1, 2, 3, 4]) AS k) WHERE len(w) >= k),
+f AS (SELECT lang, k, array_to_string(w[i:i+k-1], ' ') AS phrase, count(*) AS a FROM g GROUP BY ALL HAVING count(*) >= 30),
+t AS (SELECT lang, sum(len(w))::BIGINT AS n FROM p GROUP BY lang),
+c AS (SELECT lang, k, phrase, string_split(phrase, ' ') AS w, a FROM f WHERE k >= 2),
+u AS (SELECT *, unnest(range(1, k)) AS j FROM c),
+s AS (
+  SELECT u.lang, u.phrase, u.k, u.a, j, x.a AS l, y.a AS r, CAST(2000000::HUGEINT * u.a // (x.a + y.a) AS BIGINT) AS score
+  FROM u JOIN f x ON u.lang = x.lang AND x.phrase = array_to_string(u.w[1:j], ' ') JOIN f y ON u.lang = y.lang AND y.phrase = array_to_string(u.w[j+1:u.k], ' ')),
+b AS (SELECT *, row_number() OVER (PARTITION BY lang, phrase ORDER BY score, j) AS turn FROM s),
+i AS (
+  SELECT lang, array_to_string(w[x:x+m-1], ' ') AS phrase, max(a) AS around
+  FROM (SELECT *, unnest(range(1, k - m + 2)) AS x FROM c, (SELECT unnest([2, 3]) AS m) WHERE k > m) GROUP BY ALL),
+r AS (
+  SELECT b.lang, b.phrase, b.a, l, r, t.n, score, row_number() OVER (PARTITION BY b.lang ORDER BY score DESC, b.a DESC, b.phrase) AS rank
+  FROM b JOIN t ON b.lang = t.lang LEFT JOIN i ON b.lang = i.lang AND b.phrase = i.phrase
+  WHERE turn = 1 AND NOT coalesce(100::HUGEINT * i.around >= 80::HUGEINT * b.a, false))
+SELECT lang, CAST(rank AS INTEGER) AS rank, phrase, a, l, r, n, score FROM r WHERE rank <= 2000
+"""
+
+
 def pipeline(spark: SparkSession, folder: str) -> DataFrame:
     sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__)))))
     import corpus_pipeline
@@ -259,6 +289,6 @@ def pipeline(spark: SparkSession, folder: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_chat": op1_chat, "op2_topk": op2_topk, "op3_simhash": op3_simhash, "op4_language": op4_language, "op5_lines": op5_lines, "op6_quality": op6_quality, "op7_spans": op7_spans, "op8_mixing": op8_mixing, "op9_scoring": op9_scoring, "op10_packing": op10_packing,
-    "op11_warc": op11_warc, "pipeline": pipeline,
+    "op11_warc": op11_warc, "op12_phrases": op12_phrases, "pipeline": pipeline,
 }
-CHECKS: dict[str, str] = {"op1_chat": OP1_SQL, "op2_topk": OP2_SQL, "op5_lines": OP5_SQL, "op6_quality": OP6_SQL, "op7_spans": OP7_SQL, "op11_warc": OP11_SQL}
+CHECKS: dict[str, str] = {"op1_chat": OP1_SQL, "op2_topk": OP2_SQL, "op5_lines": OP5_SQL, "op6_quality": OP6_SQL, "op7_spans": OP7_SQL, "op11_warc": OP11_SQL, "op12_phrases": OP12_SQL}
