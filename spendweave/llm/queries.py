@@ -10,11 +10,19 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spendweave.llm import bitslice, chat, langid, lines, lm, mixing, packing, phrases, quality, simhash, spans, warc
+from spendweave.llm import alignment, bitslice, chat, langid, lines, lm, mixing, packing, phrases, quality, simhash, spans, warc
 from spendweave.llm.common import table
 from spendweave.session import shared_dir
 
-TOKENIZER = os.environ.get("TOKENIZER_PATH", "/opt/tokenizers/word_bpe_49k.json")
+
+def vocabulary(name: str) -> str:
+    """The place of a public tokenizer's file."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+TOKENIZER = os.environ.get("TOKENIZER_PATH") or vocabulary("word_bpe_49k.json")
 #: Weights of the mixture: good text mostly, poor text about as much as there is, little that is toxic.
 WEIGHTS = {"good": 0.84, "poor": 0.14, "toxic": 0.02}
 
@@ -280,6 +288,10 @@ SELECT lang, CAST(rank AS INTEGER) AS rank, phrase, a, l, r, n, score FROM r WHE
 """
 
 
+def op13_alignment(spark: SparkSession, folder: str) -> DataFrame:
+    return alignment.align(table(spark, folder, "documents"), vocabulary("byte_bpe_50k.json"), vocabulary("piece_bpe_32k.model"))
+
+
 def pipeline(spark: SparkSession, folder: str) -> DataFrame:
     sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__)))))
     import corpus_pipeline
@@ -289,6 +301,6 @@ def pipeline(spark: SparkSession, folder: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_chat": op1_chat, "op2_topk": op2_topk, "op3_simhash": op3_simhash, "op4_language": op4_language, "op5_lines": op5_lines, "op6_quality": op6_quality, "op7_spans": op7_spans, "op8_mixing": op8_mixing, "op9_scoring": op9_scoring, "op10_packing": op10_packing,
-    "op11_warc": op11_warc, "op12_phrases": op12_phrases, "pipeline": pipeline,
+    "op11_warc": op11_warc, "op12_phrases": op12_phrases, "op13_alignment": op13_alignment, "pipeline": pipeline,
 }
 CHECKS: dict[str, str] = {"op1_chat": OP1_SQL, "op2_topk": OP2_SQL, "op5_lines": OP5_SQL, "op6_quality": OP6_SQL, "op7_spans": OP7_SQL, "op11_warc": OP11_SQL, "op12_phrases": OP12_SQL}
