@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import json
 import os
 from collections.abc import Iterator
 
@@ -41,9 +42,25 @@ class Encoders:
         self.a_bytes = pa.array([bytes(letters[c] for c in t) if all(c in letters for c in t) else t.encode() for t in spelled], pa.large_binary())
         self.b_bytes = pa.array([self._piece(k) for k in range(self.b.get_piece_size())], pa.large_binary())
         ids = range(max(size, self.b.get_piece_size()))
+        self.quick = self._merger(json.loads(self.a.to_str()), letters)
         self.told = pa.array([f"{k}{sign}".encode() for sign in ",|;" for k in ids], pa.large_binary())
         self.n_told = len(ids)
 
+    @staticmethod
+    def _merger(held: dict, letters: dict[str, int]):
+        """The quicker of the installed BPE libraries for a byte-level file whose ids are its merges' ranks; else none."""
+        import tiktoken
+        from public_tokenizers import PATTERN
+
+        model, parted = held["model"], held["pre_tokenizer"] or {}
+        merges = [m.split(" ") if isinstance(m, str) else m for m in model.get("merges", [])]
+        plain = not any(model.get(k) for k in ("dropout", "unk_token", "continuing_subword_prefix", "end_of_word_suffix", "fuse_unk", "byte_fallback", "ignore_merges"))
+        plain = plain and held["normalizer"] is None and parted.get("type") == "ByteLevel" and not parted["add_prefix_space"] and parted["use_regex"]
+        if not plain or any(model["vocab"].get(a + b) != 256 + k for k, (a, b) in enumerate(merges)) or sorted(model["vocab"][c] for c in letters) != list(range(256)):
+            return None
+        ranks = {bytes(letters[c] for c in token): k for token, k in model["vocab"].items() if k < 256 + len(merges)}
+        return tiktoken.Encoding("bytes", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
+
     def _piece(self, k: int) -> bytes:
         piece = self.b.id_to_piece(k)
         return bytes([int(piece[3:5], 16)]) if self.b.is_byte(k) else piece.replace("▁", " ").encode()
@@ -63,7 +80,11 @@ class Encoders:
             held.append(text)
             size += len(text)
             if size >= CALL_BYTES or k == len(texts) - 1:
-                ours += [np.array(e.ids, np.int64) for e in self.a.encode_batch_fast([" " + t for t in held], add_special_tokens=False)]
+                spaced = [" " + t for t in held]
+                if self.quick is not None:
+                    ours += [np.array(self.quick.encode_ordinary(t), np.int64) for t in spaced]
+                else:
+                    ours += [np.array(e.ids, np.int64) for e in self.a.encode_batch_fast(spaced, add_special_tokens=False)]
                 theirs += [np.array(ids, np.int64) for ids in self.b.encode(held, num_threads=1)]
                 held, size = [], 0
         return ours, theirs
