@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import os
 import unicodedata
 from collections import defaultdict, deque
@@ -10,24 +11,28 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-import regex
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from spendweave.llm.common import lean
+from spendweave.llm.common import by_bytes, lean
 
 #: Context sizes, each a power of two, and the tokens of one step's group of sequences.
 TIERS = (256, 512, 1024, 2048)
 STEP_TOKENS = 16_384
-#: Entries a worker's memory of encoded words may hold before it is emptied; it only saves time.
-CACHE_WORDS = 300_000
-
-#: Fixed values of the tokenizer file: the pieces its pre-tokenizer cuts out.
-PIECES = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
-#: Texts with these are left to the tokenizer itself: special tokens' strings, separators that Python alone takes for space,
-#: and a letter whose lower case depends on its place.
-ODD = "<\\||[\\x1c-\\x1fΣ]"
+#: Bytes of text that are encoded and packed at once.
+SLICE_BYTES = 2 << 20
+
+#: Fixed values of the tokenizer file: what it does before its merges. Other files are left to the tokenizer library.
+NORMALIZER = {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]}
+PIECES = "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"
+WORD_END = "</w>"
+#: The same pieces for Arrow, whose \\s is ASCII only: white space spelled out.
+SPACES = "\\s\\x0b\\x{85}\\x{a0}\\x{1680}\\x{2000}-\\x{200a}\\x{2028}\\x{2029}\\x{202f}\\x{205f}\\x{3000}"
+MARKED = PIECES.replace("[^\\s", f"[^{SPACES}")
+#: Texts with these are left to the tokenizer itself: special tokens' strings, separators that Python alone takes for space, a
+#: letter whose lower case depends on its place, the mark that is put behind pieces, and characters that Arrow doesn't know.
+ODD = "<\\||[\\x00\\x1c-\\x1fΣ]|[^\\pL\\pM\\pN\\pP\\pS\\pZ\\pC]"
 
 _OPEN: dict[str, WordEncoder] = {}
 
@@ -40,16 +45,40 @@ def _byte_letters() -> dict[int, str]:
 
 
 class WordEncoder:
-    """Ids of a tokenizer whose pieces never cross white space, with each distinct word encoded once per worker."""
+    """Ids of a tokenizer file. One whose steps are known is run by the quicker of the installed BPE libraries.
+
+    That library merges bytes and knows no word ends. So a mark is put behind each piece, a byte and a mark are merged before
+    anything else, and the file's merges follow in their order; its ranks are then turned into the file's ids.
+    """
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.whole = Tokenizer.from_file(path)
-        self.letters = _byte_letters()
-        self.pieces: dict[str, bytes] = {}
-        self.words: dict[str, bytes] = {}
+        self.merger = self._merger(json.loads(self.whole.to_str()))
+
+    def _merger(self, held: dict) -> tuple | None:
+        import tiktoken
+
+        model, parted = held["model"], held["pre_tokenizer"] or {}
+        steps = parted.get("pretokenizers", [{}])
+        plain = not any(model.get(k) for k in ("dropout", "unk_token", "continuing_subword_prefix", "fuse_unk", "byte_fallback", "ignore_merges"))
+        known = held["normalizer"] == NORMALIZER and model["type"] == "BPE" and model.get("end_of_word_suffix") == WORD_END and plain
+        known = known and [s.get("type") for s in steps] == ["Split", "ByteLevel"] and steps[0]["pattern"] == {"Regex": PIECES} and steps[0]["invert"] and not steps[1]["add_prefix_space"] and not steps[1]["use_regex"]
+        if not known:
+            return None
+        letters = _byte_letters()
+        back = {c: b for b, c in letters.items()}
+        spell = lambda t: bytes(back[c] for c in t.removesuffix(WORD_END)) + (b"\0" if t.endswith(WORD_END) else b"")
+        spelled = [(bytes([b]), letters[b]) for b in range(256)] + [(bytes([b, 0]), letters[b] + WORD_END) for b in range(256)]
+        merges = [m.split(" ") if isinstance(m, str) else m for m in model["merges"]]
+        spelled += [(spell(a) + spell(b), a + b) for a, b in merges]
+        ranks = {data: k for k, (data, _) in enumerate(spelled)}
+        if len(ranks) != len(spelled):
+            return None
+        self.closing = np.array([t.endswith(WORD_END) for _, t in spelled])
+        return tiktoken.Encoding("words", pat_str="[^\\x00\\s]+\\x00", mergeable_ranks=ranks, special_tokens={}), np.array([model["vocab"][t] for _, t in spelled], np.uint32)
 
     @classmethod
     def of(cls, path: str) -> WordEncoder:
@@ -60,48 +89,30 @@ class WordEncoder:
     def exact(self, text: str) -> np.ndarray:
         return np.array(self.whole.encode(text, add_special_tokens=False).ids, np.uint32)
 
-    def _piece(self, piece: str) -> bytes:
-        held = self.pieces.get(piece)
-        if held is None:
-            if len(self.pieces) >= CACHE_WORDS:
-                self.pieces.clear()
-            spelled = piece if piece.isascii() else "".join(map(self.letters.__getitem__, piece.encode()))
-            held = self.pieces[piece] = np.array([t.id for t in self.whole.model.tokenize(spelled)], np.uint32).tobytes()
-        return held
-
-    def word(self, word: str) -> bytes:
-        held = self.words.get(word)
-        if held is None:
-            if len(self.words) >= CACHE_WORDS:
-                self.words.clear()
-            text = word.lower() if word.isascii() else unicodedata.normalize("NFC", word).lower()
-            held = self.words[word] = b"".join(map(self._piece, PIECES.findall(text)))
-        return held
-
-    def batch(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-        """Row offsets and the ids of all texts, one after the other. Null counts as empty."""
+    def batch(self, texts: pa.Array) -> list[np.ndarray]:
+        """The ids of each text; a batch's distinct pieces are encoded once. Null counts as empty."""
         texts = pc.fill_null(texts.cast(pa.large_string()), "")
-        odd = pc.match_substring_regex(texts, ODD).to_numpy(zero_copy_only=False)
-        plain = pc.utf8_trim_whitespace(texts)
-        plain = pc.if_else(pa.array(odd | pc.equal(plain, "").to_numpy(zero_copy_only=False)), pa.scalar(None, pa.large_string()), plain)
-        lists = pc.utf8_split_whitespace(plain)
-        counts = pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False)
+        given = texts.to_pylist()
+        if self.merger is None:
+            return [self.exact(t) for t in given]
+        encoding, ids = self.merger
+        odd = pc.match_substring_regex(texts, ODD).to_pylist()
+        normal = pa.array(["" if o else (t if t.isascii() else unicodedata.normalize("NFC", t)).lower() for t, o in zip(given, odd)], pa.large_string())
+        lists = pc.split_pattern(pc.replace_substring_regex(normal, MARKED, "\\0\0"), "\0")
         coded = lists.flatten().dictionary_encode()
         index = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
-        own = [self.word(w) for w in coded.dictionary.to_pylist()]
-        sizes = np.fromiter(map(len, own), np.int64, len(own)) // 4
+        words = pc.utf8_trim_whitespace(coded.dictionary)  # white space before a piece, or at a text's end
+        some = pc.not_equal(words, "").to_numpy(zero_copy_only=False)
+        ranks = np.array(encoding.encode_ordinary("".join(f"{w}\0" for w in words.to_pylist())), np.int64)
+        ends = np.flatnonzero(self.closing[ranks]) + 1
+        sizes = np.zeros(len(words), np.int64)
+        sizes[some] = np.diff(ends, prepend=0)
         starts = np.cumsum(sizes) - sizes
-        every = np.frombuffer(b"".join(own), np.uint32)
         long = sizes[index]
-        ends = np.cumsum(long)
-        ids = every[np.repeat(starts[index] - (ends - long), long) + np.arange(ends[-1] if len(ends) else 0)]
-        offsets = np.concatenate([[0], ends])[np.concatenate([[0], np.cumsum(counts, dtype=np.int64)])]
-        if odd.any():
-            rows = [ids[a:b] for a, b in zip(offsets, offsets[1:])]
-            for k in np.flatnonzero(odd):
-                rows[k] = self.exact(texts[int(k)].as_py())
-            ids, offsets = np.concatenate(rows), np.concatenate([[0], np.cumsum([len(r) for r in rows], dtype=np.int64)])
-        return offsets, ids
+        upto = np.cumsum(long)
+        every = ids[ranks][np.repeat(starts[index] - (upto - long), long) + np.arange(upto[-1] if len(upto) else 0)]
+        offsets = np.concatenate([[0], upto])[lists.offsets.to_numpy()]
+        return [self.exact(t) if o else every[x:y] for t, o, x, y in zip(given, odd, offsets, offsets[1:])]
 
 
 class Packer:
@@ -215,16 +226,13 @@ def pack(docs: DataFrame, tokenizer: str, end_id: int = 1, id_col: str = "doc_id
             packer.made = []
             return pa.RecordBatch.from_arrays([pa.array(out[n], pa.binary() if n == "ids" else pa.int64()) for n in names], names=names)
 
-        for batch in batches:
-            for k in range(0, max(batch.num_rows, 1), 256):
-                part = batch.slice(k, 256)
-                offsets, ids = encoder.batch(part.column(1))
-                for doc, a, b in zip(part.column(0).to_pylist(), offsets, offsets[1:]):
-                    own = np.append(ids[a:b], np.uint32(end_id)).astype("<u4")
-                    waiting[row] = [doc, own, len(own)]
-                    packer.add(row, len(own))
-                    row += 1
-                yield flush()
+        for part in by_bytes(batches, SLICE_BYTES):
+            for doc, ids in zip(part.column(0).to_pylist(), encoder.batch(part.column(1))):
+                own = np.append(ids, np.uint32(end_id)).astype("<u4")
+                waiting[row] = [doc, own, len(own)]
+                packer.add(row, len(own))
+                row += 1
+            yield flush()
         packer.finish()
         yield flush()
 
