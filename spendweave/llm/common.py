@@ -15,7 +15,7 @@ from pathlib import Path
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from spendweave.session import cut, prepare
@@ -58,6 +58,17 @@ def store(df: DataFrame) -> DataFrame:
     return cut(df)[0]
 
 
+def row_keys(id_col: str, text_col: str) -> tuple[Column, Column]:
+    """128 bits that tell rows of different ids or texts apart, null ids included; rows that repeat both have the same."""
+    text = F.col(text_col).cast("string")
+    return F.xxhash64(F.col(id_col).cast("long"), text).alias("row"), F.xxhash64(F.lit("row"), text).alias("text_key")
+
+
+def filter_bits(n: int, least: int) -> int:
+    """Bits of a filter's slots for ``n`` keys, as a power of two: eight slots a key, at most 64 MB in all."""
+    return min(29, max(least, int(8 * n).bit_length()))
+
+
 def fresh(name: str) -> str:
     """A column name that no table has."""
     return f"_{name}_{uuid.uuid4().hex[:10]}"

@@ -13,7 +13,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from spendweave.llm.common import fresh, lean, store
+from spendweave.llm.common import filter_bits, fresh, lean, row_keys, store
+from spendweave.session import cut
 
 #: A span is the shortest run of so many sentences or more that has so many words or more.
 SENTENCES, WORDS = 2, 8
@@ -21,6 +22,7 @@ SENTENCES, WORDS = 2, 8
 PIECE = re.compile(r"[^.!?\n]*[.!?]+|[^.!?\n]+|\n")
 #: Signs that don't make a piece a sentence.
 BLANK = b" \t\n\x0b\x0c\r.!?"
+#: Least bits of the filter of repeated spans: 8 MB; it grows with them.
 FILTER_BITS = 26
 
 
@@ -66,50 +68,51 @@ def _spans(docs: DataFrame) -> DataFrame:
     return docs.select("text").mapInArrow(lean(scan), "head long")
 
 
-def _occurrences(docs: DataFrame, passing: Broadcast) -> DataFrame:
-    """Spans whose hash is in the filter: ``key, doc_id, first, last``, the numbers of their first and last pieces."""
+def _occurrences(docs: DataFrame, passing: Broadcast, filtered: int) -> DataFrame:
+    """Spans whose hash is in the filter: ``key, doc_id, row, text_key, first, last``, the numbers of their first and last pieces."""
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = passing.value
         for batch in batches:
-            out: list[list] = [[], [], [], []]
-            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            out: list[list] = [[] for _ in range(6)]
+            for doc, text, row, text_key in zip(*(c.to_pylist() for c in batch.columns)):
                 if text:
                     _, numbers, keys, sizes = sentences(text)
                     for a, b in runs(sizes):
                         key = xxhash.xxh3_128_digest(b"\n".join(keys[a : b + 1]))
-                        slot = int.from_bytes(key[:4], "big") >> (32 - FILTER_BITS)
+                        slot = int.from_bytes(key[:4], "big") >> (32 - filtered)
                         if bits[slot >> 3] >> (slot & 7) & 1:
-                            for column, value in zip(out, (key, doc, numbers[a], numbers[b])):
+                            for column, value in zip(out, (key, doc, row, text_key, numbers[a], numbers[b])):
                                 column.append(value)
-            kinds = (pa.binary(), pa.int64(), pa.int32(), pa.int32())
-            yield pa.RecordBatch.from_arrays([pa.array(x, kind) for x, kind in zip(out, kinds)], names=["key", "doc_id", "first", "last"])
+            kinds = (pa.binary(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32())
+            yield pa.RecordBatch.from_arrays([pa.array(x, kind) for x, kind in zip(out, kinds)], names=["key", "doc_id", "row", "text_key", "first", "last"])
 
-    return docs.mapInArrow(lean(scan), "key binary, doc_id long, first int, last int")
+    return docs.mapInArrow(lean(scan), "key binary, doc_id long, row long, text_key long, first int, last int")
 
 
-def _filter(heads: DataFrame) -> np.ndarray:
-    """A bitmap of the leading bits of repeated hashes: 8 MB whatever their number."""
-    slot = F.shiftrightunsigned("head", 64 - FILTER_BITS) + 1
+def _filter(heads: DataFrame, filtered: int = FILTER_BITS) -> np.ndarray:
+    """A bitmap of the leading ``filtered`` bits of repeated hashes."""
+    slot = F.shiftrightunsigned("head", 64 - filtered) + 1
     pieces = heads.select(slot.alias("slot")).groupBy(F.bitmap_bucket_number("slot").alias("piece")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("slot")).alias("bits"))
-    whole = np.zeros(2 ** (FILTER_BITS - 3), np.uint8)
-    for row in pieces.toLocalIterator():  # 2**FILTER_BITS / 32768 pieces of 4 KB at most
+    whole = np.zeros(2 ** (filtered - 3), np.uint8)
+    for row in pieces.toLocalIterator():  # 2**filtered / 32768 pieces of 4 KB at most
         whole[(row[0] - 1) * 4096 : row[0] * 4096] = np.frombuffer(row[1], np.uint8)
     return whole
 
 
 def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Every span but the first occurrence (smallest doc_id, then place) of those that repeat: ``doc_id, first, last``.
+    """Every span but the first occurrence (smallest doc_id, row, then place) of those that repeat: ``row, text_key, first, last``.
 
     Half hashes of all spans are counted first, combined before the shuffle; only spans of a repeated one go on, with 128 bits.
-    Two rows with one doc_id are one document.
+    ``row`` and ``text_key`` are :func:`row_keys`: rows of one id, or of none, with different texts are different documents.
     """
-    narrow = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    twice = store(_spans(narrow).groupBy("head").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("head"))
-    found = store(_occurrences(narrow, docs.sparkSession.sparkContext.broadcast(_filter(twice))))
-    place = F.struct("doc_id", F.col("first").alias("at"))
+    narrow = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), *row_keys(id_col, text_col))
+    twice, seen = cut(_spans(narrow).groupBy("head").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("head"), n=F.count(F.lit(1)))
+    filtered = filter_bits(seen["n"], FILTER_BITS)
+    found = store(_occurrences(narrow, docs.sparkSession.sparkContext.broadcast(_filter(twice, filtered)), filtered))
+    place = F.struct("doc_id", "row", "text_key", F.col("first").alias("at"))
     least = store(found.groupBy("key").agg(F.min(place).alias("low"), F.max(place).alias("high")).where("low < high").select("key", "low"))
-    return found.join(least, "key").where(place > F.col("low")).select("doc_id", "first", "last").distinct()
+    return found.join(least, "key").where(place > F.col("low")).select("row", "text_key", "first", "last").distinct()
 
 
 def dedup_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", removed_col: str = "n_removed") -> DataFrame:
@@ -119,12 +122,14 @@ def dedup_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     that are too short for a span are left alone. Spans that repeat inside a text count as well. What is removed grows with the
     corpus, so it is met by a sorted join at every size.
     """
-    key, firsts, lasts = fresh("id"), fresh("firsts"), fresh("lasts")
-    ranges = repeated_spans(docs, id_col, text_col).groupBy(F.col("doc_id").alias(key)).agg(F.collect_list("first").alias(firsts), F.collect_list("last").alias(lasts))
+    row, text_key, firsts, lasts = fresh("row"), fresh("text"), fresh("firsts"), fresh("lasts")
+    ranges = repeated_spans(docs, id_col, text_col).groupBy(F.col("row").alias(row), F.col("text_key").alias(text_key)).agg(F.collect_list("first").alias(firsts), F.collect_list("last").alias(lasts))
     named = [f"c{k}" for k in range(len(docs.columns))]
     at = docs.columns.index(text_col)
     renamed = docs.toDF(*named)
-    joined = renamed.join(ranges.hint("merge"), renamed[named[docs.columns.index(id_col)]].cast("long").eqNullSafe(ranges[key]), "left").select(*named, firsts, lasts)
+    keys = row_keys(named[docs.columns.index(id_col)], named[at])
+    keyed = renamed.select(*named, *(key.alias(name) for key, name in zip(keys, (row, text_key))))
+    joined = keyed.join(ranges.hint("merge"), [row, text_key], "left").select(*named, firsts, lasts)
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
