@@ -1,4 +1,4 @@
-"""Corporate families over ``(id, parent_id)`` links: roots, depths, clusters, plans and link checks."""
+"""Corporate families over ``(id, parent_id)`` links: clusters, roll-ups, plans and link resolution."""
 
 from __future__ import annotations
 
@@ -8,95 +8,13 @@ from pyspark.sql import functions as F
 from spendweave.functions.text import entity_key, richness, title_case
 from spendweave.functions.values import low_confidence, route_tier
 from spendweave.functions.domains import registrable_domain
+from spendweave.operators.forest import _resolve, descendant_counts, descendants, link_batch, link_guard, resolve_roots
 from spendweave.params import Params
 from spendweave.session import cut, ranked, spread_join
 
 MAX_DEPTH = 33
 
 
-def _climb(links: DataFrame) -> tuple[DataFrame, int]:
-    """Pointer doubling over ``(id, parent)``. Returns rows ``(id, parent, orphan, anc, hops, low, done)``,
-    ``low`` being the smallest id on the way to ``anc``, and how many rows never finish. Each round doubles the distance covered; a finite chain always has a row at
-    every depth, so a round that finishes no row proves that the open rows lead into cycles."""
-    heads = links.select(F.col("id").alias("anc"), F.col("parent").alias("_grand"), F.lit(True).alias("_found"))
-    linked = spread_join(links.where(F.col("parent").isNotNull()).withColumn("anc", F.col("parent")), heads, "anc", spread_by="id", how="left")
-    top = F.lit(None).cast("boolean")
-    tops = links.where(F.col("parent").isNull()).select("id", "parent", F.lit(None).cast("long").alias("_grand"), top.alias("_found"))
-    start = linked.select("id", "parent", "_grand", "_found").unionByName(tops).select(
-        "id",
-        "parent",
-        (F.col("parent").isNotNull() & F.col("_found").isNull()).alias("orphan"),
-        F.when(F.col("_found"), F.col("parent")).otherwise(F.col("id")).alias("anc"),
-        F.when(F.col("_found"), 1).otherwise(0).cast("long").alias("hops"),
-        F.col("id").alias("low"),
-        (F.col("_found").isNull() | F.col("_grand").isNull()).alias("done"),
-    )
-    state, seen = cut(start, pending=F.count_if(~F.col("done")))
-    pending = seen["pending"]
-    while pending:
-        lookup = state.select(F.col("id").alias("anc"), F.col("anc").alias("_anc"), F.col("hops").alias("_hops"), F.col("low").alias("_low"), F.col("done").alias("_done"))
-        moved = spread_join(state.where(~F.col("done")), lookup, "anc", spread_by="id").select(
-            "id", "parent", "orphan", F.col("_anc").alias("anc"), (F.col("hops") + F.col("_hops")).alias("hops"), F.least("low", "_low").alias("low"), F.col("_done").alias("done")
-        )
-        moved, seen = cut(moved, pending=F.count_if(~F.col("done")))
-        state = state.where("done").unionByName(moved)
-        if seen["pending"] == pending:
-            break
-        pending = seen["pending"]
-    return state, pending
-
-
-def _rings(open_rows: DataFrame) -> tuple[DataFrame, int]:
-    """Rows on a cycle, with the cycle's smallest id, going on from where climbing stopped. The images under
-    repeated doubling shrink to the cycle rows exactly when their number stops falling; the smallest id on
-    the way is final once a round changes none."""
-    ring = open_rows.select("id", "anc", "low")
-    images = ring.select("anc").distinct().count()
-    while True:
-        lookup = ring.select(F.col("id").alias("anc"), F.col("anc").alias("_anc"), F.col("low").alias("_low"))
-        ring, seen = cut(
-            ring.join(lookup, "anc").select("id", F.col("_anc").alias("anc"), F.least("low", "_low").alias("low"), (F.col("_low") < F.col("low")).alias("_fell")),
-            fell=F.count_if("_fell"),
-        )
-        ring = ring.drop("_fell")
-        now = ring.select("anc").distinct().count()
-        if now == images and not seen["fell"]:
-            break
-        images = now
-    on_ring = ring.select(F.col("anc").alias("id")).distinct()
-    return ring.join(on_ring, "id", "left_semi").select("id", F.col("low").alias("ring_root")), now
-
-
-def resolve_roots(nodes: DataFrame) -> DataFrame:
-    """``id, root_id, depth, is_orphan, in_cycle`` for every row of ``nodes(id, parent_id)``.
-
-    A missing parent makes a row an orphan and its own root. A cycle, and everything hanging from it, is
-    rooted at the cycle's smallest id; depth there counts the distinct rows on the way up, less one.
-    """
-    return _resolve(cut(nodes.select("id", "parent_id"))[0])
-
-
-def _resolve(nodes: DataFrame) -> DataFrame:
-    state, looping = _climb(nodes.select("id", F.col("parent_id").alias("parent")))
-    flat = state.where("done").select("id", F.col("anc").alias("root_id"), F.col("hops").alias("depth"), F.col("orphan").alias("is_orphan"), F.lit(False).alias("in_cycle"))
-    if not looping:
-        return flat
-    open_rows = state.where(~F.col("done")).select("id", "parent", "anc", "low")
-    rings, members = _rings(open_rows)
-    sizes = rings.groupBy("ring_root").agg((F.count(F.lit(1)) - 1).alias("_around"))
-    rings = rings.join(sizes, "ring_root")
-    looped = rings.select("id", F.col("ring_root").alias("root_id"), F.col("_around").alias("depth"))
-    if members < looping:
-        heads = rings.select("id", F.lit(True).alias("_ring"))
-        cut_links = open_rows.join(heads, "id", "left").select("id", F.when(F.col("_ring").isNull(), F.col("parent")).alias("parent"))
-        tails, _ = _climb(cut_links)
-        entry = rings.select(F.col("id").alias("anc"), "ring_root", "_around")
-        looped = spread_join(tails, entry, "anc", spread_by="id").select(
-            "id", F.col("ring_root").alias("root_id"), (F.col("hops") + F.col("_around")).alias("depth")
-        )
-    return flat.unionByName(looped.select("*", F.lit(False).alias("is_orphan"), F.lit(True).alias("in_cycle")))
-
-
 def name_order(prefix: str = "") -> Column:
     return F.struct(F.lower(prefix + "name").alias("low"), F.col(prefix + "name").alias("name"), F.col(prefix + "id").alias("id"))
 
@@ -245,29 +163,6 @@ def estimated_requests(preview: DataFrame, params: Params) -> DataFrame:
     return kinds.withColumn("requests", F.ceil(F.col("items") / F.lit(params.batch_size)).cast("long"))
 
 
-def descendants(seeds: DataFrame, links: DataFrame) -> DataFrame:
-    """``(seed_id, id, level)`` for every descendant of every seed, a level per round, safe on cycles.
-
-    A round keeps only pairs not seen before; rounds end with the deepest family below a seed.
-    """
-    edges = links.where(F.col("parent_id").isNotNull()).select(F.col("id").alias("child"), F.col("parent_id").alias("at"))
-    frontier = seeds.select(F.col("seed_id"), F.col("seed_id").alias("at")).distinct()
-    found = None
-    seen = frontier.select("seed_id", F.col("at").alias("id"))
-    level = 0
-    while True:
-        level += 1
-        step = edges.join(frontier, "at").select("seed_id", F.col("child").alias("id")).distinct()
-        step, got = cut(step.join(seen, ["seed_id", "id"], "left_anti"), rows=F.count(F.lit(1)))
-        if not got["rows"]:
-            break
-        layer = step.withColumn("level", F.lit(level))
-        found = layer if found is None else found.unionByName(layer)
-        seen = seen.unionByName(step)
-        frontier = step.select("seed_id", F.col("id").alias("at"))
-    return found if found is not None else step.withColumn("level", F.lit(0))
-
-
 def scope_below(seeds: DataFrame, links: DataFrame) -> DataFrame:
     """Distinct ids of the seeds and everything below them, by doubling a "has a seed above" flag.
 
@@ -293,51 +188,6 @@ def scope_below(seeds: DataFrame, links: DataFrame) -> DataFrame:
             return state.where("inside").select("id")
 
 
-def link_guard(proposals: DataFrame, rows: DataFrame) -> DataFrame:
-    """Verdict per proposed link ``(supplier_id, parent_id)``: self, already, missing, cycle or ok.
-
-    A link closes a cycle when the supplier stands above the proposed parent. Different families cannot;
-    a supplier that is its family's root always does. Only the rest walk up, one row per proposal.
-    """
-    roots = resolve_roots(rows)
-    have = rows.select(F.col("id").alias("supplier_id"), F.col("parent_id").alias("_now"))
-    mine = roots.select(F.col("id").alias("supplier_id"), F.col("root_id").alias("_my_root"))
-    theirs = roots.select(F.col("id").alias("parent_id"), F.col("root_id").alias("_their_root"), F.col("depth").alias("_left"), F.col("in_cycle").alias("_looped"))
-    checked = proposals.join(have, "supplier_id", "left").join(mine, "supplier_id", "left").join(theirs, "parent_id", "left")
-    verdict = (
-        F.when(F.col("supplier_id") == F.col("parent_id"), "self")
-        .when(F.col("_their_root").isNull() | F.col("_my_root").isNull(), "missing")
-        .when(F.col("_now") == F.col("parent_id"), "already")
-        .when(F.col("_my_root") != F.col("_their_root"), "ok")
-        .when(~F.col("_looped") & (F.col("supplier_id") == F.col("_their_root")), "cycle")
-        .otherwise("walk")
-    )
-    checked, seen = cut(checked.withColumn("verdict", verdict), walking=F.count_if(verdict == "walk"))
-    settled = checked.where(F.col("verdict") != "walk").select("supplier_id", "parent_id", "verdict")
-    if not seen["walking"]:
-        return settled
-    ups = rows.where(F.col("parent_id").isNotNull()).select(F.col("id").alias("at"), F.col("parent_id").alias("up"))
-    walk = checked.where(F.col("verdict") == "walk").select("supplier_id", "parent_id", F.col("parent_id").alias("at"), "_left")
-    asked, hits = walk.select("supplier_id", "parent_id"), None
-    while True:
-        walk, seen = cut(
-            walk.where(F.col("_left") > 0).join(ups, "at").select("supplier_id", "parent_id", F.col("up").alias("at"), (F.col("_left") - 1).alias("_left")),
-            rows=F.count(F.lit(1)),
-        )
-        if not seen["rows"]:
-            break
-        hit = walk.where(F.col("at") == F.col("supplier_id")).select("supplier_id", "parent_id")
-        hits = hit if hits is None else hits.unionByName(hit)
-        walk = walk.where(F.col("at") != F.col("supplier_id"))
-    if hits is None:
-        return settled.unionByName(asked.withColumn("verdict", F.lit("ok")))
-    found = hits.distinct().withColumn("_hit", F.lit(True))
-    walked = asked.join(found, ["supplier_id", "parent_id"], "left").select(
-        "supplier_id", "parent_id", F.when(F.col("_hit"), "cycle").otherwise("ok").alias("verdict")
-    )
-    return settled.unionByName(walked)
-
-
 def resolve_parent(rows: DataFrame, registry: DataFrame | None = None) -> DataFrame:
     """Registered supplier behind each declared parent name, by entity key (smallest id when several)."""
     registered = (rows if registry is None else registry).groupBy(entity_key(F.col("name")).alias("parent_key")).agg(F.min("id").alias("resolved_parent_id"))
