@@ -9,7 +9,7 @@ from spendweave.catalog import checksql as q
 from spendweave.catalog.registry import query
 from spendweave.catalog.views import Tables, with_views
 from spendweave.operators import families as fam
-from spendweave.operators import filters
+from spendweave.operators import current, filters
 from spendweave.params import Params
 from spendweave.sources.reports import family_edges, hierarchy_export as export
 
@@ -166,6 +166,50 @@ def link_guard(t: Tables) -> DataFrame:
     return fam.link_guard(proposals, t.registry.select("id", "parent_id"))
 
 
+@query(
+    "link_batch",
+    with_views("""SELECT p.id AS supplier_id, p.parent_id, CASE WHEN v.verdict <> 'put in' THEN v.verdict WHEN p.id IN (SELECT last FROM refused) THEN 'cycle' ELSE 'ok' END AS verdict
+FROM proposals p JOIN judged v ON v.id = p.id""",
+    "proposals AS (SELECT id, CASE id % 10 WHEN 7 THEN id + 1 WHEN 8 THEN id - 1 WHEN 1 THEN id + 2 WHEN 6 THEN id WHEN 5 THEN id + 5000000 WHEN 4 THEN id - 1 ELSE id + 10 END AS parent_id FROM v_suppliers)",
+    """judged AS (SELECT p.id, p.parent_id, CASE WHEN p.parent_id = p.id THEN 'self' WHEN t.id IS NULL THEN 'missing' WHEN s.parent_id = p.parent_id THEN 'already' ELSE 'put in' END AS verdict
+FROM proposals p JOIN v_suppliers s ON s.id = p.id LEFT JOIN v_suppliers t ON t.id = p.parent_id),
+linked AS (SELECT s.id, coalesce(CASE WHEN j.verdict = 'put in' THEN j.parent_id END, s.parent_id) AS up FROM v_suppliers s JOIN judged j ON j.id = s.id),
+around AS (SELECT id, up AS cur, [id] AS path FROM linked
+  UNION ALL SELECT a.id, l.up, list_append(a.path, a.cur) FROM around a JOIN linked l ON l.id = a.cur WHERE NOT list_contains(a.path, a.cur)),
+ring AS (SELECT id, list_min(path) AS low FROM around WHERE cur = id),
+refused AS (SELECT max(r.id) AS last FROM ring r JOIN judged j ON j.id = r.id WHERE j.verdict = 'put in' GROUP BY low)"""),
+)
+def link_batch(t: Tables) -> DataFrame:
+    """Every supplier asks for a parent at once; some pairs ask for each other, and some links close a ring with stored ones."""
+    pick = F.expr("CASE id % 10 WHEN 7 THEN id + 1 WHEN 8 THEN id - 1 WHEN 1 THEN id + 2 WHEN 6 THEN id WHEN 5 THEN id + 5000000 WHEN 4 THEN id - 1 ELSE id + 10 END")
+    proposals = t.suppliers.select(F.col("id").alias("request_id"), F.col("id").alias("supplier_id"), pick.alias("parent_id"))
+    return fam.link_batch(proposals, t.registry.select("id", "parent_id")).drop("request_id")
+
+
+@query(
+    "supplier_detail",
+    with_views("""SELECT s.id, s.parent_id, p.name AS parent, (SELECT count(*) FROM v_suppliers c WHERE c.parent_id = s.id) AS child_count, (SELECT count(DISTINCT u.id) FROM under u WHERE u.seed_id = s.id AND u.id <> s.id) AS descendants,
+(SELECT count(*) FROM v_classifications h WHERE h.supplier_id = s.id) AS classifications, coalesce(n.corrected_code, n.unspsc_code) AS code
+FROM v_suppliers s LEFT JOIN v_suppliers p ON p.id = s.parent_id LEFT JOIN v_current n ON n.supplier_id = s.id""", BELOW.replace("below", "under").replace(" WHERE id % 3 = 1", "")),
+)
+def supplier_detail(t: Tables) -> DataFrame:
+    return current.supplier_detail(t.registry, t.classifications, t.suppliers)
+
+
+@query("parent_options", with_views("SELECT cluster_key, root_id, root_name, subsidiary_count FROM clusters WHERE subsidiary_count > 0", ROOTS, MEMBERS))
+def parent_options(t: Tables) -> DataFrame:
+    return fam.parent_options(fam.clusters(fam.family_members(t.suppliers)))
+
+
+@query(
+    "unlink",
+    with_views("""SELECT s.id, CASE WHEN s.id % 10 NOT IN (3, 5) THEN s.parent_id END AS parent_id,
+CASE WHEN s.id IN (SELECT parent_id FROM v_suppliers WHERE id % 10 IN (3, 5) AND parent_id IS NOT NULL) THEN s.id IN (SELECT parent_id FROM v_suppliers WHERE id % 10 NOT IN (3, 5) AND parent_id IS NOT NULL) ELSE s.is_parent END AS is_parent FROM v_suppliers s"""),
+)
+def unlink(t: Tables) -> DataFrame:
+    return fam.unlink(t.suppliers, t.suppliers.where("id % 10 IN (3, 5)")).select("id", "parent_id", "is_parent")
+
+
 @query(
     "resolve_links",
     with_views(f"""SELECT c.id AS supplier_id, c.status, CASE WHEN c.status = 'linked' THEN coalesce(c.rid, 100000000 + f.n) END AS parent_key_id, c.parent_name, c.rid IS NULL AND c.status = 'linked' AS parent_created

@@ -135,6 +135,18 @@ def usage_stream(t: Tables) -> DataFrame:
     return rows.select("model", F.to_date("window_start").alias("usage_day"), "request_count", "prompt_tokens", "completion_tokens", "failure_count")
 
 
+@query(
+    "rate_stream",
+    """SELECT make_timestamp((epoch_us(ts) // 60000000 - k) * 60000000) AS window_start, event_type AS model, count(*) AS in_window, count(*) >= 3 AS at_limit
+FROM events, (SELECT unnest(range(10)) AS k) GROUP BY 1, 2""",
+)
+def rate_stream(t: Tables) -> DataFrame:
+    calls = _events_stream(t).select(F.col("event_type").alias("model"), F.col("ts").cast("timestamp").alias("ts"))
+    out, keys = _folder(t, "rate"), ["window_start", "model"]
+    counters.run_available(counters.rate_stream(calls, 3, span="600 seconds", slide="60 seconds"), keys, out, f"{out}-state")
+    return counters.latest(t.spark.read.parquet(out), keys)
+
+
 @query("audit_stream", "SELECT date_trunc('hour', ts) AS window_start, event_type AS action, count(*) AS events FROM events GROUP BY 1, 2")
 def audit_stream(t: Tables) -> DataFrame:
     audit = _events_stream(t).select(F.col("event_type").alias("action"), F.col("ts").cast("timestamp").alias("created_at"))

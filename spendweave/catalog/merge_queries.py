@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from spendweave.catalog import checksql as q
 from spendweave.catalog.family_queries import MEMBERS, PLAN, ROOTS, SCORED
-from spendweave.catalog.registry import query
+from spendweave.catalog.registry import CHECKS, query
 from spendweave.catalog.report_queries import LINES
 from spendweave.catalog.views import Tables, with_views
 from spendweave.operators import families as fam
@@ -16,6 +18,8 @@ from spendweave.operators import merge
 from spendweave.operators.audit import audit_rows
 from spendweave.params import Params
 from spendweave.plans.resolve import resolve_entities
+from spendweave.session import shared_dir
+from spendweave.sources import history as stored
 
 P = Params()
 AS_OF = "TIMESTAMP '2001-11-15 00:00:00'"
@@ -142,6 +146,15 @@ def write_classifications(t: Tables) -> DataFrame:
     return h.write_classifications(t.classifications, t.sql(NEW_ROWS), P, order).select("id", "supplier_id", "unspsc_code", "confidence", "superseded")
 
 
+@query("append_classifications", CHECKS["write_classifications"])
+def append_classifications(t: Tables) -> DataFrame:
+    """The same batch against a stored history, by touched partitions."""
+    order, path = ["l_orderkey", "l_linenumber", "l_partkey", "supplier_id", "l_extendedprice", "l_discount", "l_quantity"], f"{shared_dir(t.spark)}/history-{uuid.uuid4().hex}"
+    stored.create(t.classifications, path)
+    stored.append(t.spark, path, t.sql(NEW_ROWS), P, "second", order)
+    return stored.read(t.spark, path).select("id", "supplier_id", "unspsc_code", "confidence", "superseded")
+
+
 @query(
     "propagate_codes",
     with_views("""SELECT p.supplier_id, coalesce(r.corrected_code, r.unspsc_code) AS unspsc_code, CAST(floor(greatest(0, least(1, r.confidence * 0.9)) * 100 + 0.5) / 100 AS DOUBLE) AS confidence, p.inherit_from AS inherited_from_supplier_id,
@@ -184,6 +197,35 @@ def apply_corrections(t: Tables) -> DataFrame:
     )
 
 
+@query(
+    "corrections_live",
+    with_views("""SELECT supplier_id, request_id, CASE WHEN level = 0 THEN 1.0 ELSE 0.95 END::DOUBLE AS confidence, level > 0 AS inherited_from_parent, CASE WHEN level > 0 THEN owner END AS inherited_from_supplier_id FROM (
+SELECT s.supplier_id, s.request_id, s.level, a.supplier_id AS owner, row_number() OVER (PARTITION BY s.supplier_id ORDER BY s.level, s.request_id DESC) AS n FROM scope s JOIN asked a ON a.request_id = s.request_id) x WHERE n = 1""",
+    f"requests AS ({ASKED})", SCOPE),
+)
+def corrections_live(t: Tables) -> DataFrame:
+    """The row that is live after the batch, for every supplier that it reaches."""
+    live = h.current_classification(_corrected(t)["history"]).where("request_id IS NOT NULL")
+    return live.select("supplier_id", "request_id", "confidence", "inherited_from_parent", "inherited_from_supplier_id")
+
+
+@query(
+    "correction_effects",
+    with_views("""SELECT 'events' AS what, CASE WHEN level = 0 THEN 'corrected' ELSE 'propagated' END AS kind, count(*) AS n, sum(supplier_id)::BIGINT AS ids FROM scope GROUP BY 1, 2
+UNION ALL SELECT 'parents', 'flagged', count(*), sum(id)::BIGINT FROM (SELECT id FROM v_suppliers WHERE is_parent OR id IN (SELECT a.supplier_id FROM asked a JOIN scope s ON s.request_id = a.request_id WHERE s.level > 0)) x
+UNION ALL SELECT 'records', 'numbered', count(*), sum(n)::BIGINT FROM (SELECT row_number() OVER (ORDER BY request_id) AS n FROM asked) x""", f"requests AS ({ASKED})", SCOPE),
+)
+def correction_effects(t: Tables) -> DataFrame:
+    """Events, flagged parents and records of the batch; each record names the row that it wrote."""
+    out = _corrected(t)
+    written = out["history"].where("request_id IS NOT NULL AND NOT inherited_from_parent").select(F.col("id").alias("classification_id"), "corrected_at")
+    tell = lambda df, what, kind, n: df.groupBy(kind.alias("kind")).agg(F.count(F.lit(1)).alias("n"), F.sum(n).alias("ids")).select(F.lit(what).alias("what"), "kind", "n", "ids")
+    return (
+        tell(out["audit"], "events", F.col("action"), "entity_id").unionByName(tell(out["suppliers"].where("is_parent"), "parents", F.lit("flagged"), "id"))
+        .unionByName(tell(out["corrections"].join(written.where("corrected_at IS NOT NULL"), "classification_id"), "records", F.lit("numbered"), "id"))
+    )
+
+
 @query(
     "clear_correction",
     with_views("""SELECT id, supplier_id, CASE WHEN hit THEN NULL ELSE corrected_code END AS corrected_code, CASE WHEN hit THEN FALSE ELSE reviewed END AS reviewed FROM (

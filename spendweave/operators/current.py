@@ -8,6 +8,8 @@ from pyspark.sql import types as T
 
 from spendweave.functions.text import entity_key
 from spendweave.functions.values import is_code
+from spendweave.operators.forest import descendant_counts
+from spendweave.session import cut, spread_join
 
 
 def conform(df: DataFrame, schema: T.StructType) -> DataFrame:
@@ -164,6 +166,34 @@ def supplier_relatives(suppliers: DataFrame, ids: DataFrame, keep: int = 50) ->
     return parents.unionByName(children.select("id", F.lit("child").alias("relation"), "position", "relative_id", "name", "total_amount"))
 
 
+def supplier_detail(suppliers: DataFrame, history: DataFrame, ids: DataFrame) -> DataFrame:
+    """``id, parent_id, parent, child_count, descendants, classifications, code`` for each supplier of ``ids``.
+
+    Descendants are counted for all rows at once, from the numbers of one walk, not by going down from each supplier.
+    """
+    wanted, _ = cut(ids.select("id").distinct())
+    parents = suppliers.select(F.col("id").alias("parent_id"), F.col("name").alias("parent"))
+    own = suppliers.select("id", "parent_id").join(wanted, "id", "left_semi")
+    told = history.join(wanted.withColumnRenamed("id", "supplier_id"), "supplier_id", "left_semi").groupBy(F.col("supplier_id").alias("id")).agg(
+        F.count(F.lit(1)).alias("classifications"), F.max_by(effective_code(), F.when(~F.col("superseded"), F.col("id"))).alias("code")
+    )
+    children = child_counts(suppliers).withColumnRenamed("parent_id", "id")
+    return (
+        spread_join(own, parents, "parent_id", spread_by="id", how="left").join(children, "id", "left").join(descendant_counts(suppliers), "id").join(told, "id", "left")
+        .select("id", "parent_id", "parent", F.coalesce("child_count", F.lit(0)).alias("child_count"), "descendants", F.coalesce("classifications", F.lit(0)).alias("classifications"), "code")
+    )
+
+
+def newest_of(rows: DataFrame, key: str, ids: DataFrame, keep: int, order: tuple[str, ...] = ("created_at", "id")) -> DataFrame:
+    """The newest ``keep`` rows of each id of ``ids(id)`` with their position: a supplier's corrections, or its audit events.
+
+    The limit is applied before the shuffle too, so a supplier of very many rows sends no more than that from each task.
+    """
+    newest = Window.partitionBy(key).orderBy(*[F.col(c).desc_nulls_last() for c in order])
+    asked = rows.join(ids.select(F.col("id").alias(key)).distinct(), key, "left_semi")
+    return asked.withColumn("position", F.row_number().over(newest)).where(F.col("position") <= keep)
+
+
 def last_event(audit: DataFrame, action: str, member: str | None = None, value: str | None = None) -> DataFrame:
     """Latest event of one action with its payload, optionally only those whose details have ``member = value``."""
     rows = audit.where(F.col("action") == action)

@@ -199,7 +199,8 @@ def resolve_links(rows: DataFrame, params: Params) -> dict[str, DataFrame]:
     """Link rows that name a parent to a registered or newly created supplier.
 
     ``links`` has a status per candidate (linked, low_confidence, self, cycle), ``created`` the new parent
-    rows, ``suppliers`` the next version of the registry. All candidates see the registry as it was.
+    rows, ``suppliers`` the next version of the registry. Candidates are judged by the registry as it was, and then together: of
+    links that close a ring with each other, the one of the largest id is refused.
     """
     known = resolve_parent(rows.where(F.col("parent_id").isNull()), registry=rows)
     roots = resolve_roots(rows).select(F.col("id").alias("resolved_parent_id"), F.col("root_id").alias("_root"))
@@ -213,7 +214,11 @@ def resolve_links(rows: DataFrame, params: Params) -> dict[str, DataFrame]:
         .when(F.coalesce(F.col("_root") == F.col("id"), F.lit(False)), "cycle")
         .otherwise("linked"),
     )
-    judged, seen = cut(judged, top=F.max("id"))
+    judged, seen = cut(judged, together=F.count_if((F.col("status") == "linked") & F.col("resolved_parent_id").isNotNull()))
+    if seen["together"]:
+        batch = judged.where("status = 'linked' AND resolved_parent_id IS NOT NULL").select(F.col("id").alias("request_id"), F.col("id").alias("supplier_id"), F.col("resolved_parent_id").alias("parent_id"))
+        refused = link_batch(batch, rows).where("verdict = 'cycle'").select(F.col("supplier_id").alias("id"), F.lit("cycle").alias("_refused"))
+        judged, _ = cut(judged.join(refused, "id", "left").withColumn("status", F.coalesce("_refused", "status")).drop("_refused"))
     wanted = judged.where((F.col("status") == "linked") & F.col("resolved_parent_id").isNull())
     fresh = wanted.groupBy("parent_key").agg(
         F.min_by(F.struct("parent_name", "parent_domain", "industry"), "id").alias("f"), F.count(F.lit(1)).alias("named_by")

@@ -15,22 +15,24 @@ from spendweave.operators import batches as b
 from spendweave.operators import merge, responses
 from spendweave.operators.audit import audit_rows
 from spendweave.params import Params
-from spendweave.session import cut
+from spendweave.session import cut, spread_join
 
 FOUND_PARENT_CONFIDENCE = "0.80"
 
 
 def _look_up(misses: DataFrame, lookup: Callable, partitions: int | None) -> DataFrame:
-    """Call ``lookup(pdf) -> pdf`` with id, name, domain -> id, payload, error, credits. A retried task asks
-    again, so one answer is kept per id."""
-    asked = misses.select("id", "name", "domain")
+    """Call ``lookup(pdf) -> pdf`` with id, name, domain -> id, payload, error, credits: once per cache key, for the supplier
+    with the smallest id; the answer goes to every supplier of that key. A retried task asks again; its output replaces the first."""
+    asked = misses.groupBy("cache_key").agg(F.min_by(F.struct("id", "name", "domain"), "id").alias("first")).select("first.*")
     asked = asked.repartition(partitions, "id") if partitions else asked
 
     def run(frames: Iterator) -> Iterator:
         for frame in frames:
             yield lookup(frame)[["id", "payload", "error", "credits"]]
 
-    return asked.mapInPandas(run, "id bigint, payload string, error string, credits int").dropDuplicates(["id"])
+    answers, _ = cut(asked.mapInPandas(run, "id bigint, payload string, error string, credits int").join(misses.select("id", "cache_key"), "id"))
+    told = answers.select("cache_key", F.col("id").alias("asked_id"), "payload", "error", "credits")
+    return spread_join(misses.select("id", "cache_key"), told, "cache_key", spread_by="id").drop("cache_key")
 
 
 def _heuristic(rows: DataFrame) -> DataFrame:
@@ -55,7 +57,7 @@ def enrich_run(
 ) -> dict[str, DataFrame]:
     """One pass over the target suppliers.
 
-    Unexpired cache rows answer first; the rest go to ``lookup`` (or the offline rules without one); a
+    Unexpired cache rows answer first; the rest go to ``lookup``, once per cache key (or the offline rules without one); a
     failed lookup falls back to the offline rules and records its error. Suppliers left without a parent go
     to ``detect`` in batches. Returns the new registry and cache, an item per target, and counts by status.
     """
@@ -65,7 +67,7 @@ def enrich_run(
     if force:
         hits, misses = hits.limit(0), wanted.withColumn("cache_key", merge.cache_key(provider, F.col("name")))
     if lookup is None:
-        answers = misses.select("id", F.lit(None).cast("string").alias("payload"), F.lit(None).cast("string").alias("error"), F.lit(0).alias("credits"))
+        answers = misses.select("id", F.col("id").alias("asked_id"), F.lit(None).cast("string").alias("payload"), F.lit(None).cast("string").alias("error"), F.lit(0).alias("credits"))
     else:
         answers = _look_up(misses, lookup, partitions)
     answers, _ = cut(answers)
@@ -88,11 +90,11 @@ def enrich_run(
     updated = merge.apply_enrichment(suppliers, results, params)
     changed = updated.where("matched").select("id", "changed_fields")
     moment = as_of(params.as_of)
-    writes = misses.select("id", "cache_key", c("name").alias("supplier_name")).join(good, "id").select(
+    writes = misses.select("id", "cache_key", c("name").alias("supplier_name")).join(good.where("id = asked_id"), "id").select(
         "cache_key", "supplier_name", F.lit(provider).alias("provider"), "payload", c("credits").alias("credits_used"), F.lit(0).alias("hit_count"),
         moment.alias("created_at"), (moment + F.expr(f"INTERVAL {params.cache_ttl_days} DAYS")).alias("expires_at"),
     )
-    new_cache = merge.cache_upsert(merge.count_hits(cache, hits), writes.dropDuplicates(["cache_key"]))
+    new_cache = merge.cache_upsert(merge.count_hits(cache, hits), writes)
     items = results.select("id", "status", "error", "parent_name").join(changed, "id").withColumn("needs_reclassification", F.arrays_overlap("changed_fields", F.array(*[F.lit(f) for f in ("industry", "naics", "sic")])))
     registry = updated.drop("changed_fields", "matched")
     if detect is not None:

@@ -88,16 +88,16 @@ def spread_join(
 ) -> DataFrame:
     """Join ``many`` to ``one`` (unique on ``key``) when a few keys may hold a large share of ``many``.
 
-    Keys are counted with partial aggregation. Those with more than ``HOT_ROWS`` rows and more than a fourth of what a
+    Keys are counted once, with partial aggregation, rows without a key as well. Those with more than ``HOT_ROWS`` rows and more than a fourth of what a
     partition would get if all were equal are salted on the many side (by a hash of ``spread_by``, so a retried task repeats
     its choice) and repeated on the one side, so the result is exact. There can be no more than four times as many hot keys as
     shuffle partitions, so broadcasting them is bounded. Rows without a key meet nothing and are spread as well.
     """
     parts = int(many.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    counts = many.where(F.col(key).isNotNull()).groupBy(key).agg(F.count(F.lit(1)).alias("_n"))
-    total = many.agg(F.count(F.lit(1)).alias("_all"), F.lit(1).alias("_one"))
+    counts = many.groupBy(key).agg(F.count(F.lit(1)).alias("_n"))
+    total = counts.agg(F.sum("_n").alias("_all"), F.lit(1).alias("_one"))
     hot = (
-        counts.where(F.col("_n") > HOT_ROWS).withColumn("_one", F.lit(1)).join(F.broadcast(total), "_one")  # one row
+        counts.where(F.col(key).isNotNull() & (F.col("_n") > HOT_ROWS)).withColumn("_one", F.lit(1)).join(F.broadcast(total), "_one")  # one row
         .where(F.col("_n") * parts * HOT_SHARE > F.col("_all")).select(key, F.lit(True).alias("_hot"))
     )
     left = (

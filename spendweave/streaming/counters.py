@@ -21,7 +21,7 @@ def usage_stream(calls: DataFrame, late: str = "1 hour") -> DataFrame:
     )
 
 
-def rate_stream(calls: DataFrame, per_minute: int, key: str = "model", span: str = "60 seconds", slide: str = "10 seconds", late: str = "5 minutes") -> DataFrame:
+def rate_stream(calls: DataFrame, per_minute: int, key: str = "model", span: str = "60 seconds", slide: str = "1 second", late: str = "5 minutes") -> DataFrame:
     """Requests per key and sliding window, with whether the limit is reached."""
     counted = calls.withWatermark("ts", late).groupBy(F.window("ts", span, slide), key).agg(F.count(F.lit(1)).alias("in_window"))
     return counted.select(F.col("window.start").alias("window_start"), key, "in_window", (F.col("in_window") >= per_minute).alias("at_limit"))
