@@ -175,9 +175,9 @@ def _below(at: Column, upper_at: Column, upper_size: Column) -> Column:
     return (at > upper_at - upper_size) & (at < upper_at)
 
 
-def descendant_counts(links: DataFrame) -> DataFrame:
+def descendant_counts(links: DataFrame, numbers: DataFrame | None = None) -> DataFrame:
     """``id, descendants``: how many other rows stand below each row."""
-    return numbered(links).select("id", (F.when(F.col("on_ring"), F.col("tree_size")).otherwise(F.col("size")) - 1).alias("descendants"))
+    return (numbered(links) if numbers is None else numbers).select("id", (F.when(F.col("on_ring"), F.col("tree_size")).otherwise(F.col("size")) - 1).alias("descendants"))
 
 
 def descendants(seeds: DataFrame, links: DataFrame, numbers: DataFrame | None = None) -> DataFrame:
