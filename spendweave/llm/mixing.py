@@ -85,8 +85,10 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
 def posteriors(docs: DataFrame, model: DataFrame, id_col: str = "doc_id", text_col: str = "text", carry: tuple[str, ...] = ()) -> DataFrame:
     """``doc_id, tokens, domains, p``: words and runs of signs of the whole text, and the probability of each domain given its distinct words.
 
-    The columns ``carry`` follow; they mustn't have these names. A null or empty text has no tokens and the prior. Without labels there are no domains and ``p`` is empty.
+    The columns ``carry`` follow; a name that these columns have is refused. A null or empty text has no tokens and the prior. Without labels there are no domains and ``p`` is empty.
     """
+    if clash := {"doc_id", "text", "pieces", "tokens", "domains", "p"} & {c.lower() for c in carry}:
+        raise ValueError(f"columns {sorted(clash)} can't be carried under these names")
     one, domains, prior, cells, words, scores, spoken = (fresh(n) for n in ("one", "domains", "prior", "cells", "words", "scores", "spoken"))
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"), *carry)
     pieces = texts.withColumn("pieces", _pieces(F.col("text")))
@@ -155,13 +157,14 @@ def _rate(misses: list[list[float]]) -> Column:
 def mix(docs: DataFrame, labels: DataFrame, targets: dict[str, float], id_col: str = "doc_id", text_col: str = "text", domain_col: str = "domain", tokens: float | None = None) -> DataFrame:
     """``doc_id, tokens, domain, p, rate, copies`` of every row of ``docs``; ``domain`` is the likeliest one.
 
-    ``copies`` is the rate rounded up or down by a hash of the id, so its expected value is the rate and a repeated run draws
-    the same. Rows that repeat a doc_id count each. An empty table gives no rows; without labels every rate is one.
+    ``copies`` is the rate rounded up or down by a hash of id and text, so its expected value is the rate and a repeated run draws
+    the same. Rows that repeat a doc_id with other texts, and rows without an id, are drawn apart; rows that repeat both are drawn alike. An empty table gives no rows; without labels every rate is one.
     """
     model = store(fit(docs, labels, id_col, text_col, domain_col))
-    soft = store(posteriors(docs, model, id_col, text_col))
+    key = fresh("key")
+    soft = store(posteriors(docs.withColumn(key, _row(id_col, text_col)), model, id_col, text_col, (key,)))
     rated, _ = solve(soft, targets, tokens)
-    return rated.select("doc_id", "tokens", F.get("domains", (F.array_position("p", F.array_max("p")) - 1).cast("int")).alias("domain"), "domains", "p", "rate", drawn(F.col("rate"), F.col("doc_id")).alias("copies"))
+    return rated.select("doc_id", "tokens", F.get("domains", (F.array_position("p", F.array_max("p")) - 1).cast("int")).alias("domain"), "domains", "p", "rate", drawn(F.col("rate"), F.col(key)).alias("copies"))
 
 
 def thin(docs: DataFrame, labels: DataFrame, targets: dict[str, float], id_col: str = "doc_id", text_col: str = "text", domain_col: str = "domain", plenty: float = 1.0) -> DataFrame:
@@ -175,12 +178,17 @@ def thin(docs: DataFrame, labels: DataFrame, targets: dict[str, float], id_col:
     model = store(fit(docs, labels, id_col, text_col, domain_col))
     soft = store(posteriors(named, model, ids, texts, tuple(named.columns)))
     rated, _ = solve(soft, targets, plenty=plenty)
-    copies = drawn(F.col("rate"), F.col("doc_id"))
+    copies = drawn(F.col("rate"), _row(ids, texts))
     drawn_rows = rated.where(copies >= 1).select(*named.columns, F.explode(F.sequence(F.lit(1), copies)).alias("copy"))
     return drawn_rows.select(named.columns).toDF(*docs.columns)
 
 
-def drawn(rate: Column, doc_id: Column) -> Column:
-    """The rate rounded up or down by a hash of the id; a null id has a hash too."""
-    chance = F.pmod(F.xxhash64(F.lit("mix"), doc_id), F.lit(1 << 40)) / F.lit(float(1 << 40))
+def _row(id_col: str, text_col: str) -> Column:
+    """What a row is drawn by: rows of one id, or of none, with different texts are different documents."""
+    return F.xxhash64(F.col(id_col).cast("long"), F.col(text_col).cast("string"))
+
+
+def drawn(rate: Column, key: Column) -> Column:
+    """The rate rounded up or down by a hash of the row's key."""
+    chance = F.pmod(F.xxhash64(F.lit("mix"), key), F.lit(1 << 40)) / F.lit(float(1 << 40))
     return (F.floor(rate) + (chance < rate - F.floor(rate)).cast("long")).cast("long")

@@ -58,3 +58,20 @@ def test_each_target_is_met_within_its_own_share(llm):
     with pytest.warns(UserWarning, match="not met"):
         _, told = mixing.solve(soft, {"a": 0.5, "b": 0.5}, rounds=1)
     assert not told["met"]
+
+
+def test_rows_without_an_id_are_drawn_apart(llm, documents):
+    """Half of one domain is asked for: rows without an id, or of one id, go one by one, not all or none."""
+    named = [(k, f"fine{k % 7} words{k}") for k in range(400)]
+    rows = [*named, *((None, f"fine{k % 7} nameless{k}") for k in range(400)), *((1000, f"fine{k % 7} shared{k}") for k in range(400))]
+    labels = llm.createDataFrame([(k, "good") for k in range(400)], "doc_id long, domain string")
+    out = mixing.mix(documents(rows), labels, {"good": 1.0}, tokens=1200.0).collect()
+    kept = lambda told: sum(r.copies for r in out if told(r.doc_id))
+    for told in (lambda i: i is None, lambda i: i == 1000, lambda i: i is not None and i < 400):
+        assert 140 < kept(told) < 260
+
+
+def test_a_carried_name_that_clashes_is_refused(llm, documents):
+    model = mixing.fit(documents([(1, "a")]), llm.createDataFrame([(1, "good")], "doc_id long, domain string"))
+    with pytest.raises(ValueError, match="tokens"):
+        mixing.posteriors(documents([(1, "a")]).selectExpr("*", "1 AS tokens_", "2 AS tokens"), model, carry=("tokens",))
