@@ -10,13 +10,12 @@ from pyspark.sql import functions as F
 from spendweave.catalog.registry import query
 from spendweave.catalog.report_queries import LINES, USAGE
 from spendweave.catalog.views import Tables, with_views
+from spendweave.operators.current import conform
 from spendweave.params import Params
-from spendweave.schemas import SUPPLIERS
-from spendweave.session import shared_dir
-from spendweave.sources.delimited import load_taxonomy, map_supplier_columns, read_delimited
-from spendweave.sources.tables import VersionedTable
-from spendweave.streaming import counters
-from spendweave.streaming.ingest import stream_ingest as run_ingest
+from spendweave.schemas import SUPPLIERS, TAXONOMY
+from spendweave.session import cut, shared_dir
+from spendweave.sources.delimited import load_taxonomy, map_supplier_columns, read_delimited, write_taxonomy
+from spendweave.streaming import counters, ingest
 
 P = Params()
 
@@ -107,15 +106,36 @@ def taxonomy_load(t: Tables) -> DataFrame:
     return load_taxonomy(raw, P.taxonomy_version).select("code", "segment_code", "family_code", "class_code", "commodity", "version")
 
 
+LATER = "SELECT code, concat(upper(commodity), ' 2') AS title, CAST(code AS BIGINT) AS row_no FROM v_taxonomy WHERE CAST(code AS BIGINT) % 3 = 0 UNION ALL SELECT concat('99', lpad(CAST(p_partkey AS VARCHAR(6)), 6, '0')), p_name, p_partkey + 10000000 FROM part"
+
+
+@query(
+    "taxonomy_upsert",
+    with_views(f"""SELECT coalesce(l.code, t.code) AS code, CASE WHEN l.code IS NULL THEN t.commodity ELSE l.title END AS commodity, CASE WHEN l.code IS NULL THEN t.family END AS family, CASE WHEN l.code IS NULL THEN 'v1' ELSE 'v2' END AS version, substr(coalesce(l.code, t.code), 1, 2) AS segment_code
+FROM v_taxonomy t FULL JOIN (SELECT code, arg_max(title, row_no) AS title FROM ({LATER}) x GROUP BY code) l ON l.code = t.code"""),
+)
+def taxonomy_upsert(t: Tables) -> DataFrame:
+    """A later release over the stored taxonomy: changed and new codes from it, all others as they were."""
+    path = _folder(t, "taxonomy")
+    columns = ["code", "segment", "segment_code", "family", "family_code", "class", "class_code", "commodity", "description", "version"]
+    write_taxonomy(conform(t.taxonomy, TAXONOMY).withColumn("version", F.lit("v1")).select(columns), path)
+    loaded = load_taxonomy(t.sql(LATER).select(F.col("code").alias("Commodity Code"), F.col("title").alias("Commodity Title"), "row_no"), "v2")
+    write_taxonomy(loaded.select(columns), path)
+    return t.spark.read.schema(loaded.select(columns).schema).parquet(path).select("code", "commodity", "family", "version", "segment_code")
+
+
 @query("stream_ingest", with_views("SELECT entity, amount::DOUBLE AS amount, transaction_count FROM folded", LINES))
 def stream_ingest(t: Tables) -> DataFrame:
-    """Half of the files per batch; totals equal those of one batch over all files."""
-    path, lake = _folder(t, "drop"), _folder(t, "lake")
-    given = t.lines.select("name", F.col("amount").cast("string").alias("amount"), "industry", F.col("domain").alias("website"))
-    given.repartition(8).write.option("header", True).csv(path)
-    registry = VersionedTable(t.spark, f"{lake}/suppliers", SUPPLIERS)
-    run_ingest(t.spark, path, registry, f"{lake}/_stream", P, files_per_batch=4).awaitTermination()
-    return registry.read().select(F.col("normalized_name").alias("entity"), F.col("total_amount").alias("amount"), "transaction_count")
+    """Two streams of files into one registry, the first one's last files late; totals equal those of one batch over all files."""
+    drop, lake = _folder(t, "drop"), _folder(t, "lake")
+    given = t.lines.select("name", F.col("amount").cast("string").alias("amount"), "industry", F.col("domain").alias("website"), F.pmod(F.xxhash64("name", "amount"), F.lit(3)).alias("part"))
+    given, updates = cut(given)[0], None
+    for part, (stream, columns) in enumerate((("first", ["name", "amount", "industry", "website"]), ("second", ["amount", "website", "name", "industry"]), ("first", ["name", "amount", "industry", "website"]))):
+        path = f"{drop}/{stream}"
+        given.where(F.col("part") == part).select(columns).repartition(8).write.mode("append").option("header", True).csv(path)
+        updates = ingest.stream_ingest(t.spark, path, lake, f"{lake}/{stream}", P, files_per_batch=8)
+    found = ingest.registry(conform(t.spark.range(0), SUPPLIERS), updates, P)["suppliers"]
+    return found.select(F.col("normalized_name").alias("entity"), F.col("total_amount").alias("amount"), "transaction_count")
 
 
 def _events_stream(t: Tables) -> DataFrame:

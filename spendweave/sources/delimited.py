@@ -8,6 +8,7 @@ from dataclasses import dataclass
 from functools import reduce
 from urllib.parse import unquote
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -222,8 +223,26 @@ def load_taxonomy(records: DataFrame, version: str) -> DataFrame:
     return mapped.groupBy("code").agg(F.max_by(F.struct(*fields), "row_no").alias("r")).select("code", "r.*")
 
 
-def write_taxonomy(taxonomy: DataFrame, path: str) -> None:
-    taxonomy.repartition("segment_code").write.mode("overwrite").partitionBy("segment_code").parquet(path)
+def upsert_taxonomy(stored: DataFrame, loaded: DataFrame) -> DataFrame:
+    """Stored codes with those of a load put over them, all fields from the load; codes that it lacks stay. Both are unique on ``code``."""
+    fields = [c for c in stored.columns if c != "code"]
+    there = loaded.select("code", F.struct(*[F.col(c).cast(stored.schema[c].dataType).alias(c) for c in fields]).alias("_new"))
+    both = stored.select("code", F.struct(*fields).alias("_old")).join(there, "code", "full")
+    return both.select("code", F.coalesce("_new", "_old").alias("_row")).select("code", "_row.*").select(stored.columns)
+
+
+def write_taxonomy(loaded: DataFrame, path: str) -> None:
+    """Put a load over the taxonomy stored under ``path`` (which it creates): only segments that the load has are read and written again."""
+    spark = loaded.sparkSession
+    segments = [r[0] for r in loaded.select("segment_code").distinct().collect()]  # two digits: a hundred at most
+    try:
+        stored = spark.read.schema(loaded.schema).parquet(path).where(F.col("segment_code").isin(segments))
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise
+        stored = loaded.limit(0)
+    rows, _ = cut(upsert_taxonomy(stored, loaded))
+    rows.repartition("segment_code").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("segment_code").parquet(path)
 
 
 def write_template(spark: SparkSession, path: str) -> None:

@@ -1,146 +1,46 @@
-"""Versioned tables on plain Parquet: a new version is written beside the old one, then a pointer is added."""
+"""Stored tables as plain Parquet folders, one below the other: a version is a folder that its writer names."""
 
 from __future__ import annotations
 
-import hashlib
-import json
-import uuid
-
-from py4j.protocol import Py4JJavaError
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
 from spendweave.schemas import TABLES
 
 
-class ConcurrentWriteError(RuntimeError):
-    """Another writer has published a version since this one read the table."""
-
+class Table:
+    """``<root>/<version>`` folders. The job that writes a version names it (its day, say), and writing it again replaces it.
 
-class VersionedTable:
-    """Data folders with unique names, and small ``_pointer-<n>`` files; the highest readable pointer names the live one.
-
-    A pointer is created, never replaced, so of two writers that start from one version the later one gets
-    :class:`ConcurrentWriteError` and nothing that was published is touched. Readers resolve the pointer once.
-    Writing one named batch again, or a stream's batch up to the last one taken, is a no-op, however long ago
-    it was: each named batch leaves a file, and a stream its highest number in the pointer.
+    Nothing points to a newest version and nothing guards two writers of one name: where that matters, hand the DataFrames to
+    a table format with transactions instead.
     """
 
     def __init__(self, spark: SparkSession, root: str, schema: T.StructType | None = None):
         self.spark, self.root, self.schema = spark, root.rstrip("/"), schema
-        self._files = Files(spark, self.root)
-        self._seen: int | None = None
-
-    def _numbers(self) -> list[int]:
-        return sorted((int(name.rsplit("-", 1)[1]) for name in self._files.names("_pointer-*")), reverse=True)
-
-    def _pointer(self, version: int | None = None) -> dict | None:
-        """The pointer of a version, or the newest one; one that a writer left unfinished counts as absent."""
-        for number in self._numbers() if version is None else [version]:
-            if (found := self._files.read_json(f"_pointer-{number}")) is not None:
-                return found
-        return None
-
-    @property
-    def version(self) -> int:
-        return (self._pointer() or {}).get("version", 0)
-
-    def exists(self) -> bool:
-        return self._pointer() is not None
-
-    def read(self, version: int | None = None) -> DataFrame:
-        pointer = self._pointer(version)
-        if version is None:
-            self._seen = pointer["version"] if pointer else 0
-        if pointer is None:
-            if self.schema is None or version:
-                raise FileNotFoundError(f"{self.root}, version {version}")
-            return self.spark.createDataFrame([], self.schema)
-        reader = self.spark.read.schema(self.schema) if self.schema is not None else self.spark.read
-        return reader.parquet(f"{self.root}/{pointer['data']}")
-
-    def _taken(self, now: dict, batch_id: str | None, stream: tuple[str, int] | None) -> bool:
-        if stream is not None and stream[1] <= now["streams"].get(stream[0], -1):
-            return True
-        if batch_id is None:
-            return False
-        mark = self._files.read_json(_mark(batch_id))
-        published = self._pointer(mark["version"]) if mark else None
-        return bool(published) and published["data"] == mark["data"]
-
-    def write(self, df: DataFrame, batch_id: str | None = None, partition_by: list[str] | None = None, stream: tuple[str, int] | None = None) -> int:
-        """Publish ``df`` as the next version. ``stream`` is a stream's lasting id and its batch number."""
-        now = self._pointer() or {"version": 0, "streams": {}}
-        if self._taken(now, batch_id, stream):
-            return now["version"]
-        if self._seen is not None and now["version"] != self._seen:
-            raise ConcurrentWriteError(f"{self.root}: version {now['version']} is live, {self._seen} was read")
-        number, data = max([0, *self._numbers()]) + 1, f"data-{uuid.uuid4().hex}"
-        writer = df.write.partitionBy(*partition_by) if partition_by else df.write
-        writer.parquet(f"{self.root}/{data}")
-        if batch_id is not None:  # tells of the batch only once this very version is published
-            self._files.write_json(_mark(batch_id), {"version": number, "data": data}, overwrite=True)
-        streams = now["streams"] | ({stream[0]: stream[1]} if stream is not None else {})
-        if not self._files.write_json(f"_pointer-{number}", {"version": number, "data": data, "streams": streams}):
-            raise ConcurrentWriteError(f"{self.root}: version {number} was published by another writer")
-        self._seen = number
-        return number
-
-    def vacuum(self, keep: int = 10) -> int:
-        """Remove the data and pointers of all but the newest ``keep`` versions (but not of named batches); how many went."""
-        old = self._numbers()[max(1, keep) :]
-        marked = {m["version"] for name in self._files.names("_batch-*") if (m := self._files.read_json(name))}
-        for number in old:
-            pointer = self._files.read_json(f"_pointer-{number}")
-            if pointer:
-                self._files.delete(pointer["data"])
-            if number not in marked:
-                self._files.delete(f"_pointer-{number}")
-        return len(old)
 
-
-def _mark(batch_id: str) -> str:
-    return f"_batch-{hashlib.sha256(batch_id.encode()).hexdigest()}"
-
-
-class Files:
-    """Small files of a table's folder, through the file system that Spark uses for it."""
-
-    def __init__(self, spark: SparkSession, root: str):
-        jvm = spark.sparkContext._jvm
-        self.root, self._path = root, jvm.org.apache.hadoop.fs.Path
-        self._fs = self._path(root).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-        self._stream = jvm.org.apache.commons.io.IOUtils
-
-    def names(self, pattern: str) -> list[str]:
-        return [status.getPath().getName() for status in self._fs.globStatus(self._path(f"{self.root}/{pattern}")) or []]
-
-    def read_json(self, name: str) -> dict | None:
-        path = self._path(f"{self.root}/{name}")
-        if not self._fs.exists(path):
-            return None
-        opened = self._fs.open(path)
+    def exists(self, version: str) -> bool:
         try:
-            return json.loads(self._stream.toString(opened, "UTF-8"))
-        except ValueError:
-            return None
-        finally:
-            opened.close()
-
-    def write_json(self, name: str, value: dict, overwrite: bool = False) -> bool:
-        """False if the file is there already."""
-        try:
-            out = self._fs.create(self._path(f"{self.root}/{name}"), overwrite)
-        except Py4JJavaError as error:
-            if "FileAlreadyExists" in str(error.java_exception) or "already exists" in str(error.java_exception):
+            self.spark.read.parquet(f"{self.root}/{version}")
+        except AnalysisException as error:
+            if error.getCondition() in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
                 return False
             raise
-        out.write(bytearray(json.dumps(value), "utf-8"))
-        out.close()
         return True
 
-    def delete(self, name: str) -> None:
-        self._fs.delete(self._path(f"{self.root}/{name}"), True)
+    def read(self, version: str | None = None) -> DataFrame:
+        """A version's rows; without a version, an empty table to begin with."""
+        if version is None:
+            if self.schema is None:
+                raise ValueError("an empty table needs a schema")
+            return self.spark.createDataFrame([], self.schema)
+        reader = self.spark.read.schema(self.schema) if self.schema is not None else self.spark.read
+        return reader.parquet(f"{self.root}/{version}")
+
+    def write(self, df: DataFrame, version: str, partition_by: list[str] | None = None) -> None:
+        """``df`` mustn't be read from the version that it replaces."""
+        writer = df.write.mode("overwrite")
+        (writer.partitionBy(*partition_by) if partition_by else writer).parquet(f"{self.root}/{version}")
 
 
 class Lake:
@@ -149,8 +49,8 @@ class Lake:
     def __init__(self, spark: SparkSession, root: str):
         self.spark, self.root = spark, root.rstrip("/")
 
-    def table(self, name: str) -> VersionedTable:
-        return VersionedTable(self.spark, f"{self.root}/{name}", TABLES[name])
+    def table(self, name: str) -> Table:
+        return Table(self.spark, f"{self.root}/{name}", TABLES[name])
 
-    def present(self) -> list[str]:
-        return [name for name in TABLES if self.table(name).exists()]
+    def present(self, version: str) -> list[str]:
+        return [name for name in TABLES if self.table(name).exists(version)]

@@ -14,13 +14,14 @@ from spendweave.operators.filters import SupplierFilter, supplier_filter
 from spendweave.params import Params
 from spendweave.plans.classify import classify_run
 from spendweave.plans.enrich import enrich_run
+from spendweave.plans.refresh import refresh_run
 from spendweave.plans.report import build_report
 from spendweave.plans.resolve import ingest_files
-from spendweave.schemas import CLASSIFICATIONS, ENRICHMENT_CACHE, SUPPLIERS
+from spendweave.session import cut
+from spendweave.schemas import CLASSIFICATIONS, ENRICHMENT_CACHE, MODEL_USAGE, SUPPLIERS, TAXONOMY
 from spendweave.sources import delimited
-from spendweave.sources.tables import ConcurrentWriteError, Lake, VersionedTable
-from spendweave.streaming import counters
-from spendweave.streaming.ingest import stream_ingest
+from spendweave.sources.tables import Lake
+from spendweave.streaming import counters, ingest
 
 P = Params(as_of=datetime(2024, 6, 1))
 
@@ -74,51 +75,56 @@ def test_taxonomy_spellings(spark):
     assert [(r.code, r.commodity, r.segment, r.segment_code, r.class_code) for r in got] == [("43211507", "Desktop", "IT2", "43", "432115")]
 
 
-def test_versioned_table(spark, tmp_path):
-    table = VersionedTable(spark, str(tmp_path / "t"))
-    assert not table.exists()
-    assert table.write(spark.range(3), batch_id="0") == 1
-    assert table.write(spark.range(9), batch_id="0") == 1  # a replayed batch changes nothing
-    old = table.read()
-    assert table.write(table.read().unionByName(spark.range(2)), batch_id="1") == 2
-    assert (old.count(), table.read().count(), table.read(1).count()) == (3, 5, 3)
+def test_a_later_taxonomy_goes_over_the_stored_one(spark, tmp_path):
+    path = str(tmp_path / "taxonomy")
+    release = lambda version, *rows: delimited.load_taxonomy(spark.createDataFrame([(*r, k) for k, r in enumerate(rows)], "code string, title string, family string, row_no long"), version)
+    delimited.write_taxonomy(release("v1", ("10101501", "Cats", "Animals"), ("10101502", "Dogs", "Animals"), ("20101501", "Drills", "Tools")), path)
+    before = {f.name for f in (tmp_path / "taxonomy" / "segment_code=20").glob("*.parquet")}
+    delimited.write_taxonomy(release("v2", ("10101502", "Hounds", None), ("30101501", "Pipes", "Metal")), path)
+    got = sorted((r.code, r.commodity, r.family, r.version) for r in spark.read.parquet(path).collect())
+    assert got == [("10101501", "Cats", "Animals", "v1"), ("10101502", "Hounds", None, "v2"), ("20101501", "Drills", "Tools", "v1"), ("30101501", "Pipes", "Metal", "v2")]
+    assert {f.name for f in (tmp_path / "taxonomy" / "segment_code=20").glob("*.parquet")} == before  # not touched
+    delimited.write_taxonomy(release("v3"), path)  # an empty load changes nothing
+    assert spark.read.parquet(path).count() == 4
+
+
+def test_named_versions(spark, tmp_path):
     lake = Lake(spark, str(tmp_path / "lake"))
-    assert lake.table("suppliers").read().count() == 0 and lake.present() == []
-    lake.table("reports").write(lake.table("reports").read())
-    checked = {r.table_name: r.present for r in required_tables(spark, lake.present(), ["suppliers", "reports"]).collect()}
-    assert checked == {"suppliers": False, "reports": True}
-
-
-def test_a_batch_replayed_late_and_two_writers(spark, tmp_path):
-    root = str(tmp_path / "t")
-    table = VersionedTable(spark, root)
-    for k in range(12):
-        table.write(spark.range(k), batch_id=f"b{k}")
-    assert table.write(spark.range(99), batch_id="b0") == 12 and table.read().count() == 11
-    mine, other = VersionedTable(spark, root), VersionedTable(spark, root)
-    grown = mine.read().unionByName(spark.range(1))
-    other.read()
-    other.write(spark.range(5))
-    with pytest.raises(ConcurrentWriteError):
-        mine.write(grown)
-    assert table.read().count() == 5
-    assert mine._files.write_json("_pointer-13", {}) is False  # what is published stays
-    assert table.write(spark.range(7), stream=("a", 0)) == 14 and table.write(spark.range(8), stream=("b", 0)) == 15
-    assert table.write(spark.range(9), stream=("a", 0)) == 15 and table.write(spark.range(9), stream=("a", 1)) == 16
-    assert table.vacuum(2) == 14 and table.read().count() == 9 and table.read(15).count() == 8
-    assert table.write(spark.range(9), stream=("b", 0)) == 16
-
-
-def test_two_streams_feed_one_registry(spark, tmp_path):
-    registry = VersionedTable(spark, str(tmp_path / "suppliers"), SUPPLIERS)
-    for name, text in (("x", "name,amount\nSupplier x,1\n,2\n"), ("y", "Spend;Vendor\n3;Supplier y\n4;Supplier x;;9\n")):
-        (tmp_path / name).mkdir()
-        (tmp_path / name / "a.csv").write_text(text)
-        for _ in range(2):
-            stream_ingest(spark, str(tmp_path / name), registry, str(tmp_path / f"{name}-state"), P).awaitTermination()
-    assert {(r.name, str(r.total_amount)) for r in registry.read().collect()} == {("Supplier x", "5.00"), ("Supplier y", "3.00")}
-    assert spark.read.parquet(str(tmp_path / "x-state-aside" / "rejects")).count() == 1
-    assert spark.read.parquet(str(tmp_path / "y-state-aside" / "shifted")).count() == 1
+    table = lake.table("suppliers")
+    assert table.read().count() == 0 and lake.present("monday") == []
+    rows = conform(spark.range(3).withColumn("name", F.lit("a")).withColumn("normalized_name", F.lit("a")), SUPPLIERS)
+    table.write(table.read().unionByName(rows), "monday")
+    table.write(rows, "monday")  # a repeated run changes nothing
+    table.write(table.read("monday").unionByName(rows), "tuesday")
+    assert (table.read("monday").count(), table.read("tuesday").count()) == (3, 6)
+    checked = {r.table_name: r.present for r in required_tables(spark, lake.present("monday"), ["suppliers", "reports"]).collect()}
+    assert checked == {"suppliers": True, "reports": False}
+
+
+def test_two_streams_late_files_and_a_replay(spark, tmp_path):
+    """Entities' totals are state: files of two streams add up, late ones too, and a batch that comes twice counts once."""
+    lake = str(tmp_path / "lake")
+    base = conform(spark.createDataFrame([(7, "Supplier X", "supplier x", 100.0)], "id long, name string, normalized_name string, total_amount double"), SUPPLIERS)
+
+    def arrive(stream, name, text):
+        (tmp_path / stream).mkdir(exist_ok=True)
+        (tmp_path / stream / name).write_text(text)
+        return ingest.stream_ingest(spark, str(tmp_path / stream), lake, f"{lake}/{stream}", P)
+
+    def totals(updates):
+        return {r.key: (r.name, None if r.amount is None else str(r.amount), r.transaction_count, r.duplicates, r.industry) for r in ingest.folded(updates).collect()}
+
+    first = totals(arrive("x", "a.csv", "name,amount\nSupplier x,1\n,2\nNameless amount,\n"))
+    assert first == {"supplier x": ("Supplier x", "1.00", 1, 0, None), "nameless amount": ("Nameless amount", None, 1, 0, None)}
+    second = totals(arrive("y", "a.csv", "Spend;Vendor;Sector\n3;Supplier y;Mining\n4;Supplier x;Steel;9\n5;Supplier y;Oil\n"))
+    assert second["supplier x"] == ("Supplier x", "5.00", 2, 1, "Steel") and second["supplier y"] == ("Supplier y", "8.00", 2, 1, "Mining")
+    added = spark.read.schema(ingest.ADDED).parquet(f"{lake}/added")
+    cut(added)[0].write.mode("append").parquet(f"{lake}/added")  # as if every batch so far had been written twice
+    late = arrive("x", "b.csv", "name,amount\nNameless amount,\nSUPPLIER X,0.25\n")
+    assert totals(late) == second | {"supplier x": ("Supplier x", "5.25", 3, 2, "Steel"), "nameless amount": ("Nameless amount", "0.00", 2, 1, None)}
+    out = ingest.registry(base, late, P)
+    assert {(r.id, r.name, str(r.total_amount), r.transaction_count) for r in out["suppliers"].collect()} == {(7, "Supplier X", "105.25", 3), (8, "Nameless amount", "0.00", 2), (9, "Supplier y", "8.00", 2)}
+    assert spark.read.parquet(f"{lake}/x-aside/rejects").count() == 1 and spark.read.parquet(f"{lake}/y-aside/shifted").count() == 1
 
 
 def test_files_with_other_headers_keep_their_columns(spark, tmp_path):
@@ -285,3 +291,25 @@ def test_late_rows_are_dropped(spark, tmp_path):
         counters.run_available(counters.usage_stream(calls), ["window_start", "model"], str(tmp_path / "out"), str(tmp_path / "state"))
     got = {str(r.window_start.date()): r.request_count for r in counters.latest(spark.read.parquet(str(tmp_path / "out")), ["window_start", "model"]).collect()}
     assert got == {"2024-01-01": 1, "2024-01-03": 2}
+
+
+def test_refresh_counts_its_steps_and_tells_why_it_stopped(spark):
+    rows = [(1, "Alpha", "alpha", True), (2, "Beta", "beta", True), (3, "Gamma", "gamma", False)]
+    moment = P.as_of
+    suppliers = conform(spark.createDataFrame(rows, "id long, name string, normalized_name string, stale boolean").withColumn("enriched_at", F.lit(moment)).withColumn("is_parent", F.lit(False)), SUPPLIERS)
+    empty = lambda schema: spark.createDataFrame([], schema)
+
+    def lookup(frame):
+        good = frame["name"] == "Alpha"
+        frame["payload"] = ['{"domain": "alpha.com", "industry": "Mining", "parent_name": "Gamma"}' if g else None for g in good]
+        frame["error"] = [None if g else "not found" for g in good]
+        return frame.assign(credits=1)
+
+    out = refresh_run(suppliers, empty(CLASSIFICATIONS), empty(TAXONOMY), empty(ENRICHMENT_CACHE), empty(MODEL_USAGE), P, None, lookup, mode="enrich", batch_size=1, max_batches=5)
+    got = out["summary"].first()
+    assert (got.stopped, got.candidates, got.enriched, got.enrichment_failed, got.stale_marked, got.batches, got.links) == ("completed", 2, 1, 1, 1, 2, 1)
+    events = {(r.entity, r.entity_id, r.action) for r in out["audit"].collect()}
+    assert events == {("sync", None, "synced"), ("supplier", 1, "enriched"), ("supplier", 2, "enrich_failed"), ("supplier", 1, "parent_linked")}
+    assert {(r.id, r.parent_id) for r in out["suppliers"].collect()} == {(1, 3), (2, None), (3, None)}
+    calm = refresh_run(suppliers.withColumn("stale", F.lit(False)), empty(CLASSIFICATIONS), empty(TAXONOMY), empty(ENRICHMENT_CACHE), empty(MODEL_USAGE), P, None, lookup, mode="enrich")["summary"].first()
+    assert (calm.stopped, calm.candidates, calm.batches) == ("no_work", 0, 0)
