@@ -126,6 +126,9 @@ def stream_ingest(spark: SparkSession, path: str, folder: str, checkpoint: str,
 
     ``folder`` holds what files have added and the updates; streams of other paths, each with a checkpoint of its own, may share it, one run at a time.
     """
+    held = f"{TOTALS}, batch_id long"
+    for name, schema in (("added", ADDED), ("updates/batch=-1", held)):  # there to be read before anything arrives
+        spark.createDataFrame([], schema).write.mode("ignore").parquet(f"{folder}/{name}")
     read_arriving(spark, path, f"{folder}/added", checkpoint, params, **reading).awaitTermination()
     stream_totals(spark, f"{folder}/added", f"{folder}/updates", f"{folder}/state").awaitTermination()
-    return spark.read.schema(f"{TOTALS}, batch_id long").parquet(f"{folder}/updates")
+    return spark.read.schema(held).parquet(f"{folder}/updates")
