@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from datetime import datetime
 
 from pyspark.sql import Column
@@ -25,6 +26,11 @@ def clamp(value: Column, low, high) -> Column:
     return F.greatest(F.lit(low), F.least(F.lit(high), value))
 
 
+def once(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with ``value`` worked out once a row, however many branches of ``use`` name it."""
+    return F.transform(F.array(value), lambda x: use(x)).getItem(0)
+
+
 def money(value: Column, style: str = "auto", minus: str = "anywhere") -> Column:
     """Amount in a free-form cell as decimal(18,2), or null.
 
@@ -32,23 +38,32 @@ def money(value: Column, style: str = "auto", minus: str = "anywhere") -> Column
     ``minus='anywhere'`` a hyphen in any place means negative; with ``minus='leading'`` only a leading
     one does, and another hyphen makes the value unreadable.
     """
-    trimmed = F.trim(value)
-    if minus == "anywhere":
-        text = F.regexp_replace(trimmed, "[^0-9.,()-]", "")
-        negative = text.rlike(r"^\(|-")
-        digits = F.regexp_replace(text, "[()-]", "")
-        readable = text != ""
-    else:
+
+    def plain(digits: Column) -> Column:
+        # a second decimal mark makes the number unreadable, whichever it is
+        european, american = F.translate(digits, ",.", "."), F.translate(digits, ",", "")
+        comma_last = F.substring_index(digits, ".", -1).contains(",")
+        return {"auto": F.when(comma_last, european).otherwise(american), "us": american, "eu": european}[style]
+
+    def anywhere(text: Column) -> Column:
+        negative = text.startswith("(") | text.contains("-")
+        number = once(
+            once(F.translate(text, "()-", ""), plain),
+            lambda p: F.when(p == "", F.lit("0")).otherwise(p).try_cast("decimal(18,2)"),
+        )
+        return F.when(text != "", F.when(negative, -number).otherwise(number))
+
+    def leading(trimmed: Column) -> Column:
         negative = trimmed.rlike(r"^\(.*\)$") | trimmed.startswith("-")
-        digits = F.regexp_replace(trimmed, "[^0-9.,-]", "")
-        readable = digits != ""
-    comma_last = digits.rlike(",[^.]*$")
-    european = F.regexp_replace(F.regexp_replace(digits, r"\.", ""), "^([^,]*),", "$1.")
-    american = F.regexp_replace(digits, ",", "")
-    plain = {"auto": F.when(comma_last, european).otherwise(american), "us": american, "eu": european}[style]
-    plain = F.when(plain == "", F.lit("0")).otherwise(plain) if minus == "anywhere" else plain
-    number = plain.try_cast("decimal(18,2)")
-    return F.when(readable, F.when(negative & (number > 0), -number).otherwise(number))
+        number = once(
+            F.regexp_replace(trimmed, "[^0-9.,-]+", ""),
+            lambda digits: F.when(digits != "", plain(digits).try_cast("decimal(18,2)")),
+        )
+        return F.when(negative, -F.abs(number)).otherwise(number)
+
+    if minus == "anywhere":
+        return once(F.regexp_replace(F.trim(value), "[^0-9.,()-]+", ""), anywhere)
+    return once(F.trim(value), leading)
 
 
 def iso_date(value: Column) -> Column:
