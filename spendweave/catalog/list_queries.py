@@ -19,7 +19,7 @@ STALE = "enriched_at < TIMESTAMP '2001-10-16 00:00:00'"
 
 
 def _filtered(t: Tables, label: str, **wanted) -> DataFrame:
-    return filters.supplier_filter(t.rows, SupplierFilter(**wanted), P, registry=t.suppliers).select(F.lit(label).alias("filter"), "id", "name")
+    return filters.supplier_filter(t.listed, SupplierFilter(**wanted), P, registry=t.suppliers).select(F.lit(label).alias("filter"), "id", "name")
 
 
 def _union(*parts: DataFrame) -> DataFrame:

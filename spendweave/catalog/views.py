@@ -220,6 +220,11 @@ class Tables:
     def rows(self) -> DataFrame:
         return supplier_list(self.suppliers, self.classifications, self.taxonomy)
 
+    @cached_property
+    def listed(self) -> DataFrame:
+        """The list view worked out once, for queries that filter it several times."""
+        return cut(self.rows)[0]
+
     @cached_property
     def lines(self) -> DataFrame:
         """Transaction lines as an upload would deliver them, with a deterministic file order.

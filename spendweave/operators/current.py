@@ -44,8 +44,8 @@ def child_counts(suppliers: DataFrame) -> DataFrame:
 def supplier_list(suppliers: DataFrame, history: DataFrame, taxonomy: DataFrame) -> DataFrame:
     """Suppliers with current classification, taxonomy names of the effective code, and child count.
 
-    The taxonomy is joined without a hint: the planner broadcasts it when its measured size allows, and
-    otherwise sorts and merges, where adaptive execution splits a code shared by many suppliers.
+    What grows with the data is sorted and merged: a compressed table that passes for small would be held whole by every task.
+    Adaptive execution splits a code shared by many suppliers.
     """
     current = current_classification(history).select(
         F.col("supplier_id").alias("_supplier"),
@@ -63,9 +63,9 @@ def supplier_list(suppliers: DataFrame, history: DataFrame, taxonomy: DataFrame)
     )
     children = child_counts(suppliers).withColumnRenamed("parent_id", "_parent")
     return (
-        suppliers.join(current, F.col("id") == F.col("_supplier"), "left")
-        .join(children, F.col("id") == F.col("_parent"), "left")
-        .join(names, F.col("effective_code") == F.col("taxonomy_code"), "left")
+        suppliers.join(current.hint("merge"), F.col("id") == F.col("_supplier"), "left")
+        .join(children.hint("merge"), F.col("id") == F.col("_parent"), "left")
+        .join(names.hint("merge"), F.col("effective_code") == F.col("taxonomy_code"), "left")
         .withColumn("subsidiary_count", F.coalesce("child_count", F.lit(0)))
         .drop("_supplier", "_parent", "child_count")
     )
