@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from spendweave.functions.values import once
+
 # Legal suffixes that are dropped from the end of a name.
 THREE_WORD_SUFFIXES = ["limited liability company", "limited liability partnership", "public limited company"]
 TWO_WORD_SUFFIXES = ["limited partnership", "proprietary limited", "pty ltd", "pty limited"]
@@ -38,12 +40,17 @@ ONLY_SUFFIXES = rf"^(?:{_MANY_WORDS})(?: (?:{_ANY}))*$"
 
 
 def squeeze(c: Column) -> Column:
-    """Collapse white space and trim."""
-    return F.trim(F.regexp_replace(c, SPACE + "+", " "))
+    """Collapse white space and trim. Single spaces, which are most, don't match."""
+    return F.trim(F.regexp_replace(c, f"{SPACE}{{2,}}|{SPACE[:-1]}&&[^ ]]", " "))
 
 
 def blank_to_null(c: Column) -> Column:
-    return F.nullif(squeeze(c), F.lit(""))
+    return once(squeeze(c), lambda text: F.when(text != "", text))
+
+
+def has_text(c: Column) -> Column:
+    """Whether anything but white space is there; ends at the first such character."""
+    return F.coalesce(c.rlike(SPACE.replace("[", "[^", 1)), F.lit(False))
 
 
 def _spelled_out(raw: Column) -> Column:
@@ -54,8 +61,8 @@ def _spelled_out(raw: Column) -> Column:
 
 def entity_key(raw: Column) -> Column:
     """Key under which spellings of one company meet; a name made of one suffix phrase keeps it."""
-    lowered = F.lower(_spelled_out(raw))
-    return F.when(lowered.rlike(ONLY_SUFFIXES), lowered).otherwise(F.regexp_replace(lowered, TRAILING_SUFFIXES, ""))
+    key = lambda lowered: F.when(lowered.rlike(ONLY_SUFFIXES), lowered).otherwise(F.regexp_replace(lowered, TRAILING_SUFFIXES, ""))
+    return once(F.lower(_spelled_out(raw)), key)
 
 
 def entity_display(raw: Column) -> Column:
@@ -65,21 +72,22 @@ def entity_display(raw: Column) -> Column:
 
 
 def had_legal_suffix(raw: Column) -> Column:
-    lowered = F.lower(_spelled_out(raw))
-    return lowered.rlike(ONLY_SUFFIXES) | lowered.rlike(TRAILING_SUFFIXES)
+    return once(F.lower(_spelled_out(raw)), lambda lowered: lowered.rlike(ONLY_SUFFIXES) | lowered.rlike(TRAILING_SUFFIXES))
 
 
 def title_case(name: Column) -> Column:
     """Calm an all-capitals name of more than four characters; short words and acronyms stay as they are."""
-    text = squeeze(F.coalesce(name, F.lit("")))
 
     def word(w: Column) -> Column:
         bare = F.regexp_replace(w, "[^A-Za-z0-9&]", "")
         keep = (F.length(bare) <= 3) | bare.isin(ACRONYMS)
         return F.when(keep, w).otherwise(F.concat(F.upper(F.substring(w, 1, 1)), F.lower(F.substr(w, F.lit(2)))))
 
-    shouting = (F.length(text) > 4) & (text == F.upper(text))
-    return F.when(shouting, F.array_join(F.transform(F.split(text, " "), word), " ")).otherwise(text)
+    def calm(text: Column) -> Column:
+        shouting = (F.length(text) > 4) & (text == F.upper(text))
+        return F.when(shouting, F.array_join(F.transform(F.split(text, " "), word), " ")).otherwise(text)
+
+    return once(squeeze(F.coalesce(name, F.lit(""))), calm)
 
 
 def sanitize_parent(value: Column) -> Column:

@@ -13,8 +13,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from spendweave.functions.text import blank_to_null, sanitize_parent, title_case
-from spendweave.functions.values import iso_date, money
+from spendweave.functions.text import blank_to_null, has_text, sanitize_parent, title_case
+from spendweave.functions.values import iso_date, money, once
 from spendweave.params import Params
 from spendweave.session import cut
 
@@ -93,15 +93,19 @@ def header_lines(spark: SparkSession, paths: str | list[str], comment: str | Non
     lines = spark.read.text(paths).where(F.trim("value") != "")
     if comment:
         lines = lines.where(~F.col("value").startswith(comment))
-    place = F.struct(F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("at"))
-    lines = lines.select(F.col("_metadata.file_path").alias("path"), "value", place.alias("place"))
-    return lines.groupBy("path").agg(F.min_by("value", "place").alias("header"))
+    lines = lines.select(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("at"), "value")
+    # places are numbers, which a task holds for its files only; an aggregate of the lines themselves would sort all of them
+    first, _ = cut(lines.groupBy("path", "block").agg(F.min("at").alias("at")).groupBy("path").agg(F.min("block").alias("block"), F.min_by("at", "block").alias("at")))
+    return lines.join(first, ["path", "block", "at"]).select("path", F.col("value").alias("header"))
+
+
+def _delimiters(text: Column, delimiter: str) -> Column:
+    return F.length(text) - F.length(F.replace(text, F.lit(delimiter), F.lit("")))
 
 
 def _field_count(line: Column, delimiter: str) -> Column:
     """Fields in a raw line: delimiters outside quotes, plus one."""
-    bare = F.regexp_replace(line, '"[^"]*"', "")
-    return F.length(bare) - F.length(F.replace(bare, F.lit(delimiter), F.lit(""))) + 1
+    return once(F.regexp_replace(line, '"[^"]*"', ""), lambda bare: _delimiters(bare, delimiter) + 1)
 
 
 def file_order() -> Column:
@@ -151,13 +155,15 @@ def _read_layout(spark: SparkSession, path: str | list[str], line: str, comment:
         options["comment"] = comment
     raw = spark.read.options(**options).schema(schema).csv(path)
     tail = F.regexp_replace("_raw", "[" + ("\\t" if delimiter == "\t" else "\\" + delimiter) + r"\s]+$", "")
-    surplus = (F.coalesce(F.trim("_extra"), F.lit("")) != "") | F.coalesce(_field_count(tail, delimiter) > width, F.lit(False))
-    filled = F.coalesce(*[blank_to_null(F.col(c)) for c in schema.names[: width + 1]])
+    # a line with few delimiters has no more fields inside quotes
+    many = F.coalesce(_delimiters(F.col("_raw"), delimiter) >= width, F.lit(False))
+    surplus = (F.coalesce(F.trim("_extra"), F.lit("")) != "") | (many & F.coalesce(_field_count(tail, delimiter) > width, F.lit(False)))
+    filled = reduce(lambda a, b: a | b, [has_text(F.col(c)) for c in schema.names[: width + 1]])
     rows = (
         raw.withColumn("_row", file_order())
         .withColumn("_shifted", surplus)
         .withColumn("_fields", F.coalesce(_field_count(F.col("_raw"), delimiter), F.lit(width + 1)))
-        .where(filled.isNotNull())
+        .where(filled)
         .select(*[F.col(f"c{i}").alias(h) for i, h in enumerate(headers)], "_extra", "_raw", "_row", "_shifted", "_fields")
     )
     shifted = rows.where("_shifted").drop("_raw", "_shifted", "_fields")
@@ -192,8 +198,9 @@ def map_supplier_columns(records: DataFrame, headers: list[str] | None = None, s
     columns += [sanitize_parent(value("parent_name")).alias("parent_name"), value("parent_domain").alias("parent_domain")]
     columns += [F.coalesce(value("currency"), F.lit(params.currency)).alias("currency"), iso_date(value("date")).alias("date"), F.lit(1).cast("long").alias("transaction_count")]
     row_no = F.col("_row") if "_row" in records.columns else F.col("row_no")
-    mapped = records.select(*columns, row_no.alias("row_no"))
-    return mapped.where(F.col("name") != ""), mapped.where(F.col("name") == "")
+    columns.append(row_no.alias("row_no"))
+    named = has_text(value("name"))
+    return records.where(named).select(*columns), records.where(~named).select(*columns)
 
 
 def map_taxonomy(records: DataFrame, version: str) -> DataFrame:
