@@ -1,4 +1,4 @@
-"""Near copies by Jaccard similarity of word shingles: candidates from MinHash bands, links checked on the whole sets."""
+"""Near copies by Jaccard similarity of word shingles: candidates from SimHash trees and, for what lies outside their balls, MinHash bands; links checked on the whole sets."""
 
 from __future__ import annotations
 
@@ -11,12 +11,15 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from spendweave.llm import simhash
 from spendweave.llm.common import coded_words, components, filter_bits, lean, store
 from spendweave.llm.spans import FILTER_BITS, _filter
 from spendweave.session import cut, spread_join
 
 #: Words of a shingle, and the similarity from which two texts are near copies, as a fraction.
 WIDTH, LEAST = 5, (4, 5)
+#: Bits by which fingerprints of the sets may differ in the tree search.
+RADIUS = 3
 #: Bands of so many minima each: a pair of similarity s shares a band with 1 - (1 - s**MINIMA)**BANDS, 0.9996 at 0.8.
 BANDS, MINIMA = 20, 5
 #: Members of a band compared with all others in the first round, and how many times more in each later one.
@@ -70,18 +73,20 @@ def alike(a: np.ndarray, b: np.ndarray) -> bool:
 
 
 def _scanned(docs: DataFrame) -> DataFrame:
-    """``doc_id, text_hash, row, node, bands`` of each row; texts with equal shingles have one node."""
+    """``doc_id, text_hash, row, node, fp, bands`` of each row; texts with equal shingles have one node and fingerprint."""
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            nodes, keys = [], []
+            nodes, fps, keys = [], [], []
             for found in sets(batch.column(3)):
                 nodes.append(xxhash.xxh64_intdigest(found.tobytes()))
+                fps.append(simhash.folded(found))
                 keys.append(bands(found))
-            columns = [*batch.columns[:3], pa.array(np.array(nodes, np.uint64).view(np.int64)), pa.array(keys, pa.list_(pa.int64()))]
-            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "text_hash", "row", "node", "bands"])
+            hashes = [pa.array(np.array(x, np.uint64).view(np.int64)) for x in (nodes, fps)]
+            columns = [*batch.columns[:3], *hashes, pa.array(keys, pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "text_hash", "row", "node", "fp", "bands"])
 
-    return docs.mapInArrow(lean(scan), "doc_id long, text_hash long, row long, node long, bands array<long>")
+    return docs.mapInArrow(lean(scan), "doc_id long, text_hash long, row long, node long, fp long, bands array<long>")
 
 
 def _picked(docs: DataFrame, passing: Broadcast, filtered: int) -> DataFrame:
@@ -115,6 +120,16 @@ def _met(members: DataFrame, picks: DataFrame) -> DataFrame:
     return store(spread_join(members, picks.groupBy("key").agg(F.collect_list("to").alias("_to")), "key", spread_by="node").withColumn("to", F.explode("_to")).where("node <> to.node").select("key", "node", "row", "to"))
 
 
+def _close(whole: DataFrame) -> DataFrame:
+    """``node, row, to``: nodes whose fingerprints the tree search links, or that have one fingerprint, beside the smallest such node."""
+    firsts, seen = cut(whole.groupBy("fp").agg(F.min(F.struct("node", "row")).alias("to")), n=F.count(F.lit(1)))
+    equal = spread_join(whole.select("node", "row", "fp"), firsts, "fp", spread_by="node").where("node <> to.node").select("node", "row", "to")
+    links = store(simhash.links(firsts, seen["n"], RADIUS))
+    near = links.join(firsts.select(F.col("fp").alias("a"), F.col("to").alias("_own")), "a")
+    near = spread_join(near, firsts.withColumnRenamed("fp", "b"), "b", spread_by="a")  # a dense group hangs on one fingerprint
+    return store(equal.unionByName(near.select("_own.node", "_own.row", "to")))
+
+
 def _edges(met: DataFrame) -> DataFrame:
     """The pairs to check, each once: ``a, b, row, to_row``."""
     place = F.struct("node", "row")
@@ -231,7 +246,9 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     """Rows to remove: ``doc_id, text_hash`` (``xxhash64`` of the text) of all near copies but those with the smallest id.
 
     Near copies are texts that a chain of links joins, each of a Jaccard similarity of ``LEAST`` or more. Texts without words
-    are copies of each other. Equal sets are one node. First each member of a band is compared with the smallest node there, so
+    are copies of each other. Equal sets are one node. Sets whose SimHash fingerprints differ in at most ``RADIUS`` bits are found by
+    :func:`simhash.links` and compared. Texts at ``LEAST`` differ in some ten bits, where no ball of a tree is left out any more, so
+    what is farther apart than ``RADIUS`` is found by its bands. First each member of a band is compared with the smallest node there, so
     a large group makes rows in proportion to its members. What these links join is put together, over all bands. In a band whose
     members are then of several groups, those outside its largest group are compared with all members of other groups, some first, as
     their links may join the rest. So no two groups stay apart that have a link in a band. Such comparisons count what a block
@@ -241,11 +258,12 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     hashed = F.xxhash64(F.col(text_col).cast("string"))
     narrow = docs.select(F.col(id_col).cast("long").alias("doc_id"), hashed.alias("text_hash"), F.xxhash64(F.col(id_col).cast("long"), hashed).alias("row"), F.col(text_col).cast("string").alias("text"))
     rows = store(_scanned(narrow))
-    whole = rows.groupBy("node").agg(F.min("row").alias("row"), F.min(F.struct("row", "bands"))["bands"].alias("bands"))
+    whole = rows.groupBy("node").agg(F.min("row").alias("row"), F.min("fp").alias("fp"), F.min(F.struct("row", "bands"))["bands"].alias("bands"))
+    close = _close(store(whole.select("node", "row", "fp")))
     members = store(whole.select("node", "row", F.explode("bands").alias("key")))
     place = F.struct("node", "row")
     met = _met(members, members.groupBy("key").agg(F.min_by(place, "node").alias("to")))
-    edges = _edges(met)
+    edges = _edges(met.select("node", "row", "to").unionByName(close))
     rooted = rows.select("doc_id", "text_hash", "node", F.col("node").alias("root"))
     if not edges.isEmpty():
         found = _sets_of(edges.select("row").union(edges.select("to_row")).distinct(), narrow)  # all members of bands with two or more

@@ -31,7 +31,12 @@ def fingerprint(words: list[bytes], width: int = 3, seed: int = 42) -> int:
     hashed = xxhash.xxh64_intdigest
     n = max(1, len(words) - width + 1)
     last = min(width, len(words)) - 1
-    hashes = np.fromiter((hashed(joined[a:b], seed) for a, b in zip(starts, ends[last:])), np.dtype("<u8"), n)
+    return folded(np.fromiter((hashed(joined[a:b], seed) for a, b in zip(starts, ends[last:])), np.dtype("<u8"), n))
+
+
+def folded(hashes: np.ndarray) -> int:
+    """Bits set in over half of the hashes; zero without any."""
+    n = len(hashes)
     ones = np.zeros(64, np.int64)
     for k in range(0, n, 65_536):
         ones += np.unpackbits(hashes[k : k + 65_536].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)

@@ -3,8 +3,10 @@
 import random
 
 import corpus_pipeline
+import numpy as np
+import pyarrow as pa
 
-from spendweave.llm import shingles
+from spendweave.llm import shingles, simhash
 
 
 def shingles_of(text):
@@ -90,3 +92,19 @@ def test_links_across_blocks_and_chunks(documents, monkeypatch):
     ordered = sorted(rows)
     assert {i for i, _ in rows} - gone == set(slow_kept(ordered))
     assert 5 < len(gone) < 64
+
+
+def test_the_tree_search_finds_near_copies_by_itself(documents, monkeypatch):
+    """Without bands: of texts of one base and one changed word, those go whose fingerprints a chain of close and alike texts joins."""
+    rng = random.Random(8)
+    rows = []
+    for k in range(40):
+        base = [f"base{k}x{j}" for j in range(300)]
+        other = list(base)
+        other[rng.randrange(300)] = "changed"
+        rows += [(2 * k, " ".join(base)), (2 * k + 1, " ".join(other))]
+    fps = [simhash.folded(s) for s in shingles.sets(pa.array([t for _, t in rows]))]
+    near = {2 * k + 1 for k in range(40) if (fps[2 * k] ^ fps[2 * k + 1]).bit_count() <= shingles.RADIUS}
+    assert len(near) > 10
+    monkeypatch.setattr(shingles, "bands", lambda found: np.zeros(0, np.int64))
+    assert {r.doc_id for r in shingles.near_copies(documents(rows)).collect()} == near
