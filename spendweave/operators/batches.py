@@ -54,12 +54,12 @@ def candidate_lines(candidates: DataFrame, taxonomy: DataFrame, key: str = "supp
     )
 
 
-def batch_candidates(batches: DataFrame, taxonomy: DataFrame, limit: int = 15) -> DataFrame:
+def batch_candidates(batches: DataFrame, taxonomy: DataFrame, limit: int = 15, tokens: DataFrame | None = None) -> DataFrame:
     """``model, batch_no, candidate_text``: codes that fit the industries and descriptions of a batch's suppliers together."""
     words = lambda c: F.concat_ws(" ", F.array_sort(F.collect_set(c)))  # noqa: E731  a batch's few rows
     joint = batches.groupBy("model", "batch_no").agg(words("industry").alias("industry"), words("description").alias("description"))
     joint = joint.select("model", "batch_no", F.concat_ws("#", "model", F.col("batch_no").cast("string")).alias("id"), "industry", F.lit(None).cast("string").alias("name"), "description")
-    found = candidate_lines(candidate_codes(joint, taxonomy, limit), taxonomy)
+    found = candidate_lines(candidate_codes(joint, taxonomy, limit, tokens), taxonomy)
     return joint.select("model", "batch_no", F.col("id").alias("supplier_id")).join(found, "supplier_id").select("model", "batch_no", "candidate_text")
 
 

@@ -25,18 +25,29 @@ def keyword_budget(count: Column, limit: int) -> Column:
     return F.greatest(F.lit(15), F.ceil(F.lit(3.0 * limit) / count)).cast("int")
 
 
-def _postings(words: DataFrame, taxonomy: DataFrame, most: int) -> DataFrame:
+def _most(limit: int) -> int:
+    return max(15, 3 * limit)
+
+
+def vocabulary(taxonomy: DataFrame, limit: int) -> DataFrame:
+    """``token, code``: the words of commodity, class and family names, each with its first codes, as many as ``limit`` candidates can need.
+
+    A word keeps so few only: no later code of it can be among the first of a keyword. Names are a small file and many words, so
+    they are dealt by code before they are split.
+    """
+    names = F.concat_ws(" ", F.lower("commodity"), F.lower("class"), F.lower("family")).alias("names")
+    tokens = taxonomy.select("code", names).repartition("code").select("code", F.explode(F.array_distinct(F.split("names", r"\s+"))).alias("token"))
+    first = Window.partitionBy("token").orderBy("code")
+    return tokens.where(F.length("token") >= GRAM).withColumn("_rank", F.row_number().over(first)).where(F.col("_rank") <= _most(limit)).select("token", "code")
+
+
+def _postings(words: DataFrame, tokens: DataFrame, most: int) -> DataFrame:
     """First ``most`` codes (by code) whose commodity, class or family contains each keyword.
 
     A keyword has no spaces, so it can only lie inside one word of a name. Keywords meet vocabulary words
     through the keyword's first four characters (an equi-join on grams, checked with ``contains``), so the
-    result is exactly that of a substring search without comparing every keyword to every name. A word
-    keeps its first ``most`` codes only: no later code of it can be among the first ``most`` of a keyword.
+    result is exactly that of a substring search without comparing every keyword to every name.
     """
-    names = F.concat_ws(" ", F.lower("commodity"), F.lower("class"), F.lower("family"))
-    tokens = taxonomy.select("code", F.explode(F.array_distinct(F.split(names, r"\s+"))).alias("token"))
-    first = Window.partitionBy("token").orderBy("code")
-    tokens = tokens.where(F.length("token") >= GRAM).withColumn("_rank", F.row_number().over(first)).where(F.col("_rank") <= most).drop("_rank")
     starts = F.transform(F.sequence(F.lit(1), F.length("token") - (GRAM - 1)), lambda i: F.substr("token", i, F.lit(GRAM)))
     grams = tokens.select("token").distinct().select("token", F.explode(F.array_distinct(starts)).alias("gram"))
     pairs = words.withColumn("gram", F.substring("keyword", 1, GRAM)).join(grams, "gram").where(F.col("token").contains(F.col("keyword")))
@@ -47,20 +58,19 @@ def _postings(words: DataFrame, taxonomy: DataFrame, most: int) -> DataFrame:
     return hits.groupBy("keyword").agg(F.array_sort(F.collect_list("code")).alias("codes"))
 
 
-def candidate_codes(suppliers: DataFrame, taxonomy: DataFrame, limit: int = 20) -> DataFrame:
+def candidate_codes(suppliers: DataFrame, taxonomy: DataFrame, limit: int = 20, tokens: DataFrame | None = None) -> DataFrame:
     """Ranked candidate codes per supplier.
 
     Suppliers with the same keywords have the same candidates, so the search runs once per distinct
     keyword list and the (at most ``limit``) results are joined back. A keyword scores by its best field:
     commodity 10, class 4, family or segment 1. Codes with no commodity hit and a single keyword are
-    dropped when any better one exists.
+    dropped when any better one exists. ``tokens`` is what :func:`vocabulary` gives for the limit, for several searches.
     """
     asked = suppliers.select(F.col("id").alias("supplier_id"), query_keywords(F.col("industry"), F.col("name"), F.col("description")).alias("words"))
     asked = asked.where(F.size("words") > 0).select("supplier_id", F.array_join("words", " ").alias("query"))
     queries = asked.select("query").distinct().withColumn("words", F.split("query", " "))
     words = queries.select(F.explode("words").alias("keyword")).distinct()
-    most = max(15, 3 * limit)
-    postings = _postings(words, taxonomy, most)
+    postings = _postings(words, vocabulary(taxonomy, limit) if tokens is None else tokens, _most(limit))
     budget = keyword_budget(F.size("words"), limit)
     found = (
         queries.select("query", "words", F.explode("words").alias("keyword"))
@@ -95,9 +105,9 @@ def candidate_codes(suppliers: DataFrame, taxonomy: DataFrame, limit: int = 20)
 
 
 def prefix_index(taxonomy: DataFrame) -> DataFrame:
-    """Smallest code under every 8, 6, 4 and 2 digit prefix."""
+    """Smallest code under every 8, 6, 4 and 2 digit prefix. Codes are a small file, dealt before they are multiplied."""
     lengths = F.array(*[F.lit(n) for n in (8, 6, 4, 2)])
-    return taxonomy.select("code", F.explode(lengths).alias("digits")).groupBy(F.expr("substring(code, 1, digits)").alias("prefix")).agg(F.min("code").alias("found"))
+    return taxonomy.select("code").repartition("code").select("code", F.explode(lengths).alias("digits")).groupBy(F.expr("substring(code, 1, digits)").alias("prefix")).agg(F.min("code").alias("found"))
 
 
 def validate_codes(rows: DataFrame, taxonomy: DataFrame, spread_by: str, code: str = "unspsc_code") -> DataFrame:

@@ -11,13 +11,14 @@ from spendweave.functions.values import route_tier
 from spendweave.operators import batches as b
 from spendweave.operators import candidates, responses
 from spendweave.operators.audit import audit_rows
-from spendweave.operators.candidates import candidate_codes
+from spendweave.operators.candidates import candidate_codes, vocabulary
 from spendweave.operators.current import few_shot_merge, few_shot_recent, supplier_list
 from spendweave.operators.families import classification_plan, family_members
 from spendweave.operators.history import propagate_codes, write_classifications
 from spendweave.params import Params
-from spendweave.session import cut
+from spendweave.session import cut, dealt
 
+CANDIDATES = 15  # codes that a prompt lists
 UNKNOWN_NOTE = " not found in the local UNSPSC taxonomy; confidence reduced)"
 
 
@@ -43,6 +44,12 @@ def _validated(answered: DataFrame, taxonomy: DataFrame, params: Params) -> Data
     )
 
 
+def _items(answers: DataFrame) -> DataFrame:
+    """The validated items of written answers. Texts are few bytes and much work to parse, so they are dealt, and parsed once."""
+    texts = responses.json_text(dealt(answers, "model", "batch_no"))
+    return cut(responses.classification_items(responses.answer_items(responses.parse_json(texts), responses.CODE_WRAPPERS, ["unspsc_code", "code"])))[0]
+
+
 def _subsidiaries(suppliers: DataFrame, asked: DataFrame, most: int = 8) -> DataFrame:
     """``id, subsidiary_names``: the first names of direct children, a few per parent before anything is gathered."""
     children = suppliers.select(F.col("parent_id").alias("id"), "name").where("id is not null").join(asked.select("id"), "id", "left_semi")
@@ -77,6 +84,7 @@ def classify_run(
     asked for alone that only inherits is reported as skipped. Suppliers a batch answer leaves out are asked
     again one by one.
     """
+    taxonomy, _ = cut(taxonomy.repartition("code"))
     members = family_members(supplier_list(suppliers, history, taxonomy))
     plan, _ = cut(classification_plan(members))
     work = work_items(members, plan, params, only_missing, protect_reviewed, strategy)
@@ -94,21 +102,22 @@ def classify_run(
     if corrections is not None and not examples:
         recent = few_shot_recent(corrections, suppliers)
         examples = b.example_text(few_shot_merge(recent, defaults) if defaults is not None else recent)
-    fitting = b.batch_candidates(batches, taxonomy)
+    tokens, _ = cut(vocabulary(taxonomy, CANDIDATES))
+    fitting = b.batch_candidates(batches, taxonomy, CANDIDATES, tokens)
     answers, _ = cut(b.score_batches(b.batch_prompts(batches, size, examples, fitting), score, partitions))
-    items = responses.classification_items(responses.answer_items(responses.parse_json(responses.json_text(answers)), responses.CODE_WRAPPERS, ["unspsc_code", "code"]))
-    answered, missing = b.align_results(batches, items, size)
+    answered, missing = b.align_results(batches, _items(answers), size)
     answered, _ = cut(answered.select("supplier_id", "name", "model", "unspsc_code", "confidence", "reasoning", "alternatives"))
     missing, left = cut(missing, rows=F.count(F.lit(1)))
     if left["rows"]:
-        alone = missing.join(b.candidate_lines(candidate_codes(missing, taxonomy, 15), taxonomy).withColumnRenamed("supplier_id", "id"), "id", "left")
+        alone = missing.join(b.candidate_lines(candidate_codes(missing, taxonomy, CANDIDATES, tokens), taxonomy).withColumnRenamed("supplier_id", "id"), "id", "left")
         again = b.single_prompts(alone.join(_subsidiaries(suppliers, missing), "id", "left"), examples).join(missing.select("id", "model"), "id").select("model", F.col("id").alias("batch_no"), "prompt")
         second, _ = cut(b.score_batches(again, score, partitions))
-        retried = responses.classification_items(responses.answer_items(responses.parse_json(responses.json_text(second)), responses.CODE_WRAPPERS, ["unspsc_code", "code"]))
-        retried = retried.where(F.col("item_no") == 1).join(missing.select(F.col("id").alias("batch_no"), "name", "model"), ["model", "batch_no"])
+        retried = _items(second).where(F.col("item_no") == 1).join(missing.select(F.col("id").alias("batch_no"), "name", "model"), ["model", "batch_no"])
         answered = answered.unionByName(retried.select(F.col("batch_no").alias("supplier_id"), "name", "model", "unspsc_code", "confidence", "reasoning", "alternatives"))
     scored, _ = cut(_validated(answered, taxonomy, params))
-    heirs, _ = cut(propagate_codes(plan, scored, params, history, protect_reviewed))
+    # the list view knows whose live row was reviewed, so the history isn't read for it again
+    open_plan = plan.join(members.where("reviewed").select(F.col("id").alias("supplier_id")), "supplier_id", "left_anti") if protect_reviewed else plan
+    heirs, _ = cut(propagate_codes(open_plan, scored, params, protect_reviewed=False))
     new = scored.drop("name", "code_unknown").withColumn("kind", F.lit(0)).unionByName(heirs.withColumn("kind", F.lit(1)), allowMissingColumns=True)
     written = write_classifications(history, new.drop("alternatives") if "alternatives" not in history.columns else new, params, ["kind", "supplier_id"]).drop("kind")
     status = (

@@ -52,6 +52,14 @@ def cut(df: DataFrame, **metrics: Column) -> tuple[DataFrame, dict]:
     return spark.read.schema(df.schema).parquet(path), values
 
 
+def dealt(df: DataFrame, *keys: str) -> DataFrame:
+    """``df`` dealt by ``keys`` to four tasks a core, for rows of few bytes and much work.
+
+    The number is given: adaptive execution would put so few bytes back into a task or two.
+    """
+    return df.repartition(4 * df.sparkSession.sparkContext.defaultParallelism, *keys)
+
+
 def ranked(df: DataFrame, order: list[Column], name: str = "rank", group: str | None = None) -> DataFrame:
     """Row numbers over a distributed sort, optionally restarting per value of ``group`` (few values).
 
