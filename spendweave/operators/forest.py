@@ -5,6 +5,8 @@ Every operator here takes a number of rounds that grows with the logarithm of th
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -12,6 +14,17 @@ from spendweave.session import cut, ranked, spread_join
 
 #: Places of a walk that share a bucket in the join of intervals with places.
 BUCKET = 64
+#: Tables of finished rows that a round may read beside the open ones; more are written as one.
+TABLES = 4
+
+
+def _union(tables: list[DataFrame]) -> DataFrame:
+    return reduce(DataFrame.unionByName, tables)
+
+
+def _finished(tables: list[DataFrame]) -> list[DataFrame]:
+    """The finished rows of all rounds so far. Each round adds a table, and reading all of them makes later rounds ever longer."""
+    return tables if len(tables) <= TABLES else [cut(_union(tables))[0]]
 
 
 def _climb(links: DataFrame) -> tuple[DataFrame, int]:
@@ -32,22 +45,23 @@ def _climb(links: DataFrame) -> tuple[DataFrame, int]:
         (F.col("_found").isNull() | F.col("_grand").isNull()).alias("done"),
     )
     state, seen = cut(start, pending=F.count_if(~F.col("done")))
-    pending = seen["pending"]
+    pending, finished, opened = seen["pending"], [state.where("done")], state.where("not done")
     while pending:
-        lookup = state.select(F.col("id").alias("anc"), F.col("anc").alias("_anc"), F.col("hops").alias("_hops"), F.col("low").alias("_low"), F.col("done").alias("_done"))
-        moved = spread_join(state.where(~F.col("done")), lookup, "anc", spread_by="id").select(
+        lookup = _union([*finished, opened]).select(F.col("id").alias("anc"), F.col("anc").alias("_anc"), F.col("hops").alias("_hops"), F.col("low").alias("_low"), F.col("done").alias("_done"))
+        moved = spread_join(opened, lookup, "anc", spread_by="id").select(
             "id", "parent", "orphan", F.col("_anc").alias("anc"), (F.col("hops") + F.col("_hops")).alias("hops"), F.least("low", "_low").alias("low"), F.col("_done").alias("done")
         )
         moved, seen = cut(moved, pending=F.count_if(~F.col("done")))
-        state = state.where("done").unionByName(moved)
+        finished, opened = _finished([*finished, moved.where("done")]), moved.where("not done")
         if seen["pending"] == pending:
             break
         pending = seen["pending"]
-    return state, pending
+    return _union([*finished, opened]), pending
 
 
-def _rings(open_rows: DataFrame) -> tuple[DataFrame, int]:
-    """Rows on a cycle, with the cycle's smallest id, going on from where climbing stopped. The images under
+def _rings(open_rows: DataFrame) -> tuple[DataFrame, int, DataFrame]:
+    """Rows on a cycle, with the cycle's smallest id, how many they are, and for every open row one ``anc`` of them that it leads to,
+    going on from where climbing stopped. The images under
     repeated doubling shrink to the cycle rows exactly when their number stops falling; the smallest id on
     the way is final once a round changes none."""
     ring = open_rows.select("id", "anc", "low")
@@ -64,7 +78,7 @@ def _rings(open_rows: DataFrame) -> tuple[DataFrame, int]:
             break
         images = now
     on_ring = ring.select(F.col("anc").alias("id")).distinct()
-    return ring.join(on_ring, "id", "left_semi").select("id", F.col("low").alias("ring_root")), now
+    return ring.join(on_ring, "id", "left_semi").select("id", F.col("low").alias("ring_root")), now, ring.select("id", "anc")
 
 
 def resolve_roots(nodes: DataFrame) -> DataFrame:
@@ -82,7 +96,7 @@ def _resolve(nodes: DataFrame) -> DataFrame:
     if not looping:
         return flat
     open_rows = state.where(~F.col("done")).select("id", "parent", "anc", "low")
-    rings, members = _rings(open_rows)
+    rings, members, _ = _rings(open_rows)
     sizes = rings.groupBy("ring_root").agg((F.count(F.lit(1)) - 1).alias("_around"))
     rings = rings.join(sizes, "ring_root")
     looped = rings.select("id", F.col("ring_root").alias("root_id"), F.col("_around").alias("depth"))
@@ -125,19 +139,19 @@ def _tour(nodes: DataFrame) -> tuple[DataFrame, int]:
     )
     start = both.select(F.explode(steps).alias("s")).select("s.*").withColumn("last", F.when(F.col("next").isNull(), F.shiftright("step", 1)))
     state, seen = cut(start, open=F.count_if(F.col("next").isNotNull()))
-    left = seen["open"]
+    left, finished, opened = seen["open"], [state.where("next is null")], state.where("next is not null")
     while left:
-        lookup = state.select(F.col("step").alias("next"), F.col("next").alias("_next"), F.col("rows").alias("_rows"), F.col("net").alias("_net"), F.col("last").alias("_last"))
-        moved = state.where("next is not null").join(lookup, "next").select(
+        lookup = _union([*finished, opened]).select(F.col("step").alias("next"), F.col("next").alias("_next"), F.col("rows").alias("_rows"), F.col("net").alias("_net"), F.col("last").alias("_last"))
+        moved = opened.join(lookup, "next").select(
             "step", F.col("_next").alias("next"), (F.col("rows") + F.col("_rows")).alias("rows"), (F.col("net") + F.col("_net")).alias("net"), F.col("_last").alias("last")
         )
         moved, seen = cut(moved, open=F.count_if(F.col("next").isNotNull()))
-        state = state.where("next is null").unionByName(moved)
+        finished, opened = _finished([*finished, moved.where("next is null")]), moved.where("next is not null")
         if seen["open"] == left:
             break
         left = seen["open"]
     entered = F.col("step") % 2 == 0
-    numbers = state.groupBy(F.shiftright("step", 1).alias("id")).agg(
+    numbers = _union([*finished, opened]).groupBy(F.shiftright("step", 1).alias("id")).agg(
         F.max("last").alias("root_id"), F.max(F.when(entered, -F.col("net"))).alias("depth"), F.max(F.when(entered, F.col("rows"))).alias("at"),
         F.sum(F.when(entered, F.col("rows")).otherwise(-F.col("rows"))).alias("size"), F.max("next").isNull().alias("done"),
     )
@@ -229,10 +243,26 @@ def link_guard(proposals: DataFrame, rows: DataFrame) -> DataFrame:
     return checked.select("supplier_id", "parent_id", F.coalesce("verdict", F.when(above, "cycle").otherwise("ok")).alias("verdict"))
 
 
-def ring_members(nodes: DataFrame) -> DataFrame | None:
-    """``id, ring_root`` of the rows ``(id, parent)`` that stand on a ring; none if there is no ring."""
+def _rings_of(nodes: DataFrame) -> tuple[DataFrame, DataFrame] | None:
+    """``id, ring_root`` of the rows ``(id, parent)`` that stand on a ring, and of all that lead into one; none if there is no ring."""
+    state, looping = _climb(cut(nodes)[0])
+    if not looping:
+        return None
+    rings, _, led = _rings(state.where(~F.col("done")).select("id", "anc", "low"))
+    rings, _ = cut(rings)
+    return rings, spread_join(led, rings.withColumnRenamed("id", "anc"), "anc", spread_by="id").select("id", "ring_root")
+
+
+def _closing(fallen: DataFrame, led: DataFrame) -> DataFrame | None:
+    """Rings ``(ring_root)`` that lead into a ring again when each is opened at one supplier, which falls back to ``_back``; none if all end.
+
+    All rows that led into an opened ring lead to that supplier, so a ring is one row here, with the ring that it falls back into as its parent.
+    """
+    back = fallen.join(led.select(F.col("id").alias("_back"), F.col("ring_root").alias("_into")), "_back", "left")
+    opened = fallen.select(F.col("ring_root").alias("_into"), F.lit(True).alias("_opened"))  # a ring of stored links alone stays as it is
+    nodes = back.join(opened, "_into", "left").select(F.col("ring_root").alias("id"), F.when(F.col("_opened"), F.col("_into")).alias("parent"))
     state, looping = _climb(cut(nodes)[0])
-    return _rings(state.where(~F.col("done")).select("id", "anc", "low"))[0] if looping else None
+    return cut(state.where(~F.col("done")).select(F.col("id").alias("ring_root")))[0] if looping else None
 
 
 def link_batch(proposals: DataFrame, rows: DataFrame) -> DataFrame:
@@ -242,22 +272,32 @@ def link_batch(proposals: DataFrame, rows: DataFrame) -> DataFrame:
     request_id. From each ring that has new links, the one with the largest request_id is refused (``cycle``); its supplier falls
     back to an earlier link of the batch, or to the parent it has. This is repeated until no ring has a new link, so mutual
     links of one batch never both pass; rings of stored links alone are left as they are. Other links are ``ok``. Request ids are
-    unique.
+    unique. All rows are climbed once; then only what leads into a ring that the refused links' suppliers close again by falling back.
     """
     checked, _ = cut(_standing(proposals, rows).drop("_now"))
-    live, refused = checked.where("verdict is null").select("request_id", "supplier_id", "parent_id"), None
+    put = checked.where("verdict is null").select("request_id", "supplier_id", "parent_id")
+    nodes, live, refused = rows.select("id", "parent_id"), put, None
     while True:
         latest = live.groupBy("supplier_id").agg(F.max("request_id").alias("request_id"), F.max_by("parent_id", "request_id").alias("_up"))
         latest, _ = cut(latest.withColumnRenamed("supplier_id", "id"))
-        linked = rows.select("id", "parent_id").join(latest, "id", "left").select("id", F.coalesce("_up", "parent_id").alias("parent"))
-        rings = ring_members(linked)
-        if rings is None:
+        found = _rings_of(nodes.join(latest, "id", "left").select("id", F.coalesce("_up", "parent_id").alias("parent")))
+        if found is None:
             break
-        out, seen = cut(rings.join(latest, "id").groupBy("ring_root").agg(F.max("request_id").alias("request_id")).select("request_id"), rows=F.count(F.lit(1)))
+        rings, led = found
+        out, seen = cut(rings.join(latest, "id").groupBy("ring_root").agg(F.max_by("id", "request_id").alias("id"), F.max("request_id").alias("request_id")), rows=F.count(F.lit(1)))
         if not seen["rows"]:
             break
-        refused = out if refused is None else refused.unionByName(out)
-        live = checked.where("verdict is null").select("request_id", "supplier_id", "parent_id").join(refused, "request_id", "left_anti")
+        told = out.select("request_id")
+        refused = told if refused is None else refused.unionByName(told)
+        live = put.join(refused, "request_id", "left_anti")
+        earlier = live.join(out.select(F.col("id").alias("supplier_id")), "supplier_id", "left_semi").groupBy(F.col("supplier_id").alias("id")).agg(F.max_by("parent_id", "request_id").alias("_up"))
+        fallen, _ = cut(out.join(nodes, "id").join(earlier, "id", "left").select("ring_root", F.coalesce("_up", "parent_id").alias("_back")))
+        led, _ = cut(led)
+        closing = _closing(fallen, led)
+        if closing is None:
+            break
+        nodes, _ = cut(nodes.join(led.join(closing, "ring_root", "left_semi").select("id"), "id", "left_semi"))
+        live = live.join(nodes.select(F.col("id").alias("supplier_id")), "supplier_id", "left_semi")
     told = checked if refused is None else checked.join(refused.withColumn("_refused", F.lit(True)), "request_id", "left")
     verdict = F.coalesce("verdict", F.lit("ok")) if refused is None else F.coalesce("verdict", F.when(F.col("_refused"), "cycle"), F.lit("ok"))
     return told.select("request_id", "supplier_id", "parent_id", verdict.alias("verdict"))
